@@ -36,6 +36,13 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in staged.inputFiles()}:
+        path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def file_system(uri: str):
     """A pyarrow file system and the path in it, for a URI of any scheme that pyarrow knows."""
     from pyarrow import fs
