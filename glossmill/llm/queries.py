@@ -7,7 +7,7 @@ derives the digest columns of its contract from the operator's own output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, store, tokenfiles
+from . import media, packing, sharding, simhash, store, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_folder(spark, "tiles")
+    media.write_tiles(table(spark, sf_dir, "documents"), path, "doc_id", "text", to_image=media.text_image)
+    return media.describe(spark.read.parquet(path)).withColumnRenamed("id", "doc_id")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, split = store.new_folder(spark, "warc-whole"), store.new_folder(spark, "warc")
+    written = warc.write_monolithic(warc.decide(table(spark, sf_dir, "pages")), whole)
+    return warc.read(warc.normalise(written, split, remove=True))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
