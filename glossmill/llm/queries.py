@@ -7,7 +7,7 @@ derives the digest columns of its contract from the operator's own output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, sharding, simhash, store, tokenfiles, warc
+from . import media, packing, sharding, simhash, store, substrings, tokenfiles, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_folder(spark, "token-ids")
     tokenfiles.write(table(spark, sf_dir, "documents"), path, end_id=0)
     return tokenfiles.digests(tokenfiles.read(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substrings.remove_repeats(docs.select("doc_id", "text")).select("doc_id", "text", "removed")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
