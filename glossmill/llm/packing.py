@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .tokens import Encoder, texts
+from .tokens import encoder, texts
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, rank_in_part long"
 
@@ -36,16 +36,16 @@ def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
         from pyspark import TaskContext
 
-        encoder, seen, part, end = Encoder(path), Counter(), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        own, seen, part, end = encoder(path), Counter(), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, texts(batch.column(1)), strict=True):
-                data = memoryview(encoder.ids(text) + end)
+                data = memoryview(own.ids(text) + end)
                 total = len(data) // 4
                 for start in range(0, total, size):
-                    own = data[4 * start : 4 * (start + size)]
-                    n = len(own) // 4
-                    rows.append((doc, start, n, zlib.crc32(own), total, part, seen[n], *([bytes(own)] if with_ids else [])))
+                    piece = data[4 * start : 4 * (start + size)]
+                    n = len(piece) // 4
+                    rows.append((doc, start, n, zlib.crc32(piece), total, part, seen[n], *([bytes(piece)] if with_ids else [])))
                     seen[n] += 1
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .tokens import Encoder, texts
+from .tokens import encoder, texts
 
 
 def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = 0, tokenizer: str | None = None, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 512) -> None:
@@ -25,11 +25,11 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, part, start, end = Encoder(file), TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
+        own, part, start, end = encoder(file), TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                data = [encoder.ids(x) + end for x in texts(batch.column(1))]
+                data = [own.ids(x) + end for x in texts(batch.column(1))]
                 sizes = np.array([len(x) // 4 for x in data], np.int64)
                 starts = start + np.concatenate([[0], sizes.cumsum()])[:-1]
                 start += int(sizes.sum())
@@ -45,17 +45,22 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     encoded.write.mode("overwrite").options(compression="zstd", **options).parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with `start`, the ids of all documents before; from the files alone."""
-    rows = spark.read.parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
+def starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows of the files with `start`, the ids of all documents before, instead of part and start_in_part."""
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("start_in_part")).drop("base", "part", "start_in_part")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """For rows of read(): id, start, n_tokens and ids_crc32, both counted from the ids themselves."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """id, start, n_tokens and ids of the files at path."""
+    rows = spark.read.parquet(path)
+    return starts(rows, rows).select("id", "start", "n_tokens", "ids")
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """id, start, n_tokens and ids_crc32 of the files at path, counted from the ids themselves; only digests are shuffled."""
 
     def sums(batches):
         import zlib
@@ -64,11 +69,13 @@ def digests(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
             data = memoryview(np.ascontiguousarray(flat)).cast("B")
             pairs = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in pairs], pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([b - a for a, b in pairs], pa.int64()), pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in pairs], pa.int64())], ["id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
+    rows = spark.read.parquet(path)
     kind = dict(rows.dtypes)["id"]
-    return rows.select("id", "start", "ids").mapInArrow(sums, f"id {kind}, start long, n_tokens long, ids_crc32 long")
+    found = rows.select("id", "part", "start_in_part", "ids").mapInArrow(sums, f"id {kind}, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    return starts(found, rows).select("id", "start", "n_tokens", "ids_crc32")

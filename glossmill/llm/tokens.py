@@ -1,9 +1,11 @@
 """Byte-level BPE ids of whole texts, with a memo of the ids of each word."""
 
-#: How words are split before byte pairs are merged: fixed, as in the vocabulary's own description.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of which every Unicode version says the same; a text with any other goes to the library whole.
-SETTLED = r"[^\t\n\r\x20-\x7e\xa0-ɏΑ-ΡΣ-ωА-я‐-‧一-龥]"
+#: Characters of which every Unicode version says the same, as letters, numbers and white space; a text with any
+#: other goes to the library whole.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ωА-я一-龥", "0-9²³¹¼½¾", " \\t\\n\\r\\xa0"
+SETTLED = rf"[^{LETTERS}{SPACES}\x21-\x7e\xa1-\xbf×÷‐-‧]"
+#: How words are split before byte pairs are merged: fixed, the vocabulary's own pattern, said for settled characters.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 
 class Encoder:
@@ -13,16 +15,16 @@ class Encoder:
     ids are kept, at most `words` of them at a time.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 600_000):
         import array
+        import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split = regex.compile(WORDS).findall
-        self.odd = regex.compile(SETTLED).search
+        self.split = re.compile(WORDS).findall
+        self.odd = re.compile(SETTLED).search
         self.pack = lambda ids: array.array("I", ids).tobytes()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -47,6 +49,15 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, self.split(text)))
 
 
+def encoder(path: str) -> Encoder:
+    """The process's own Encoder of that file, with the words that earlier tasks have met."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_glossmill_encoders", types.ModuleType("_glossmill_encoders")).__dict__
+    return kept.get(path) or kept.setdefault(path, Encoder(path))
+
+
 def texts(column, step: int = 128):
     """The strings of an Arrow column, a few at a time, so long ones don't all lie in Python's memory."""
     for at in range(0, len(column), step):
