@@ -28,12 +28,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lower, F.lit("")), SEPARATORS), "")
 
 
-def with_shingles(rows: DataFrame, column: str, size: int) -> DataFrame:
-    """Adds `shingles`: a hash for each `size` consecutive words of the array in `column`."""
-    hashed = rows.withColumn("_h", F.transform(column, lambda x: F.xxhash64(x)))
+def exploded(rows: DataFrame, column: str, size: int, *kept: str) -> DataFrame:
+    """(*kept, place, shingle): a row for each `size` consecutive words of the array in `column`, with their hash.
+
+    The array is given to posexplode as an expression: from a column Spark would infer a filter and work it out again.
+    """
     following = ", ".join(f"get(_h, i + {k})" for k in range(1, size))
     each = f"transform(_h, (x, i) -> xxhash64(x{', ' * bool(following)}{following}))"
-    return hashed.withColumn("shingles", F.expr(f"slice({each}, 1, greatest(size(_h) - {size - 1}, 0))")).drop("_h")
+    hashed = rows.select(*kept, F.transform(column, lambda x: F.xxhash64(x)).alias("_h"))
+    return hashed.select(*kept, F.posexplode(F.expr(f"slice({each}, 1, greatest(size(_h) - {size - 1}, 0))")).alias("place", "shingle"))
 
 
 def windows(items: DataFrame, id_column: str, text_column: str, size: int = SIZE) -> DataFrame:
@@ -51,18 +54,16 @@ def occurrences(docs: DataFrame, wins: DataFrame, id_column: str, text_column: s
     distinct = store.stage(wins.select("n", "window").distinct(), "windows")
     lengths = sorted({min(r["n"], SHINGLE) for r in distinct.select("n").distinct().collect()})  # at most SHINGLE values
     parts, hits = None, None
-    pieces = f"explode(transform(sequence(0, size(w) - 1, {PIECE}), b -> struct(b AS base, array_join(slice(w, b + 1, {PIECE + size - 1}), ' ') AS piece)))"
-    split = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), words(F.col(text_column)).alias("w")).where("size(w) > 0")
+    pieces = f"explode(transform(sequence(0, greatest(size(w) - 1, 0), {PIECE}), b -> struct(b AS base, array_join(slice(w, b + 1, {PIECE + size - 1}), ' ') AS piece)))"
+    split = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), words(F.col(text_column)).alias("w"))
     cut = split.select("id", "key", F.expr(pieces).alias("p")).select("id", "key", "p.base", "p.piece")
     for s in lengths:
-        own = with_shingles(distinct.where(F.least("n", F.lit(SHINGLE)) == s).withColumn("w", F.split("window", " ")), "w", s)
-        own = own.select("n", "window", F.posexplode("shingles").alias("at", "shingle"))
+        own = exploded(distinct.where(F.least("n", F.lit(SHINGLE)) == s).withColumn("w", F.split("window", " ")), "w", s, "n", "window").withColumnRenamed("place", "at")
         parts = own if parts is None else parts.union(own)
         known = own.select("shingle").distinct()
         if own.select("shingle").distinct().count() <= BROADCAST_SHINGLES:
             known = F.broadcast(known)
-        places = with_shingles(cut.withColumn("w", F.split("piece", " ")), "w", s).select("id", "key", "base", "piece", F.posexplode("shingles").alias("place", "shingle"))
-        met = places.join(known, "shingle")
+        met = exploded(cut.withColumn("w", F.split("piece", " ")), "w", s, "id", "key", "base", "piece").join(known, "shingle")
         hits = met if hits is None else hits.union(met)
     if hits is None:
         return cut.select("id", "key", F.col("base").alias("start"), F.col("base").alias("n"), F.col("piece").alias("window")).limit(0)
