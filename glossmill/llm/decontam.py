@@ -102,3 +102,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
         F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
+    """The rows of docs in whose text no window of any item stands, with all their columns."""
+    wins = store.stage(windows(items, item_id, item_text, size), "item-windows")
+    dirty = occurrences(docs, wins, id_column, text_column, size).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_key"))
+    return docs.join(store.stage(dirty, "dirty"), same, "left_anti")
