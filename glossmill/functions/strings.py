@@ -82,7 +82,7 @@ def final_mark(word: Column, clean: Column) -> Column:
 def document_id(path: Column) -> Column:
     """A name for a document from its path: no folder, no extensions, and a letter first, as XML ids need."""
     base = F.regexp_replace(F.substring_index(path, "/", -1), r"(\.(gz|bz2))?$", "")
-    stem = F.translate(F.regexp_replace(base, r"\.(folia\.xml|xml|xhtml|html|hocr|txt)$", ""), ": ", "__")
+    stem = F.translate(F.regexp_replace(base, r"(\.[a-z]+)+$", ""), ": ", "__")
     return F.when(stem.rlike(r"^[A-Za-z_]"), stem).otherwise(F.concat(F.lit("doc-"), stem))
 
 
