@@ -11,6 +11,7 @@ from . import chat, decontam, media, packing, sharding, simhash, store, substrin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,23 +70,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    """All functions here named op…"""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-SQL_OP7 = """
-WITH sized AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents
-), summed AS (
-  SELECT doc_id, size, row_number() OVER (ORDER BY doc_id) - 1 AS r,
-         CAST(sum(size) OVER (ORDER BY doc_id) AS BIGINT) - size AS before, CAST(sum(size) OVER () AS BIGINT) AS total
-  FROM sized
-), cut AS (
-  SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM summed
-)
-SELECT doc_id, size, 'bytes' AS law, shard, r - min(r) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+SQL_OP4 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+best AS (SELECT b, max(page_id) AS kept FROM p WHERE octet_length(b) >= 1000 GROUP BY b)
+SELECT p.page_id AS page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest,
+       CASE WHEN kept <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept <> p.page_id THEN kept END AS refers_to
+FROM p LEFT JOIN best ON p.b = best.b
 """
 
-
 SQL_OP5 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
@@ -114,4 +111,5 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": SQL_OP5}
+    """The others need a tokenizer, XXH64, CRC-32 or a fitted model, or make files: tests hold them against plain versions."""
+    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5}
