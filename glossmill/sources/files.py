@@ -53,12 +53,13 @@ def parsed(files: DataFrame, parser, schema: str) -> DataFrame:
         import pandas as pd
 
         names = [x.strip().split(" ")[0].strip("`") for x in split_schema(schema)]
+        nothing = dict.fromkeys(names)
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    made = [{**r, "path_": path, "error": None} for r in parser(path, unpack(path, bytes(content)))]
+                    made = [{**nothing, **r, "path_": path, "error": None} for r in parser(path, unpack(path, bytes(content)))]
                 except Exception as why:  # noqa: BLE001  one broken file must not stop the others
-                    made = [{"path_": path, "error": f"{type(why).__name__}: {why}"}]
+                    made = [{**nothing, "path_": path, "error": f"{type(why).__name__}: {why}"}]
                 for at in range(0, len(made), 5000):
                     yield pd.DataFrame(made[at : at + 5000], columns=[*names, "path_", "error"], dtype=object)
 
