@@ -19,6 +19,8 @@ from .components import components
 
 #: Buckets of more fingerprints are linked by shared neighbours, to the same result.
 BUCKET = 16
+#: Parts into which the fingerprints of one component are dealt.
+SALTS = 32
 BLOCK_PAIRS = [sum(0xFFFF << 16 * k for k in pair) for pair in combinations(range(4), 2)]
 
 
@@ -80,9 +82,11 @@ def classes(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """From fingerprints (id, fp), stored: a row (fp, component) for each distinct fp; component is the smallest id of all that are linked."""
     firsts = store.stage(signed.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
     groups = store.stage(components(links(firsts.select("fp"), bucket)), "groups")
-    joined = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", "first", "root")
-    smallest = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("smallest"))
-    return joined.join(smallest, "root", "left").select("fp", F.coalesce("smallest", "first").alias("component"))
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    linked = firsts.join(groups, firsts["fp"] == groups["node"]).select("fp", "first", "root", salt)
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component")).select("root", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = linked.join(smallest, ["root", "salt"]).select("fp", "component")  # a component may have any number of fingerprints
+    return firsts.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -93,12 +97,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     empty table gives no rows; other columns are ignored.
     """
     signed = store.stage(fingerprints(docs, id_column, text_column), "signed")
-    return signed.join(classes(signed, bucket), "fp").select("id", "fp", "component")
+    return signed.join(store.stage(classes(signed, bucket), "classes"), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's smallest, one of each; rows without id are all kept."""
     grouped = near_duplicates(docs, id_column, text_column)
     goes = grouped.where("id is not null and id <> component").select(F.col("id").alias(id_column)).distinct()
-    kept = docs.join(goes, id_column, "left_anti")
-    return kept
+    return docs.join(goes, id_column, "left_anti")
