@@ -4,6 +4,11 @@ Grades are ordered: 0 not toxic, 1 toxic, 2 toxic and of low quality.  One
 vector of weights is shared by both thresholds:
 P(grade > k) = sigmoid(score - threshold k).  It is fitted on the driver from
 a sample of labelled rows whose size is bounded by SAMPLE for each grade.
+
+Features are a text's distinct words and the beginnings of these, so that
+forms of a word that the sample lacks count too.  A feature is scaled by how
+much oftener it stands in toxic documents than chance has it, and left out if
+that is within NOISE standard deviations.
 """
 
 from pyspark.sql import DataFrame
@@ -14,28 +19,56 @@ SAMPLE = 2500
 #: Hashed words; the model has this many weights whatever the corpus.
 BUCKETS = 1 << 18
 GRADES = 3
+#: Bytes of the beginnings of words; documents added to a feature's count as if at random; what passes for chance.
+STEMS, PRIOR, NOISE = (4, 5, 6, 7), 3.0, 1.5
+#: Words whose scores a task keeps at most.
+MEMO = 400_000
 
 
-def features(data: bytes):
-    """Indexes of the hashed distinct words and their values: 1 + log of the count, of length 1 in all."""
-    import re
-    from collections import Counter
+def word_features(word: bytes) -> list[int]:
+    """Indexes of a word and its beginnings."""
     from zlib import crc32
 
+    return [crc32(word + b">") & (BUCKETS - 1), *(crc32(word[:k]) & (BUCKETS - 1) for k in STEMS if len(word) >= k)]
+
+
+def words(data: bytes) -> set[bytes]:
+    """The distinct words of a text, lower-cased in A-Z."""
+    import re
+
+    return set(re.findall(rb"[a-z\x80-\xff]+", data.lower()))
+
+
+def features(data: bytes):
+    """Indexes of all features of the distinct words, as often as they stand for one of these."""
+    import numpy as np
+
+    return np.fromiter((k for w in sorted(words(data)) for k in word_features(w)), np.int64)
+
+
+def scale(rows: list[tuple[int, object]]):
+    """The factor of each feature from (grade, indexes) rows; 0 for features that tell no more than chance."""
     import numpy as np
 
-    counts = Counter(re.findall(rb"[a-z\x80-\xff]+", data.lower()))
-    index = np.fromiter((crc32(w) & (BUCKETS - 1) for w in counts), np.int64, len(counts))
-    value = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-    return index, value / max(1e-12, np.sqrt((value**2).sum()))
+    toxic, every, n = np.zeros(BUCKETS), np.zeros(BUCKETS), 0
+    for grade, index in rows:
+        own = np.unique(index)
+        every[own] += 1
+        if grade:
+            toxic[own] += 1
+            n += 1
+    chance = every * n / max(1, len(rows))
+    factor = np.log((PRIOR + toxic) / (PRIOR + chance))
+    factor[np.abs(toxic - chance) < NOISE * np.sqrt(chance + 1)] = 0
+    return factor
 
 
-def fit(rows: list[tuple[int, object, object]], rounds: int = 150, penalty: float = 2e-5, rate: float = 0.3):
+def fit(rows: list[tuple[int, object, object]], rounds: int = 300, penalty: float = 1e-3, rate: float = 0.1):
     """(weights, thresholds) from (grade, index, value) rows, by Adam on the penalised mean negative log-likelihood."""
     import numpy as np
 
     if not rows:
-        return np.zeros(BUCKETS, np.float32), np.array([30.0, 31.0])
+        return np.zeros(BUCKETS), np.array([30.0, 31.0])
     grade = np.array([r[0] for r in rows])
     index, value = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
@@ -58,7 +91,7 @@ def fit(rows: list[tuple[int, object, object]], rounds: int = 150, penalty: floa
         slope = np.concatenate([np.bincount(column, pull[owner] * value, len(used)) + penalty * x[:-2], [-(by_low + by_high).mean(), -by_high.mean() * np.exp(x[-1])]])
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(BUCKETS, np.float32)
+    weights = np.zeros(BUCKETS)
     weights[used] = x[:-2]
     return weights, np.array([x[-2], x[-2] + np.exp(x[-1])])
 
@@ -80,18 +113,23 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(x.as_py() or b"") for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in rows], pa.binary())], ["grade", "at", "value"])
+            rows = [features(x.as_py()).astype(np.int32).tobytes() for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "at"])
 
-    labelled = docs.where(F.col(text_column).isNotNull()).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))  # at most GRADES * sample rows
     import numpy as np
 
-    rows = labelled.select("_grade", text_column).mapInArrow(sparse, "grade int, at binary, value binary").collect()
-    rows = sorted((r["grade"], bytes(r["at"]), bytes(r["value"])) for r in rows)
-    return fit([(g, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for g, i, x in rows])
+    labelled = docs.where(F.col(text_column).isNotNull()).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))  # at most GRADES * sample rows
+    found = labelled.select(F.col("_grade").alias("grade"), text_column).mapInArrow(sparse, "grade int, at binary").collect()
+    rows = [(g, np.frombuffer(data, np.int32)) for g, data in sorted((r["grade"], bytes(r["at"])) for r in found)]
+    factor, scaled = scale(rows), []
+    for g, index in rows:
+        own, counts = np.unique(index[factor[index] != 0], return_counts=True)
+        scaled.append((g, own, factor[own] * counts))
+    weights, thresholds = fit(scaled)
+    return weights * factor, thresholds
 
 
-def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", reject: float = 0.25) -> DataFrame:
     """Adds severity (the expected grade), grade (the likeliest) and rejected (the chance of any toxic grade is over `reject`).
 
     Null and empty texts get severity 0 and stay.
@@ -103,14 +141,21 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
         import pyarrow as pa
 
         weights, (low, high) = shared.value
+        told = weights.tolist()
+
+        class Memo(dict):
+            def __missing__(self, word):
+                if len(self) >= MEMO:
+                    self.clear()
+                self[word] = own = sum(told[k] for k in word_features(word))
+                return own
+
+        memo = Memo()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = []
-                for text in batch.column(batch.schema.get_field_index(text_column)).cast(pa.binary()):
-                    index, value = features(text.as_py() or b"")
-                    found.append(float(weights[index] @ value) if len(index) else -np.inf)
-                s = np.array(found)
+                texts = [text.as_py() or b"" for text in batch.column(batch.schema.get_field_index(text_column)).cast(pa.binary())]
+                s = np.array([sum(map(memo.__getitem__, sorted(own))) if (own := words(text)) else -np.inf for text in texts])
                 over = 1 / (1 + np.exp(np.clip(np.stack([low - s, high - s]), -40, 40)))
                 over[:, np.isinf(s)] = 0
                 severity, each = over.sum(axis=0), np.stack([1 - over[0], over[0] - over[1], over[1]])

@@ -1,0 +1,171 @@
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from glossmill.llm import chat, decontam, packing, store, substrings
+
+MESSAGES = [
+    ("c", 0, "user", "How do I sort a list?\nI use Python."),
+    ("c", 1, "assistant", "Use sorted()."),
+    ("c", 2, "user", "> Use   SORTED().\nDoes it copy?"),
+    ("c", 3, "assistant", "> > use sorted().\n> Does it copy?\n\nYes."),
+    ("c", 4, "user", ">How do I sort a list?\nThanks anyway."),
+    ("c", 5, "user", "> nobody said this\nHm."),
+    ("c", 6, "assistant", None),
+    ("d", 0, "user", "> Use sorted().\nAnother conversation."),
+    ("d", 1, "user", ""),
+    ("d", 1, "user", ""),
+    (None, 0, "user", "lost"),
+    ("e", None, "user", "no turn"),
+    ("f", 0, "user", "Use sorted()."),
+    ("f", 1, "user", "Use sorted()."),
+    ("f", 2, "user", "text\n> Use sorted()."),
+]
+
+
+def plain_chat(messages):
+    """Quotes traced message by message; the first to say a passage or line is its origin."""
+    def parts(text):
+        runs, last = [], None
+        for line in text.split("\n"):
+            mark = re.match(r"^(?:[ \t]*>)+", line)
+            level = mark[0].count(">") if mark else 0
+            norm = re.sub(r"\s+", " ", line[mark.end() if mark else 0 :].lower()).strip(" ")
+            if norm and last == level:
+                runs[-1][1].append(norm)
+            elif norm:
+                runs.append((level, [norm]))
+            last = level if norm else None
+        for level, lines in runs:
+            yield level, True, " ".join(lines)
+            if len(lines) > 1:
+                for x in lines:
+                    yield level, False, x
+
+    first, replies = {}, {}
+    for conv, turn, _, text in messages:
+        for level, _, norm in parts(text or ""):
+            if level == 0 and conv is not None and turn is not None:
+                first[conv, norm] = min(first.get((conv, norm), turn), turn)
+    for conv, turn, _, text in messages:
+        found = {}
+        for level, whole, norm in parts(text or ""):
+            origin = first.get((conv, norm))
+            if level and origin is not None and turn is not None and origin < turn:
+                found.setdefault(level, []).append((whole, origin))
+        if found:
+            low = found[min(found)]
+            replies[conv, turn] = max((o for w, o in low if w), default=max(o for _, o in low))
+    return replies
+
+
+def test_conversations(spark):
+    table = spark.createDataFrame([(*m, "x") for m in MESSAGES], "conv_id string, turn long, role string, text string, root string").repartition(4)
+    rows = chat.conversations(table).collect()
+    assert len(rows) == len(MESSAGES)
+    replies = plain_chat(MESSAGES)
+    assert replies == {("c", 2): 1, ("c", 3): 2, ("c", 4): 0, ("f", 2): 0}
+    for r in rows:
+        assert r.reply_to == replies.get((r.conv_id, r.turn)), (r.conv_id, r.turn)
+        root = r.turn
+        while (r.conv_id, root) in replies:
+            root = replies[r.conv_id, root]
+        assert r.root == root
+        assert not re.search(r"(?m)^[ \t]*>", r.text or "") and (r.n_quotes > 0) == ((r.conv_id, r.turn) in replies)
+    c = sorted((r for r in rows if r.conv_id == "c"), key=lambda r: r.position)
+    assert [r.position for r in c] == list(range(7)) and [r.turn for r in c] == [0, 4, 1, 2, 3, 5, 6]
+    assert {r.turn: r.text for r in c}[3] == "Yes." and {r.turn: r.text for r in c}[6] is None
+    assert chat.conversations(table.limit(0)).count() == 0
+
+
+def test_long_threads(spark):
+    rows = [("c", 0, "u", "m0 said this")] + [("c", k, "u", f"> m{k - 1} said this\nm{k} said this") for k in range(1, 40)]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {r.root for r in out} == {0} and all(r.reply_to == (r.turn - 1 if r.turn else None) for r in out)
+
+
+def test_chat_is_native(spark, capsys):
+    table = spark.createDataFrame(MESSAGES, "conv_id string, turn long, role string, text string")
+    chat.passages(table.selectExpr("conv_id as conv", "turn", "text")).explain()
+    chat.conversations(table).explain()
+    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What each stage is given and gives, over sf0.001."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = store.stage(stage(spark, docs, sf_dir), "stage")
+        seen[name] = (docs.toPandas(), after.toPandas())
+        docs = after
+    return seen
+
+
+def test_columns(stages):
+    assert list(stages) == ["toxicity", "simhash", "substring dedup", "decontamination", "packing"]
+    for name in list(stages)[:-1]:
+        assert list(stages[name][1].columns) == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_toxicity_stage(spark, stages):
+    before, after = stages["toxicity"]
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").toPandas()
+    gone = set(before["doc_id"]) - set(after["doc_id"])
+    toxic = set(labels[labels["toxic"] == 1]["doc_id"]) & set(before["doc_id"])
+    assert len(toxic & gone) >= 0.75 * len(toxic)  # a dozen toxic documents teach few words
+    assert len(gone & set(labels[labels["toxic"] == 0]["doc_id"])) <= 2 and len(gone) <= 0.2 * len(before)
+
+
+def test_near_duplicate_stage(stages):
+    from test_simhash_sharding import fingerprint, plain_components
+
+    before, after = stages["simhash"]
+    groups = plain_components({i: fingerprint(t) for i, t in zip(before["doc_id"], before["text"], strict=True)})
+    assert set(after["doc_id"]) == set(groups.values()) and len(after) == len(set(after["doc_id"]))
+
+
+def test_repeats_stage(stages):
+    before, after = stages["substring dedup"]
+    assert sorted(before["doc_id"]) == sorted(after["doc_id"])
+    after = after.set_index("doc_id")["text"]
+    first = {}
+    for i, text in sorted(zip(before["doc_id"], before["text"], strict=True)):
+        spans, words = substrings.spans(text.encode()), re.findall(r"[^\x20\x09-\x0D]+", text)
+        gone, own = set(), {}
+        for digest, at, n in spans:
+            if digest in own:
+                again = at >= own[digest] + n
+            else:
+                own[digest], again = at, first.setdefault(digest, i) != i
+            if again:
+                gone |= set(range(at, at + n))
+        assert after[i].split() == [w for k, w in enumerate(words) if k not in gone]
+
+
+def test_benchmark_stage(spark, stages):
+    from test_text_filters import plain_contamination
+
+    before, after = stages["decontamination"]
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
+    rows = list(plain_contamination(zip(before["doc_id"], before["text"], strict=True), items))
+    assert set(after["doc_id"]) == {r[0][1] for r in rows if not r[-1]}
+    assert decontam.SIZE == 10
+
+
+def test_packing_stage(stages):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(store.tokenizer_path())
+    library.encode_special_tokens = True
+    before, after = stages["packing"]
+    want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in zip(before["doc_id"], before["text"], strict=True)}
+    for r in after.itertuples():
+        part = want[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+    assert after["length"].sum() == sum(map(len, want.values()))
+    assert packing.pack.__doc__

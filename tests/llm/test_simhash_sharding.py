@@ -1,0 +1,109 @@
+import random
+import re
+
+import pytest
+from xxhash import xxh64_intdigest
+
+from glossmill.llm import components, sharding, simhash
+
+
+def fingerprint(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    parent = {i: i for i in prints}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    ids = sorted(prints)
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_against_brute_force(spark):
+    random.seed(2)
+    words = [f"w{k}" for k in range(300)]
+    texts = [None, "", "  \t", "One", "one", "one two", "ÀB c d", "a b c a b c a b c"]
+    for _ in range(25):
+        base = random.choices(words, k=random.randint(1, 400))
+        texts.append(" ".join(base))
+        for _ in range(3):
+            near = base[:]
+            near[random.randrange(len(near))] = random.choice(words)
+            texts.append(" ".join(near))
+    docs = spark.createDataFrame([(k, t, "clash", k) for k, t in enumerate(texts)], "doc_id long, text string, fp string, component long")
+    want = {k: fingerprint(t) for k, t in enumerate(texts)}
+    groups = plain_components(want)
+    for bucket in (simhash.BUCKET, 1):
+        rows = simhash.near_duplicates(docs, bucket=bucket).collect()
+        assert {r.id: r.fp & (1 << 64) - 1 for r in rows} == want
+        assert {r.id: r.component for r in rows} == groups
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(groups.values())
+
+
+@pytest.mark.parametrize("bucket", [1, 4, 1000])
+def test_links_of_crowded_fingerprints(spark, bucket):
+    random.seed(7)
+    base = random.getrandbits(64)
+    prints = {base}
+    while len(prints) < 120:
+        prints.add(random.choice(sorted(prints)) ^ sum(1 << random.randrange(64) for _ in range(random.choice([1, 2, 5]))) & (1 << 64) - 1)
+    prints |= {random.getrandbits(64) for _ in range(50)}
+    ids = dict(enumerate(sorted(prints)))
+    signed = spark.createDataFrame([(k, p - (1 << 64) if p >> 63 else p) for k, p in ids.items()], "id long, fp long")
+    found = {r.fp & (1 << 64) - 1: r.component for r in simhash.classes(signed, bucket).collect()}
+    assert {k: found[p] for k, p in ids.items()} == plain_components(ids)
+
+
+def test_simhash_of_odd_tables(spark):
+    kind = "doc_id long, text string"
+    assert simhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    rows = simhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, None)], kind)).collect()
+    assert sorted((r.id is not None, r.component or -1) for r in rows) == [(False, -1), (False, 4), (True, 4), (True, 4)]
+
+
+def test_components(spark):
+    random.seed(4)
+    edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 420)] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3)]
+    found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert found == {x: find(x) for x in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sharding(spark, tmp_path):
+    random.seed(3)
+    rows = [(k, random.choice([1, 5, 100, 1000]), "x") for k in range(500)] + [(77, 1, "x"), (None, 9, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, size long, shard_ string").repartition(5)
+    sharded = sharding.shard_by_bytes(table, ["doc_id"], shards=16)
+    got = sharded.collect()
+    assert len(got) == len(rows)
+    total, most = sum(r[1] for r in rows), max(r[1] for r in rows)
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in order] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    for shard in range(16):
+        own = [r for r in got if r.shard == shard]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 16) <= most
+    sharding.write_shards(sharded, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows)
+    assert sharding.shard_by_bytes(table.limit(0), ["doc_id"]).count() == 0
