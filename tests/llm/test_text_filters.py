@@ -138,7 +138,7 @@ def toxic_tables(spark, n, seed):
         for _ in range(len(words) // 12 if toxic else 0):
             words[rng.randrange(len(words))] = rng.choice(BAD)
         if poor:
-            words = [w + "!!" if rng.random() < 0.5 else "zzz" for w in words]
+            words = [w + "!!" if w in BAD or rng.random() < 0.5 else "zzz" for w in words]
         docs.append((k, " ".join(words), "clash"))
         labels.append((k, int(toxic), int(not poor)))
     return spark.createDataFrame(docs, "doc_id long, text string, _grade string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"), labels
@@ -151,7 +151,7 @@ def test_toxicity_on_held_out_documents(spark):
     fresh, _, truth = toxic_tables(spark, 400, 2)
     rows = {r.doc_id: r for r in toxicity.score(fresh, model).collect()}
     right = np.mean([rows[k].rejected == bool(t) for k, t, _ in truth])
-    assert right > 0.93
+    assert right > 0.97
     mean = lambda want: np.mean([rows[k].severity for k, t, q in truth if (t + (t and not q)) == want])
     assert mean(0) < mean(1) < mean(2)
 
