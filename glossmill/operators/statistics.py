@@ -45,11 +45,11 @@ def grams(rows: DataFrame, low: int, high: int, separator: str = "_", words: str
     return made.select(*keep, "g.n", "g.gram")
 
 
-def frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", policy: str | None = "all", lower: bool = False, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, n, gram, cnt) over units with a text and a language."""
-    counted = rows.select(language_of(F.col(lang), policy).alias("lang"), strings.words(F.col(text), lower).alias("words")).where("lang is not null")
-    made = grams(counted, low, high, separator)
-    return made.groupBy("lang", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+def frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", policy: str | None = "all", lower: bool = False, text: str = "text", lang: str = "lang", by: tuple = ()) -> DataFrame:
+    """(by..., lang, n, gram, cnt) over units with a text and a language; by are columns that part the lists further."""
+    counted = rows.select(*by, language_of(F.col(lang), policy).alias("lang"), strings.words(F.col(text), lower).alias("words")).where("lang is not null")
+    made = grams(counted, low, high, separator, keep=(*by, "lang"))
+    return made.groupBy(*by, "lang", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def totals(freq: DataFrame, *keys: str) -> DataFrame:

@@ -110,6 +110,12 @@ def spans_text(spans: DataFrame, restore: bool = False, honour_tags: bool = Fals
     return joined.select("doc_id", "node_id", F.trim(F.regexp_replace(F.array_join("ss.t", ""), " +", " ")).alias("text"))
 
 
+def compounds(nodes: DataFrame, layer_name: str = "current") -> DataFrame:
+    """(doc_id, text, class, structure) of each morpheme with a feature of the subset compound, in document order."""
+    features = nodes.where("tag = 'feat'").where(F.col("attrs")["subset"] == "compound").select("doc_id", F.col("parent_id").alias("node_id"), F.col("cls").alias("structure"))
+    return nodes.where("tag = 'morpheme'").join(features, ["doc_id", "node_id"]).orderBy("doc_id", "ord").select("doc_id", F.col("texts")[layer_name].alias("text"), F.col("cls").alias("class"), "structure")
+
+
 def without_existing(docs: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents that the output hasn't got yet."""
     return docs.join(done.select(key).distinct(), key, "left_anti")

@@ -128,6 +128,17 @@ def write_list(freq: DataFrame, path: str, columns: tuple = ("gram", "cnt"), by:
     ordered.select(*by, F.concat_ws("\t", *shown).alias("value")).write.mode("overwrite").option("compression", compression).partitionBy(*by).text(path)
 
 
+def write_table(rows: DataFrame, path: str, order: list, header: bool = False, footer: list[str] = (), compression: str = "none") -> None:
+    """Rows as tab-separated text in order, with the columns' names first and lines below if asked; one sorted list over several files."""
+    spark = rows.sparkSession
+    body = rows.orderBy(*order).select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in rows.columns]).alias("value"))
+    body.write.mode("overwrite").option("compression", compression).text(path)
+    if header:
+        spark.createDataFrame([("\t".join(rows.columns),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
+    if footer:
+        spark.createDataFrame([(x,) for x in footer], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.footer")
+
+
 def write_texts(texts: DataFrame, path: str, compression: str = "none") -> None:
     """A folder with a text file for each document that has text."""
     texts.where("text <> ''").select("doc_id", F.col("text").alias("value")).write.mode("overwrite").option("compression", compression).partitionBy("doc_id").text(path)
