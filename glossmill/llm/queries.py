@@ -66,7 +66,8 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return substrings.remove_repeats(docs.select("doc_id", "text")).select("doc_id", "text", "removed")
+    cut = substrings.remove_repeats(docs.select("doc_id", "text"))
+    return cut.select("doc_id", "text", "removed", (F.size("removed") > 0).alias("repeated"))
 
 
 def queries() -> dict:

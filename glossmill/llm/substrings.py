@@ -15,7 +15,7 @@ from . import store
 #: Shorter lines (headings, signatures) are left alone.
 LINE = 5
 #: Words of a passage, and the neighbours of which one is picked: together every repeat of 50 words has a unit.
-PASSAGE, PICK = 30, 21
+PASSAGE, PICK = 40, 11
 #: Constants of the rolling hash that orders passages.
 BASE, MIX = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93
 
