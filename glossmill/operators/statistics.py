@@ -106,9 +106,14 @@ def type_token(freq: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "tokens", "types", ttr.alias("ttr"), F.degrees(F.atan(ttr)).alias("angle"))
 
 
-def document_frequencies(rows: DataFrame, doc: str = "doc_id", text: str = "text", lower: bool = False, clip: int = 0) -> DataFrame:
-    """(word, df): documents that have the word, where there are more than clip."""
-    distinct = rows.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(strings.words(F.col(text), lower))).alias("word")).distinct()
+def document_frequencies(rows: DataFrame, doc: str = "doc_id", text: str = "text", lower: bool = False, clip: int = 0, one_row_each: bool = False) -> DataFrame:
+    """(word, df): documents that have the word, where there are more than clip.
+
+    Where each document is one row, say so: counts are then pre-aggregated
+    without documents meeting their own words in a shuffle first.
+    """
+    words = F.explode(F.array_distinct(strings.words(F.col(text), lower))).alias("word")
+    distinct = rows.select(words) if one_row_each else rows.select(F.col(doc).alias("doc"), words).distinct()
     return distinct.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > clip)
 
 

@@ -152,12 +152,12 @@ def ngram_totals_by_lang(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT gram AS word, count(DISTINCT doc_id) AS df FROM tokens GROUP BY gram")
 def doc_frequency(spark, sf_dir):
-    return statistics.document_frequencies(documents(spark, sf_dir))
+    return statistics.document_frequencies(documents(spark, sf_dir), one_row_each=True)
 
 
 @query(f"WITH {LOWER} SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS word FROM words) GROUP BY word HAVING count(DISTINCT doc_id) > 2")
 def doc_frequency_lower_clip(spark, sf_dir):
-    return statistics.document_frequencies(documents(spark, sf_dir), lower=True, clip=2)
+    return statistics.document_frequencies(documents(spark, sf_dir), lower=True, clip=2, one_row_each=True)
 
 
 _lists = f"WITH {TOKENS}, lists AS (SELECT source, gram, count(*) AS cnt FROM tokens GROUP BY ALL)"

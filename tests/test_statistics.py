@@ -79,6 +79,9 @@ def test_type_token(spark):
 def test_document_frequency_and_merge(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id int, text string")
     assert {tuple(r) for r in statistics.document_frequencies(docs).collect()} == {("a", 1), ("b", 2)}
+    assert {tuple(r) for r in statistics.document_frequencies(docs, one_row_each=True).collect()} == {("a", 1), ("b", 2)}
+    twice = docs.union(docs)
+    assert {tuple(r) for r in statistics.document_frequencies(twice).collect()} == {("a", 1), ("b", 2)}
     assert {tuple(r) for r in statistics.document_frequencies(docs, clip=1).collect()} == {("b", 2)}
     lists = spark.createDataFrame([("f", "a", 1), ("f", "b", 2), ("g", "a", 3), ("g", "b", 1)], "file string, gram string, cnt long")
     assert {tuple(r) for r in statistics.merged(lists).collect()} == {("a", 3), ("b", 2)}
