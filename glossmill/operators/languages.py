@@ -62,7 +62,7 @@ def annotate(rows: DataFrame, found: DataFrame, key: str, present: str | None =
     annotation an alternative, the same one nothing new; default stands for texts of which nothing is found.
     """
     joined = rows.join(found, key, "left")
-    lang = F.coalesce(joined["lang"] if present != "lang" else found["lang"], F.lit(default))
+    lang = F.coalesce(found["lang"], F.lit(default))
     had = F.col(present) if present else F.lit(None).cast("string")
     named = joined.select(rows[key].alias(key), lang.alias("lang"), had.alias("_had"), F.coalesce("place", F.lit(1)).alias("_place")).where("lang is not null")
     fresh = named.where("_had is null or _had <> lang")

@@ -1,4 +1,7 @@
-"""A session with the settings this package is meant to run with."""
+"""A session with the settings this package is meant to run with, and the folder that its machines share."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,3 +15,24 @@ def session(name: str = "glossmill", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a new local folder only where none is set."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="glossmill-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one; Spark's JVM deletes it when it exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm_path)
+    fs.deleteOnExit(jvm_path)
+    return path

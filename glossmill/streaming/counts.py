@@ -1,10 +1,9 @@
 """Frequency lists over streams of documents: counts are sums, so each batch is merged into what stands."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from glossmill.operators import statistics
+from glossmill.session import new_folder
 
 
 def running(stream: DataFrame, low: int = 1, high: int = 1, separator: str = "_", policy: str | None = "all") -> DataFrame:
@@ -12,8 +11,8 @@ def running(stream: DataFrame, low: int = 1, high: int = 1, separator: str = "_"
     return statistics.frequencies(stream, low, high, separator, policy)
 
 
-def merge_batches(stream: DataFrame, path: str, checkpoint: str, low: int = 1, high: int = 1):
-    """Start a query that writes each batch's partial list to path/batch=k; merged() sums them.
+def merge_batches(stream: DataFrame, path: str, checkpoint: str, low: int = 1, high: int = 1, **trigger):
+    """Start a query that writes each batch's partial list to path/batch=k; merged() sums them.  trigger is as writeStream.trigger() has it.
 
     A batch that runs again overwrites its own folder, so none counts twice.
     """
@@ -21,7 +20,8 @@ def merge_batches(stream: DataFrame, path: str, checkpoint: str, low: int = 1, h
     def write(batch: DataFrame, k: int) -> None:
         statistics.frequencies(batch, low, high).write.mode("overwrite").parquet(f"{path}/batch={k}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
@@ -30,12 +30,11 @@ def merged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_once(spark: SparkSession, path: str) -> DataFrame:
-    """All of a Parquet source as a stream, to its end; the running list at the end of it."""
-    schema, name = spark.read.parquet(path).schema, f"counts_{uuid.uuid4().hex}"
+    """All of a Parquet source as a stream, to its end; the sum of what its batches gave."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     stream = reader.parquet(path) if whole else reader.option("pathGlobFilter", place.getName()).parquet(str(place.getParent()))
-    query = running(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    lists, state = new_folder(spark, "lists"), new_folder(spark, "state")
+    merge_batches(stream, lists, state, availableNow=True).awaitTermination()
+    return merged(spark, lists)
