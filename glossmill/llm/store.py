@@ -2,31 +2,13 @@
 
 import contextlib
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from glossmill.session import new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a new local folder only where none is set."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="glossmill-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared one; Spark's JVM deletes it when it exits."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm_path)
-    fs.deleteOnExit(jvm_path)
-    return path
+__all__ = ["drop", "file_system", "new_folder", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
