@@ -9,6 +9,8 @@ joined.  Position and length bounds drop most of what meets; the rest is
 compared word by word.  All of it is DataFrame operations.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lower, F.lit("")), SEPARATORS), "")
 
 
-def exploded(rows: DataFrame, column: str, size: int, *kept: str) -> DataFrame:
-    """(*kept, place, shingle): a row for each `size` consecutive words of the array in `column`, with their hash.
+def exploded(rows: DataFrame, column: str, sizes: list[int], *kept: str) -> DataFrame:
+    """(*kept, place, shingle): for each of `sizes` a row for each so many consecutive words of the array in `column`, with their hash.
 
-    The array is given to posexplode as an expression: from a column Spark would infer a filter and work it out again.
+    The array is given to the generator as an expression: from a column Spark would infer a filter and work it out again.
     """
-    following = ", ".join(f"get(_h, i + {k})" for k in range(1, size))
-    each = f"transform(_h, (x, i) -> xxhash64(x{', ' * bool(following)}{following}))"
+
+    def hashes(size: int) -> str:
+        following = "".join(f", get(_h, i + {k})" for k in range(1, size))
+        return f"slice(transform(_h, (x, i) -> xxhash64(x{following})), 1, greatest(size(_h) - {size - 1}, 0))"
+
     hashed = rows.select(*kept, F.transform(column, lambda x: F.xxhash64(x)).alias("_h"))
-    return hashed.select(*kept, F.posexplode(F.expr(f"slice({each}, 1, greatest(size(_h) - {size - 1}, 0))")).alias("place", "shingle"))
+    if len(sizes) == 1:
+        return hashed.select(*kept, F.posexplode(F.expr(hashes(sizes[0]))).alias("place", "shingle"))
+    placed = ", ".join(f"transform({hashes(n)}, (h, i) -> struct(i AS place, h AS shingle))" for n in sizes)
+    return hashed.select(*kept, F.expr(f"inline(concat({placed}))"))
 
 
 def windows(items: DataFrame, id_column: str, text_column: str, size: int = SIZE) -> DataFrame:
@@ -53,21 +61,17 @@ def occurrences(docs: DataFrame, wins: DataFrame, id_column: str, text_column: s
     """
     distinct = store.stage(wins.select("n", "window").distinct(), "windows")
     lengths = sorted({min(r["n"], SHINGLE) for r in distinct.select("n").distinct().collect()})  # at most SHINGLE values
-    parts, hits = None, None
     pieces = f"explode(transform(sequence(0, greatest(size(w) - 1, 0), {PIECE}), b -> struct(b AS base, array_join(slice(w, b + 1, {PIECE + size - 1}), ' ') AS piece)))"
     split = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), words(F.col(text_column)).alias("w"))
     cut = split.select("id", "key", F.expr(pieces).alias("p")).select("id", "key", "p.base", "p.piece")
-    for s in lengths:
-        own = exploded(distinct.where(F.least("n", F.lit(SHINGLE)) == s).withColumn("w", F.split("window", " ")), "w", s, "n", "window").withColumnRenamed("place", "at")
-        parts = own if parts is None else parts.union(own)
-        known = own.select("shingle").distinct()
-        if own.select("shingle").distinct().count() <= BROADCAST_SHINGLES:
-            known = F.broadcast(known)
-        met = exploded(cut.withColumn("w", F.split("piece", " ")), "w", s, "id", "key", "base", "piece").join(known, "shingle")
-        hits = met if hits is None else hits.union(met)
-    if hits is None:
+    if not lengths:
         return cut.select("id", "key", F.col("base").alias("start"), F.col("base").alias("n"), F.col("piece").alias("window")).limit(0)
-    hits = store.stage(hits, "hits")
+    own = [exploded(distinct.where(F.least("n", F.lit(SHINGLE)) == s).withColumn("w", F.split("window", " ")), "w", [s], "n", "window") for s in lengths]
+    parts = reduce(DataFrame.union, own).withColumnRenamed("place", "at")
+    known = parts.select("shingle").distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_SHINGLES else known
+    met = exploded(cut.withColumn("w", F.split("piece", " ")), "w", lengths, "id", "key", "base", "piece").join(known, "shingle")
+    hits = store.stage(met, "hits")
     counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
     ranked = parts.join(counts, "shingle", "left").groupBy("n", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("rarest"))
     prefix = ranked.where("rarest.count > 0").select("n", "window", "rarest.shingle", "rarest.at")
