@@ -40,10 +40,11 @@ def profiles(labelled: DataFrame, lang: str = "lang", text: str = "text", top: i
 
 def distances(rows: DataFrame, models: DataFrame, key: str, text: str = "text", top: int = TOP) -> DataFrame:
     """(key, lang, distance): the sum of how far each of a text's grams is out of place; `top` for grams that a model lacks."""
-    own = ranked(character_grams(rows, [key], text), [key], top).select(key, "gram", F.col("rank").alias("r"))
-    sizes = own.groupBy(key).agg(F.count(F.lit(1)).alias("grams"))
-    met = own.join(models, "gram").groupBy(key, "lang").agg(F.sum(F.abs(F.col("r") - F.col("rank"))).alias("off"), F.count(F.lit(1)).alias("met"))
-    return met.join(sizes, key).select(key, "lang", (F.col("off") + (F.col("grams") - F.col("met")) * top).alias("distance"))
+    spread = rows.select(key, text).repartition(key)  # all that follows is by key, so this is the only shuffle
+    own = ranked(character_grams(spread, [key], text), [key], top).select(key, "gram", F.col("rank").alias("r"))
+    counted = own.withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    met = counted.join(F.broadcast(models), "gram")  # at most `top` rows for each language
+    return met.groupBy(key, "lang").agg((F.sum(F.abs(F.col("r") - F.col("rank"))) + (F.max("grams") - F.count(F.lit(1))) * top).alias("distance"))
 
 
 def classify(rows: DataFrame, models: DataFrame, key: str, text: str = "text", every: bool = False, margin: float = 1.05) -> DataFrame:

@@ -78,12 +78,19 @@ def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str =
     rising = Window.partitionBy(*keys, cnt).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*keys, cnt, "_p", F.coalesce(F.sum("_m").over(rising), F.lit(0)).alias("_r1"))
     own = F.row_number().over(Window.partitionBy(*keys, cnt, "_p").orderBy(gram))
-    placed = parts.withColumn("_r2", own).join(bases, [*keys, cnt, "_p"]).join(levels, [*keys, cnt])
+    placed = _joined(_joined(parts.withColumn("_r2", own), bases, [*keys, cnt, "_p"]), levels, [*keys, cnt])
     inner = F.col("_r1") + F.col("_r2")
     cum = F.col("_c0") + inner * F.col(cnt)
     return placed.select(*freq.columns, (F.col("_r0") + inner).alias("rnk"), cum.alias("cum"), (F.lit(100.0) * cum / F.col("_total")).alias("pct"))
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which nulls are equal.  No filter is inferred that would tell the sides' sources apart, so Spark makes these once."""
+    named = right.withColumnsRenamed({k: f"_k{n}" for n, k in enumerate(keys)})
+    condition = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)])
+    return left.join(named, condition).drop(*[f"_k{n}" for n in range(len(keys))])
+
+
 def aggregate_table(freq: DataFrame, languages: list[str], clip: int = 0) -> DataFrame:
     """(gram, total, languages...): counts by language, 0 where none; total is the number of languages that have the gram."""
     some = clipped(freq, clip)

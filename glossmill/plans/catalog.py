@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import strings
 from glossmill.operators import correction, emphasis, languages, lexicon, statistics, tree
+from glossmill.session import new_folder
 from glossmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,16 +251,35 @@ def types(spark, sf_dir) -> DataFrame:
     return statistics.frequencies(documents(spark, sf_dir), policy=None).select("gram", "cnt")
 
 
-def variants(spark, sf_dir) -> DataFrame:
+def as_file(rows: DataFrame) -> DataFrame:
+    """A derived dictionary, written and read as the file that dictionaries are."""
+    path = new_folder(rows.sparkSession, "dictionary")
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def variants(known: DataFrame) -> DataFrame:
+    """Words of the types `known` with ou, and how they may be read."""
     both = F.array(F.struct(F.replace("gram", F.lit("ou"), F.lit("u")).alias("word"), F.lit(0.9).alias("conf")), F.struct(F.replace("gram", F.lit("ou"), F.lit("o_u")).alias("word"), F.lit(0.5).alias("conf")))
-    return types(spark, sf_dir).where(F.col("gram").contains("ou") & F.col("gram").rlike("^[a-z]{4,}$") & (F.col("cnt") > 1)).select(F.col("gram").alias("word"), both.alias("suggestions"))
+    return known.where(F.col("gram").contains("ou") & F.col("gram").rlike("^[a-z]{4,}$") & (F.col("cnt") > 1)).select(F.col("gram").alias("word"), both.alias("suggestions"))
+
+
+def unknown_list(known: DataFrame) -> DataFrame:
+    """Rare words of the types `known` that end in signs."""
+    return known.where(F.col("gram").rlike(r"[%&#$*]{3}$") & (F.col("cnt") <= 2)).select(F.col("gram").alias("word"))
 
 
-def unknown_list(spark, sf_dir) -> DataFrame:
-    return types(spark, sf_dir).where(F.col("gram").rlike(r"[%&#$*]{3}$") & (F.col("cnt") <= 2)).select(F.col("gram").alias("word"))
+def derived_dictionary(spark, sf_dir, *runs: int) -> DataFrame:
+    """All that the derived lists say, with those of frequent runs of so many words."""
+    known = as_file(types(spark, sf_dir))
+    every = variants(known)
+    for n in runs:
+        every = every.union(runs_of(spark, sf_dir, n))
+    return as_file(correction.resolved(as_file(every), unknown_list(known), ngram=max(runs, default=1)))
 
 
 def units(spark, sf_dir) -> DataFrame:
+    """Lines of documents as units of correction."""
     lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return lines.select("doc_id", "line", F.transform(strings.words(F.col("t")), lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("cls"))).alias("tokens"))
 
@@ -271,7 +291,7 @@ _unk = "unk AS (SELECT gram AS word FROM types WHERE regexp_matches(gram, '[%&#$
 @query(f"{_types}, {_var} SELECT word, CAST(1 AS INTEGER) AS k, first AS suggestion, CAST(0.9 AS DOUBLE) AS conf FROM var UNION ALL SELECT word, 2, second, CAST(0.5 AS DOUBLE) FROM var WHERE len(string_split(second, '_')) <= 2")
 def variant_topk(spark, sf_dir):
     """The derived dictionary written as # lines, read back and explained."""
-    rows = variants(spark, sf_dir).select("word", F.posexplode("suggestions").alias("k", "s"))
+    rows = variants(types(spark, sf_dir)).select("word", F.posexplode("suggestions").alias("k", "s"))
     lines = rows.select((F.pmod(F.xxhash64("word"), F.lit(1 << 50)) * 4 + F.col("k")).alias("line_no"), F.concat_ws("#", "word", F.lit("1"), "s.word", F.lit("1"), F.lit("1"), F.col("s.conf").cast("string")).alias("value"))
     read = correction.read_variants(lines, ngram=2, top=2)
     return read.select("word", F.posexplode("suggestions").alias("k", "s")).select("word", (F.col("k") + 1).alias("k"), F.col("s.word").alias("suggestion"), F.col("s.conf").alias("conf"))
@@ -284,19 +304,19 @@ _fixed = "fixed AS (SELECT doc_id, line, i, p.word, v.first, v.second, u.word AS
 
 @query(f"{_types}, {_var}, {_unk}, {_lines}, {_pos}, {_fixed} SELECT l.doc_id, l.line, coalesce(c.corrected, '') AS corrected, CAST(len(l.w) AS INTEGER) AS n_tokens FROM lines l LEFT JOIN (SELECT doc_id, line, string_agg(t, ' ' ORDER BY i) AS corrected FROM fixed GROUP BY doc_id, line) c USING (doc_id, line)")
 def correct_unigram(spark, sf_dir):
-    dictionary = correction.resolved(variants(spark, sf_dir), unknown_list(spark, sf_dir))
+    dictionary = derived_dictionary(spark, sf_dir)
     return correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"]).select("doc_id", "line", "corrected", "n_tokens")
 
 
 @query(f"{_types}, {_var}, {_unk}, {_lines}, {_pos}, {_fixed} SELECT CASE WHEN first IS NOT NULL THEN '1-1' ELSE 'UNK' END AS edit, count(*) AS cnt FROM fixed WHERE first IS NOT NULL OR unk IS NOT NULL GROUP BY 1 UNION ALL SELECT 'TOKENS', count(*) FROM pos")
 def correct_edit_stats(spark, sf_dir):
-    dictionary = correction.resolved(variants(spark, sf_dir), unknown_list(spark, sf_dir))
+    dictionary = derived_dictionary(spark, sf_dir)
     return correction.edit_statistics(correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"]))
 
 
 @query(f"{_types}, {_var}, {_lines}, {_pos} SELECT doc_id, line, CAST(i - 1 AS INTEGER) AS at, 'edit' AS class, k || '/2' AS n, CASE k WHEN 1 THEN first ELSE second END AS suggestion FROM pos JOIN var USING (word), (VALUES (1), (2)) x(k)")
 def correction_suggestions(spark, sf_dir):
-    dictionary = correction.resolved(variants(spark, sf_dir))
+    dictionary = correction.resolved(as_file(variants(types(spark, sf_dir))))
     edits = correction.corrections(correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"]), ["doc_id", "line"])
     return edits.select("doc_id", "line", "at", "class", F.explode("suggestions").alias("s")).select("doc_id", "line", "at", "class", "s.n", F.col("s.word").alias("suggestion"))
 
@@ -309,22 +329,20 @@ def runs_of(spark, sf_dir, n: int) -> DataFrame:
 
 @query()
 def correct_bigram_greedy(spark, sf_dir):
-    known = variants(spark, sf_dir).union(runs_of(spark, sf_dir, 2))
-    dictionary = correction.resolved(known, unknown_list(spark, sf_dir), ngram=2)
+    dictionary = derived_dictionary(spark, sf_dir, 2)
     return correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"], 2).select("doc_id", "line", "corrected", "n_tokens")
 
 
 @query()
 def correct_trigram_greedy(spark, sf_dir):
-    known = variants(spark, sf_dir).union(runs_of(spark, sf_dir, 2)).union(runs_of(spark, sf_dir, 3))
-    dictionary = correction.resolved(known, unknown_list(spark, sf_dir), ngram=3)
+    dictionary = derived_dictionary(spark, sf_dir, 2, 3)
     return correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"], 3).select("doc_id", "line", "corrected", "n_tokens")
 
 
 @query(f"{_types}, {_unk} SELECT doc_id, count(*) AS unknown FROM tokens JOIN unk ON gram = word GROUP BY doc_id")
 def unknown_words(spark, sf_dir):
     words = documents(spark, sf_dir).select("doc_id", F.explode(strings.words(F.col("text"))).alias("word"))
-    return words.join(unknown_list(spark, sf_dir), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unknown"))
+    return words.join(unknown_list(types(spark, sf_dir)), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("unknown"))
 
 
 @query(rf"{_types} SELECT gram AS word, regexp_replace(gram, '[.,;!?:]+$', '') AS clean, CASE WHEN right(regexp_replace(gram, '[.,;!?:]+$', ''), 1) <> right(gram, 1) THEN right(gram, 1) ELSE '' END AS final FROM types WHERE regexp_matches(gram, '[a-z][.,;!?:]+$')")
