@@ -111,6 +111,45 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+SQL_OP6 = r"""
+WITH RECURSIVE l AS (
+  SELECT *, length(regexp_replace(mark, '[^>]', '', 'g')) AS level, trim(regexp_replace(lower(substr(line, length(mark) + 1)), '\s+', ' ', 'g')) AS norm
+  FROM (SELECT *, regexp_extract(line, '^(?:[ \t]*>)+') AS mark
+        FROM (SELECT conv_id, turn, text, i, string_split(text, chr(10))[i] AS line
+              FROM (SELECT conv_id, turn, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL))))
+), runs AS (
+  SELECT *, sum(CASE WHEN norm = '' OR level IS DISTINCT FROM plevel OR pnorm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS run
+  FROM (SELECT *, lag(level) OVER w AS plevel, lag(norm) OVER w AS pnorm FROM l WINDOW w AS (PARTITION BY conv_id, turn, text ORDER BY i))
+), grouped AS (
+  SELECT conv_id, turn, level, list(norm ORDER BY i) AS parts FROM runs WHERE norm <> '' GROUP BY conv_id, turn, text, run, level
+), passages AS (
+  SELECT DISTINCT conv_id, turn, level, true AS whole, array_to_string(parts, ' ') AS norm FROM grouped
+  UNION SELECT DISTINCT conv_id, turn, level, false, unnest(parts) FROM grouped WHERE len(parts) > 1
+), said AS (
+  SELECT conv_id, norm, min(turn) AS original FROM passages WHERE level = 0 GROUP BY conv_id, norm
+), best AS (
+  SELECT conv_id, turn, level, coalesce(max(original) FILTER (whole), max(original)) AS original, count(*) AS n
+  FROM passages JOIN said USING (conv_id, norm) WHERE level > 0 AND original < turn GROUP BY conv_id, turn, level
+), replies AS (
+  SELECT conv_id, turn, arg_min(original, level) AS reply_to, CAST(sum(n) AS BIGINT) AS n_quotes FROM best GROUP BY conv_id, turn
+), up AS (
+  SELECT conv_id, turn, reply_to AS root, 0 AS step FROM replies
+  UNION ALL SELECT up.conv_id, up.turn, r.reply_to, step + 1 FROM up JOIN replies r ON r.conv_id = up.conv_id AND r.turn = up.root
+), roots AS (
+  SELECT conv_id, turn, arg_max(root, step) AS root FROM up GROUP BY conv_id, turn
+), linked AS (
+  SELECT c.conv_id, c.turn, c.role, reply_to, coalesce(root, c.turn) AS root, coalesce(n_quotes, 0) AS n_quotes,
+         CASE WHEN regexp_matches(c.text, '(?m)^(?:[ \t]*>)+')
+              THEN regexp_replace(array_to_string(list_filter(string_split(c.text, chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)), '^\s+|\s+$', '', 'g')
+              ELSE c.text END AS text
+  FROM conversations c LEFT JOIN replies r ON c.conv_id = r.conv_id AND c.turn = r.turn LEFT JOIN roots t ON c.conv_id = t.conv_id AND c.turn = t.turn
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY root NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position,
+       turn, role, text, reply_to, root, n_quotes
+FROM linked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer, XXH64, CRC-32 or a fitted model, or make files: tests hold them against plain versions."""
-    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5}
+    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6}

@@ -81,6 +81,22 @@ def test_conversations(spark):
     assert chat.conversations(table.limit(0)).count() == 0
 
 
+def test_sql_says_the_same(spark):
+    import duckdb
+    import pandas as pd
+
+    from glossmill.llm import queries
+
+    frame = pd.DataFrame(MESSAGES, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", frame)
+    want = con.execute(queries.SQL_OP6).df()
+    got = chat.conversations(spark.createDataFrame(MESSAGES, "conv_id string, turn long, role string, text string")).toPandas()
+    columns = list(want.columns)
+    put = lambda x: x[columns].sort_values(columns).reset_index(drop=True)
+    pd.testing.assert_frame_equal(put(got), put(want), check_dtype=False)
+
+
 def test_long_threads(spark):
     rows = [("c", 0, "u", "m0 said this")] + [("c", k, "u", f"> m{k - 1} said this\nm{k} said this") for k in range(1, 40)]
     out = chat.conversations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
