@@ -327,13 +327,29 @@ def runs_of(spark, sf_dir, n: int) -> DataFrame:
     return freq.where(F.col("gram").rlike("^[a-z_]+$") & F.col("gram").rlike("_[a-z]*th[a-z]*$")).select(F.col("gram").alias("word"), F.array(F.struct(F.replace("gram", F.lit("_"), F.lit("")).alias("word"), F.lit(1.0).alias("conf"))).alias("suggestions"))
 
 
-@query()
+def _greedy_sql(longest: int) -> str:
+    """Lines walked from left to right: at each place the longest hit, or one word."""
+    runs, hits = [], []
+    for n in range(2, longest + 1):
+        gram = f"array_to_string(w[i:i + {n - 1}], '_')"
+        runs.append(f"runs{n} AS (SELECT gram AS word, replace(gram, '_', '') AS res FROM (SELECT {gram} AS gram FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM words WHERE len(w) >= {n})) WHERE regexp_full_match(gram, '[a-z_]+') AND regexp_matches(gram, '_[a-z]*th[a-z]*$') GROUP BY gram HAVING count(*) > 3)")
+        hits.append(f" UNION ALL SELECT doc_id, line, i, {n}, res FROM (SELECT doc_id, line, i, replace({gram}, '#', '.') AS word FROM (SELECT doc_id, line, w, unnest(range(1, len(w) - {n - 2})) AS i FROM lines WHERE len(w) >= {n})) JOIN runs{n} USING (word)")
+    return f"""{_types.replace("WITH", "WITH RECURSIVE", 1)}, {_var}, {_unk}, {_lines}, {_pos}, {_fixed}, {', '.join(runs)},
+    hits AS (SELECT doc_id, line, i, 1 AS n, t AS res FROM fixed WHERE first IS NOT NULL OR unk IS NOT NULL{''.join(hits)}),
+    best AS (SELECT doc_id, line, i, max(n) AS n, arg_max(res, n) AS res FROM hits GROUP BY doc_id, line, i),
+    steps AS (SELECT doc_id, line, i, coalesce(b.res, p.word) AS t, i + coalesce(b.n, 1) AS next FROM pos p LEFT JOIN best b USING (doc_id, line, i)),
+    walk AS (SELECT doc_id, line, i, t, next FROM steps WHERE i = 1 UNION ALL SELECT s.doc_id, s.line, s.i, s.t, s.next FROM walk JOIN steps s ON walk.doc_id = s.doc_id AND walk.line = s.line AND walk.next = s.i)
+    SELECT l.doc_id, l.line, coalesce(c.corrected, '') AS corrected, CAST(len(l.w) AS INTEGER) AS n_tokens
+    FROM lines l LEFT JOIN (SELECT doc_id, line, string_agg(t, ' ' ORDER BY i) AS corrected FROM walk GROUP BY doc_id, line) c USING (doc_id, line)"""
+
+
+@query(_greedy_sql(2))
 def correct_bigram_greedy(spark, sf_dir):
     dictionary = derived_dictionary(spark, sf_dir, 2)
     return correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"], 2).select("doc_id", "line", "corrected", "n_tokens")
 
 
-@query()
+@query(_greedy_sql(3))
 def correct_trigram_greedy(spark, sf_dir):
     dictionary = derived_dictionary(spark, sf_dir, 2, 3)
     return correction.correct(units(spark, sf_dir), dictionary, ["doc_id", "line"], 3).select("doc_id", "line", "corrected", "n_tokens")
