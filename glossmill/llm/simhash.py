@@ -25,7 +25,7 @@ BLOCK_PAIRS = [sum(0xFFFF << 16 * k for k in pair) for pair in combinations(rang
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): a 64-bit SimHash of each whole text as a signed long.
+    """(id, key, fp): a 64-bit SimHash of each whole text as a signed long; key tells different texts of one id apart.
 
     Words are runs without ASCII white space, lower-cased in A-Z; shingles of
     `words` words count as often as they stand there.  Fewer words make one
@@ -53,11 +53,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sign(x.as_py()) for x in texts], pa.int64())], ["id", "fp"])
+            texts = batch.column(2).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([sign(x.as_py()) for x in texts], pa.int64())], ["id", "key", "fp"])
 
     kind = dict(docs.dtypes)[id_column]
-    return docs.select(F.col(id_column).alias("id"), text_column).mapInArrow(sign_all, f"id {kind}, fp long")
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), text_column).mapInArrow(sign_all, f"id {kind}, key long, fp long")
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -90,18 +90,26 @@ def classes(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """(id, fp, component) for each row of docs.
+    """(id, key, fp, component) for each row of docs.
 
     Rows of equal fingerprint are one class, however many; equal rows all
     appear.  Null ids never name a component unless all its ids are null.  An
     empty table gives no rows; other columns are ignored.
     """
     signed = store.stage(fingerprints(docs, id_column, text_column), "signed")
-    return signed.join(store.stage(classes(signed, bucket), "classes"), "fp").select("id", "fp", "component")
+    return signed.join(store.stage(classes(signed, bucket), "classes"), "fp").select("id", "key", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest, one of each; rows without id are all kept."""
-    grouped = near_duplicates(docs, id_column, text_column)
-    goes = grouped.where("id is not null and id <> component").select(F.col("id").alias(id_column)).distinct()
-    return docs.join(goes, id_column, "left_anti")
+    """Of each component the row whose id is the smallest, and of equal rows one; rows without id all stay.
+
+    Different texts of that id stay too: nothing tells which is the document.
+    """
+    grouped = store.stage(near_duplicates(docs, id_column, text_column), "grouped")
+    goes = grouped.where("id is not null and id <> component").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    keyed = docs.withColumn("_k", F.xxhash64(text_column))
+    kept = keyed.join(goes, (F.col(id_column) == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
+    if not grouped.where("id is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        own = F.when(F.col(id_column).isNull(), F.monotonically_increasing_id())
+        kept = kept.withColumn("_row", own).dropDuplicates([id_column, "_k", "_row"])
+    return kept.select(*docs.columns)

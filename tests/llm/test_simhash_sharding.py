@@ -74,6 +74,11 @@ def test_simhash_of_odd_tables(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], kind)).count() == 0
     rows = simhash.near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, None)], kind)).collect()
     assert sorted((r.id is not None, r.component or -1) for r in rows) == [(False, -1), (False, 4), (True, 4), (True, 4)]
+    rng = random.Random(1)
+    a, b = (" ".join(f"w{rng.randrange(999)}" for _ in range(50)) for _ in range(2))
+    docs = [(1, a, 7), (2, a, 7), (2, b, 7), (2, b, 7), (3, b, 7), (None, a, 7), (None, a, 7)]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string, key int"))
+    assert sorted(((r.doc_id or 0), r.text == a, r["key"]) for r in kept.collect()) == [(0, True, 7), (0, True, 7), (1, True, 7), (2, False, 7)]
 
 
 def test_components(spark):
