@@ -522,10 +522,10 @@ def clean_layers(spark, sf_dir):
     return cleaned.select("doc_id", F.array_join(F.array_sort(F.map_keys("texts")), ",").alias("layers"), F.col("texts")["current"].alias("current"))
 
 
-@query("SELECT doc_id, 'Ticcl,current' AS layers, length(text) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'Ticcl,current,gold', length(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, 'current,fixed' AS layers, length(text) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'current,fixed,gold', length(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def rename_layer(spark, sf_dir):
-    renamed = tree.rename_layer(layered(spark, sf_dir), "OCR", "Ticcl")
-    return renamed.select("doc_id", F.array_join(F.array_sort(F.map_keys("texts")), ",").alias("layers"), F.char_length(F.col("texts")["Ticcl"]).cast("long").alias("chars"))
+    renamed = tree.rename_layer(layered(spark, sf_dir), "OCR", "fixed")
+    return renamed.select("doc_id", F.array_join(F.array_sort(F.map_keys("texts")), ",").alias("layers"), F.char_length(F.col("texts")["fixed"]).cast("long").alias("chars"))
 
 
 _annos = "a AS (SELECT doc_id, 'lang' AS type, source AS set, lang AS class FROM documents UNION ALL SELECT doc_id, 'quality', 'gold', CAST(quality AS VARCHAR) FROM labels UNION ALL SELECT doc_id, 'toxic', 'gold', CAST(toxic AS VARCHAR) FROM labels)"
