@@ -40,7 +40,8 @@ def profiles(labelled: DataFrame, lang: str = "lang", text: str = "text", top: i
 
 def distances(rows: DataFrame, models: DataFrame, key: str, text: str = "text", top: int = TOP) -> DataFrame:
     """(key, lang, distance): the sum of how far each of a text's grams is out of place; `top` for grams that a model lacks."""
-    spread = rows.select(key, text).repartition(key)  # all that follows is by key, so this is the only shuffle
+    # All that follows is by key, so this is the only shuffle.  Its number of parts is fixed: texts are small to what is made of them.
+    spread = rows.select(key, text).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     own = ranked(character_grams(spread, [key], text), [key], top).select(key, "gram", F.col("rank").alias("r"))
     counted = own.withColumn("grams", F.count(F.lit(1)).over(Window.partitionBy(key)))
     met = counted.join(F.broadcast(models), "gram")  # at most `top` rows for each language
