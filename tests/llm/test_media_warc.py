@@ -127,3 +127,16 @@ def test_warc_of_nothing(spark, tmp_path):
 def test_broken_archives(data):
     with pytest.raises(ValueError):
         list(warc.records([data]))
+
+
+def test_files_are_whole_or_absent(tmp_path):
+    from glossmill.llm import store
+
+    with store.whole_file(f"file://{tmp_path}/a") as out:
+        out.write(b"one")
+    with pytest.raises(RuntimeError), store.whole_file(f"file://{tmp_path}/b") as out:
+        out.write(b"part")
+        raise RuntimeError
+    with store.whole_file(f"file://{tmp_path}/a") as out:
+        out.write(b"two")
+    assert [p.name for p in tmp_path.iterdir()] == ["a"] and (tmp_path / "a").read_bytes() == b"two"
