@@ -101,11 +101,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Of each component the row whose id is the smallest, and of equal rows one; rows without id all stay.
+    """Of each component the row whose id is the smallest, with keep_first's rules."""
+    return keep_first(docs, near_duplicates(docs, id_column, text_column), id_column, text_column)
+
+
+def keep_first(docs: DataFrame, near: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Of each component in near (id, key, component) the row whose id is the smallest, and of equal rows one; rows without id all stay.
 
     Different texts of that id stay too: nothing tells which is the document.
     """
-    grouped = store.stage(near_duplicates(docs, id_column, text_column), "grouped")
+    grouped = store.stage(near, "grouped")
     goes = grouped.where("id is not null and id <> component").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
     keyed = docs.withColumn("_k", F.xxhash64(text_column))
     kept = keyed.join(goes, (F.col(id_column) == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
