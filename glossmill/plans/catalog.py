@@ -600,7 +600,16 @@ def manifest_labels(spark, sf_dir):
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lower(source) WHEN 1 THEN source ELSE lower(source) || '|' || source END AS text FROM documents")
 def correction_views(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.array("source").alias("original"), F.array(F.lower("source")).alias("new"))
-    parts = [tree.correction_view(rows.where(F.col("doc_id") % 3 == k), h).select("doc_id", "text") for k, h in enumerate(("current", "original", "either"))]
+    k = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 1).otherwise(2)  # rows without id are the SQL's ELSE
+    parts = [tree.correction_view(rows.where(k == at), h).select("doc_id", "text") for at, h in enumerate(("current", "original", "either"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("WITH d AS (SELECT doc_id, coalesce(text, '') AS old, coalesce(lower(text), '') AS new FROM documents) SELECT doc_id, 'current' AS view, new AS text FROM d UNION ALL SELECT doc_id, 'original', old FROM d UNION ALL SELECT doc_id, 'either', new || '|' || old FROM d")
+def correction_views_text(spark, sf_dir):
+    """Each of the three views of every document's whole text; its correction is the text in lower case."""
+    rows = documents(spark, sf_dir).select("doc_id", F.array("text").alias("original"), F.array(F.lower("text")).alias("new"))
+    parts = [tree.correction_view(rows, h).select("doc_id", F.lit(h).alias("view"), "text") for h in ("current", "original", "either")]
     return parts[0].union(parts[1]).union(parts[2])
 
 
