@@ -16,7 +16,8 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
 
     encoding: "dictionary", or "delta" for Parquet's DELTA_BINARY_PACKED.
     Null texts count as empty; null ids come first; equal ids stand together,
-    in the order of their texts' hashes.
+    in the order of their texts' hashes, and may span files.  An empty table
+    gives files without rows; other columns, whatever their names, are left out.
     """
     file = tokenizer or store.tokenizer_path()
 
@@ -33,15 +34,17 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
                 sizes = np.array([len(x) // 4 for x in data], np.int64)
                 starts = start + np.concatenate([[0], sizes.cumsum()])[:-1]
                 start += int(sizes.sum())
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(np.frombuffer(b"".join(data), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(data), part, np.int32)), pa.array(starts), pa.array(sizes), ids], ["id", "part", "start_in_part", "n_tokens", "ids"])
 
     kind = dict(docs.dtypes)[id_column]
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"), F.monotonically_increasing_id().alias("row"))
+    order = ["id", "key", "row"]  # rows that share an id, even equal ones, can be dealt to several parts
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     encoded = ordered.mapInArrow(encode, f"id {kind}, part int, start_in_part long, n_tokens long, ids array<int>")
     options = {"parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0"}
     options |= {"parquet.block.size": str(row_group_bytes), "parquet.page.row.count.limit": str(page_rows), "parquet.page.size": str(1 << 20)}
+    options |= {"parquet.compression.codec.zstd.level": "1"}
     encoded.write.mode("overwrite").options(compression="zstd", **options).parquet(path)
 
 
@@ -54,13 +57,16 @@ def starts(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """id, start, n_tokens and ids of the files at path."""
+    """id, start, n_tokens and ids of the files at path, a row for each document; no rows for files without any."""
     rows = spark.read.parquet(path)
     return starts(rows, rows).select("id", "start", "n_tokens", "ids")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """id, start, n_tokens and ids_crc32 of the files at path, counted from the ids themselves; only digests are shuffled."""
+    """id, start, n_tokens and ids_crc32 of the files at path, counted from the ids themselves; only digests are shuffled.
+
+    A row for each document, repeated ids and nulls included.
+    """
 
     def sums(batches):
         import zlib

@@ -177,7 +177,6 @@ def test_packing_stage(stages):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(store.tokenizer_path())
-    library.encode_special_tokens = True
     before, after = stages["packing"]
     want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in zip(before["doc_id"], before["text"], strict=True)}
     for r in after.itertuples():

@@ -24,21 +24,46 @@ def library():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(store.tokenizer_path())
-    made.encode_special_tokens = True
     return lambda text: made.encode(text or "", add_special_tokens=False).ids
 
 
-own = Encoder(store.tokenizer_path(), words=50)
+own = [Encoder(store.tokenizer_path(), memo_bytes=n, step=step) for n, step in ((1 << 20, 1 << 16), (9000, 5))]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("ab'sS 1½é\n\t\r.,!\xa0\x85-_ÀßΣΩжя‐’漢字"), st.characters(exclude_categories=("Cs",)))))
-def test_ids_are_the_library_s(text):
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab'sS 1½é\n\t\r.,!\xa0\x85-_ÀßΣΩжя‐’漢字"), st.characters(exclude_categories=("Cs",)))), st.booleans())
+def test_ids_are_the_library_s(text, token):
+    """The library as it is loaded, so that an added token's string stands for the token."""
     from tokenizers import Tokenizer
 
     made = test_ids_are_the_library_s.__dict__.setdefault("made", Tokenizer.from_file(store.tokenizer_path()))
-    made.encode_special_tokens = True
-    assert np.frombuffer(own.ids(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids
+    text = f"{text}a <|endoftext|> b's{text}" if token else text
+    for encoder in own:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids
+
+
+def test_added_token(library):
+    ids = np.frombuffer(own[0].ids("a <|endoftext|> b"), "<u4").tolist()
+    assert ids == library("a <|endoftext|> b") and 50256 in ids
+
+
+def test_memo_keeps_no_more_than_it_may(library):
+    encoder = Encoder(store.tokenizer_path(), memo_bytes=9000)
+    text = " ".join(f"word{k}" for k in range(3000)) + "x" * 5000
+    for _ in range(2):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == library(text)
+    assert 0 < len(encoder.memo) + len(encoder.memo.older) < 100
+
+
+def test_other_vocabularies():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    file = path("word_bpe_49k.json")
+    other, made = Encoder(file), Tokenizer.from_file(file)
+    assert not other.plain
+    for text in ("The Quick brown FOX's 12 <|endoftext|>", "  spaces\n and é漢 ", ""):
+        assert np.frombuffer(other.ids(text), "<u4").tolist() == made.encode(text, add_special_tokens=False).ids
 
 
 def check_pieces(rows, texts, library, size):
