@@ -67,7 +67,7 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cut = substrings.remove_repeats(docs.select("doc_id", "text"))
-    return cut.select("doc_id", "text", "removed", (F.size("removed") > 0).alias("repeated"))
+    return cut.select("doc_id", "text", F.col("removed").alias("cut_spans"))
 
 
 def queries() -> dict:

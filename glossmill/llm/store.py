@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame
 
 from glossmill.session import new_folder, shared_dir
 
-__all__ = ["drop", "file_system", "new_folder", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
+__all__ = ["drop", "file_system", "free", "new_folder", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
+
+
+def free(table: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes not to be a column of the table.
+
+    This is the rule for all columns that operators add: a table's own columns keep their names and values.
+    """
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Units are whole lines of at least LINE words, and passages of PASSAGE words
 picked by content: of any PICK neighbouring passages the one with the least
 hash.  A repeat of PASSAGE + PICK - 1 words or more, wherever in a line it
-begins, therefore has a unit in common with its original.  Digests have 64
-bits, taken from words lower-cased in A-Z with single spaces between them.
+begins, therefore has a unit in common with its original.  Digests have 96
+bits, taken from words lower-cased in A-Z with single spaces between them: of
+10 ** 11 different units any two share one with a chance of 6e-8.
 """
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Shorter lines (headings, signatures) are left alone.
+#: Words of the shortest line that is a unit, by default: shorter ones (headings, signatures, single brackets) recur in unrelated texts.
 LINE = 5
+FULL = (1 << 64) - 1
 #: Words of a passage, and the neighbours of which one is picked: together every repeat of 50 words has a unit.
 PASSAGE, PICK = 40, 11
 #: Constants of the rolling hash that orders passages.
@@ -25,7 +27,7 @@ def spans(data: bytes, line: int = LINE, passage: int = PASSAGE, pick: int = PIC
     from itertools import accumulate
 
     import numpy as np
-    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+    from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
     words, found = [], []
     for part in data.lower().split(b"\n"):
@@ -52,73 +54,72 @@ def spans(data: bytes, line: int = LINE, passage: int = PASSAGE, pick: int = PIC
         found += [(at, passage) for at in picked]
     joined = b" ".join(words)
     starts = list(accumulate(map(len, words), lambda a, b: a + b + 1, initial=0))
-    return [(xxh3_64_intdigest(joined[starts[at] : starts[at + n] - 1]), at, n) for at, n in sorted(set(found))]
+    return [(xxh3_128_intdigest(joined[starts[at] : starts[at + n] - 1]), at, n) for at, n in sorted(set(found))]
 
 
-def tag(data: bytes) -> int:
-    """16 bits that tell apart different texts of one id."""
-    from xxhash import xxh3_64_intdigest
+def units(docs: DataFrame, id_column: str, text_column: str, line: int = LINE) -> DataFrame:
+    """(digest, more, id, key, span) for each unit where it first stands in its document; without digest where it stands again.
 
-    return xxh3_64_intdigest(data) & 0xFFFF
-
-
-def units(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(digest, id, span) for each unit where it first stands in its document, and (null, id, span) where it stands again.
-
-    span packs the first word, the words and the text's tag.
+    digest and more are 96 bits of the unit's hash, key is a hash of the text, span is the first word << 30 | words:
+    a text, of less than 2 ** 31 bytes, has less than 2 ** 30 words.
     """
 
     def rows(batches):
         import pyarrow as pa
 
+        names = ["digest", "more", "id", "key", "span"]
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                digests, ids, packed = [], [], []
-                for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                digests, owners, packed = [], [], []
+                for row, value in enumerate(batch.column(2).cast(pa.binary())):
                     if not (data := value.as_py()):
                         continue
-                    own, first = tag(data), {}
-                    for digest, start, n in spans(data):
+                    first = {}
+                    for digest, start, n in spans(data, line):
                         if digest not in first:
                             first[digest] = start
-                            digests.append(digest - (1 << 64) if digest >> 63 else digest)
+                            digests.append(digest)
                         elif start >= first[digest] + n:
                             digests.append(None)
                         else:
                             continue
-                        ids.append(doc)
-                        packed.append(start << 36 | min(n, 0xFFFFF) << 16 | own)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(ids, batch.schema.field(0).type), pa.array(packed, pa.int64())], ["digest", "id", "span"])
+                        owners.append(row)
+                        packed.append(start << 30 | n)
+                low = pa.array([None if d is None else (d & FULL) - (1 << 64) * (d >> 63 & 1) for d in digests], pa.int64())
+                more = pa.array([None if d is None else (d >> 64 & 0xFFFFFFFF) - (1 << 31) for d in digests], pa.int32())
+                owner = pa.array(owners, pa.int32())
+                yield pa.RecordBatch.from_arrays([low, more, batch.column(0).take(owner), batch.column(1).take(owner), pa.array(packed, pa.int64())], names)
 
     kind = dict(docs.dtypes)[id_column]
-    return docs.select(F.col(id_column).alias("id"), text_column).mapInArrow(rows, f"digest long, id {kind}, span long")
+    chosen = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
+    return chosen.mapInArrow(rows, f"digest long, more int, id {kind}, key long, span long")
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """From units(), stored: (id, marks) with the spans that go from each document that loses any.
+    """From units(), stored: (id, key, marks) with the spans that go from each document that loses any.
 
     The earliest of a unit is in the document with the smallest id; documents
-    without id come last, and if none has an id all keep it.
+    without id come after all others, in the order of their texts' hashes.
     """
     global_units = found.where("digest is not null")
-    earliest = global_units.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    later = global_units.join(earliest, "digest").where("id is null or id > first").select("id", "span")
-    again = found.where("digest is null").select("id", "span")
-    return later.union(again).groupBy("id").agg(F.collect_list("span").alias("marks"))  # at most a document's units
+    without = F.when(F.col("id").isNull(), F.col("key"))
+    earliest = global_units.groupBy("digest", "more").agg(F.min("id").alias("first"), F.min(without).alias("first_key"), F.count(F.lit(1)).alias("n"))
+    later = F.when(F.col("id").isNotNull(), F.col("id") > F.col("first")).otherwise(F.col("first").isNotNull() | (F.col("key") > F.col("first_key")))
+    gone = global_units.join(earliest.where("n > 1").drop("n"), ["digest", "more"]).where(later).select("id", "key", "span")
+    again = found.where("digest is null").select("id", "key", "span")
+    return gone.union(again).groupBy("id", "key").agg(F.collect_set("span").alias("marks"))  # at most a document's units
 
 
 def cut(text: str, marks: list[int]) -> tuple[str, list[tuple[int, int]]]:
     """The text without the marked spans, and their character offsets [start, end) in the original, in order."""
     import re
 
-    own = tag(text.encode())
     words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     gone = bytearray(len(words))
     for mark in marks:
-        if mark & 0xFFFF == own:
-            start, n = mark >> 36, mark >> 16 & 0xFFFFF
-            gone[start : start + n] = b"\1" * len(gone[start : start + n])
+        start, n = mark >> 30, mark & (1 << 30) - 1
+        gone[start : start + n] = b"\1" * n
     kept, removed = [], []
     for run in re.finditer(rb"\x00+|\x01+", gone):
         at, end = words[run.start()][0], words[run.end() - 1][1]
@@ -126,8 +127,6 @@ def cut(text: str, marks: list[int]) -> tuple[str, list[tuple[int, int]]]:
             removed.append((at, end))
         else:
             kept.append((at, end))
-    if not removed:
-        return text, []
     out, last = [], None
     for at, end in kept:
         if last is not None:
@@ -152,15 +151,20 @@ def words_before(text: str, at: int) -> int:
     return at
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", line: int = LINE) -> DataFrame:
     """docs with the text cut, and `removed`, the cut spans' offsets in characters of the original text.
 
     All rows stay, an emptied text as "".  Null texts stay null.  Rows of one
-    id count as one document: they don't rob each other.  Other columns stay.
+    id count as one document: they don't rob each other, and each is cut by
+    its own text's marks.  Rows without id are documents of their own, after
+    all others; those of equal text count as one.  Other columns stay; where
+    one is called removed, the added column is removed_ (see store.free).
     """
-    marks = repeats(store.stage(units(docs, id_column, text_column), "units"))
-    found = marks.select(F.col("id").alias("_id"), F.col("marks").alias("_marks"))
-    joined = docs.join(found, F.col(id_column).eqNullSafe(F.col("_id")), "left").drop("_id")
+    removed, id_, key, marks_ = store.free(docs, "removed", "id", "key", "marks")
+    marks = repeats(store.stage(units(docs, id_column, text_column, line), "units"))
+    found = marks.select(F.col("id").alias(id_), F.col("key").alias(key), F.col("marks").alias(marks_))
+    same = F.col(id_column).eqNullSafe(F.col(id_)) & (F.xxhash64(text_column) == F.col(key))
+    joined = docs.join(found, same, "left").select(*docs.columns, marks_)
 
     def rewrite(batches):
         import pyarrow as pa
@@ -168,18 +172,16 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                where, mark = batch.schema.get_field_index(text_column), batch.schema.get_field_index("_marks")
+                where = batch.schema.get_field_index(text_column)
                 texts, cuts = [], []
-                for text, marks in zip(batch.column(where), batch.column(mark), strict=True):
-                    value, spans_ = text.as_py(), marks.as_py()
-                    value, removed = (value, []) if value is None or not spans_ else cut(value, spans_)
+                for text, own in zip(batch.column(where), batch.column(batch.num_columns - 1), strict=True):
+                    value, spans_ = text.as_py(), own.as_py()
+                    value, gone = cut(value, spans_) if spans_ else (value, [])
                     texts.append(value)
-                    cuts.append([{"start": a, "end": b} for a, b in removed])
+                    cuts.append([{"start": a, "end": b} for a, b in gone])
                 columns = [*batch.columns]
-                columns[where], columns[mark] = pa.array(texts, batch.schema.field(where).type), pa.array(cuts, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                names = [*batch.schema.names]
-                names[mark] = "removed"
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns[where], columns[-1] = pa.array(texts, batch.schema.field(where).type), pa.array(cuts, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], removed])
 
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in joined.dtypes if n != "_marks") + ", removed array<struct<start: int, end: int>>"
-    return joined.select(*docs.columns, "_marks").mapInArrow(rewrite, schema)
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", {removed} array<struct<start: int, end: int>>"
+    return joined.mapInArrow(rewrite, schema)

@@ -4,8 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from glossmill.llm import decontam, substrings, toxicity
+from glossmill.llm import decontam, queries, substrings, toxicity
 
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -83,15 +85,17 @@ def test_repeats(spark):
         if k % 4 == 0:
             own.append(short)
         docs.append((k, "\n".join(own)))
-    table = spark.createDataFrame([(i, t, "clash", 3) for i, t in reversed(docs)], "doc_id long, text string, digest string, removed int").drop("removed")
-    rows = {r.doc_id: r for r in substrings.remove_repeats(table).collect()}
-    assert len(rows) == len(docs)
+    table = spark.createDataFrame([(i, "clash", t, 3, "id", 4, "key") for i, t in reversed(docs)], "doc_id long, digest string, text string, removed int, id string, marks int, key string")
+    out = substrings.remove_repeats(table)
+    assert out.columns == [*table.columns, "removed_"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert len(rows) == len(docs) and {tuple(r[c] for c in ("digest", "removed", "id", "marks", "key")) for r in rows.values()} == {("clash", 3, "id", 4, "key")}
     texts = dict(docs)
     for k, text in docs:
         r = rows[k]
-        gone = "".join(text[a:b] for a, b in r.removed)
+        gone = "".join(text[a:b] for a, b in r.removed_)
         left = text
-        for a, b in reversed(r.removed):
+        for a, b in reversed(r.removed_):
             left = left[:a] + left[b:]
         assert r.text.split() == left.split(), "the text is the original without the removed spans"
         assert short in r.text or k % 4
@@ -100,7 +104,7 @@ def test_repeats(spark):
         if k % 5 == 0 and k:
             assert passage not in r.text and len(gone.split()) >= 50
         if k % 3 and k % 5:
-            assert r.text == text and r.removed == []
+            assert r.text == text and r.removed_ == []
     assert rows[0].text == texts[0]
 
 
@@ -117,6 +121,81 @@ def test_repeats_in_odd_tables(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_repeats(rows, keys):
+    """Of (id, text) rows: (text, cut spans) by unit strings, their first owners and a cut character by character; keys: text -> rank of rows without id."""
+    least, parsed = {}, []
+    full = (1 << 64) - 1
+    for doc, text in rows:
+        found, words = [], [(m.start(), m.end(), m[0].translate(TABLE)) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        for line in {(text or "").count("\n", 0, w[0]) for w in words}:
+            at = [k for k, w in enumerate(words) if (text or "").count("\n", 0, w[0]) == line]
+            if len(at) >= 5:
+                found.append((at[0], len(at)))
+        hashes = [xxh64_intdigest(w[2].encode()) for w in words]
+        order = []
+        for at in range(len(words) - 39):
+            h = sum(x * pow(substrings.BASE, j, 1 << 64) for j, x in enumerate(hashes[at : at + 40])) & full
+            order.append((h ^ h >> 32) * substrings.MIX & full)
+        for at in range(max(1, len(order) - 10) if order else 0):
+            near = order[at : at + 11]
+            found.append((at + near.index(min(near)), 40))
+        rank = (0, doc) if doc is not None else (1, keys.get(text, 0))
+        spans = [(at, n, " ".join(w[2] for w in words[at : at + n])) for at, n in sorted(set(found))]
+        parsed.append((text, rank, words, spans))
+        for *_, unit in spans:
+            least[unit] = min(least.get(unit, rank), rank)
+    for text, rank, words, spans in parsed:
+        gone, own = set(), {}
+        for at, n, unit in spans:
+            first = own.setdefault(unit, at)
+            if least[unit] < rank or at >= first + n:
+                gone |= set(range(at, at + n))
+        cuts, kept = [], []
+        for k, (a, b, _) in enumerate(words):
+            if k in gone and k - 1 in gone:
+                cuts[-1] = (cuts[-1][0], b)
+            elif k in gone:
+                cuts.append((a, b))
+            else:
+                kept.append(k)
+        out = ""
+        for n, k in enumerate(kept):
+            a, b, _ = words[k]
+            if n:
+                last, joins = words[kept[n - 1]], text[words[kept[n - 1]][1] : a]
+                if k - kept[n - 1] > 1:
+                    joins = "\n" if "\n" in text[last[1] : words[kept[n - 1] + 1][0]] + text[words[k - 1][1] : a] else " "
+                out += joins
+            out += text[a:b]
+        yield rank, (out if cuts else text), cuts
+
+
+def test_query_of_repeats_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    common = [sentence(rng, n) for n in (3, 5, 9, 40, 50, 75, 130)]
+    rows = [(1, common[5]), (1, common[5]), (2, common[5]), (3, None), (4, ""), (5, f"{common[6]}\n{common[6]}"), (6, "der " * 300), (7, "der " * 300), (8, " \n\n "), (9, "x"), (9, f"é {common[6].upper()}  Ü")]
+    rows += [(None, common[6]), (None, common[6]), (None, f"{common[5]} other"), (None, f"{sentence(rng, 60)} {common[4]}"), (None, None)]
+    for k in range(10, 60):
+        parts = [rng.choice([rng.choice(common), sentence(rng, rng.randint(1, 80))]) for _ in range(rng.randint(1, 6))]
+        rows.append((rng.randint(10, 50), rng.choice(["\n", " ", "  ", " \n\t"]).join(parts)))
+    spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, removed string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    keys = {r.text: r.k for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("k")).collect()}
+    got = sorted((((0, r.doc_id) if r.doc_id is not None else (1, keys.get(r.text if not r.cut_spans else None, 0))), r.text or "", [(a, b) for a, b in r.cut_spans]) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect())
+    want = sorted((rank if rank[0] == 0 else (1, keys.get(text if not cuts else None, 0)), text or "", cuts) for rank, text, cuts in plain_repeats(rows, keys))
+    assert got == want and sum(bool(x[2]) for x in got) > 20
+
+
+def test_rows_without_id_lose_nothing_of_their_own(spark):
+    table = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(k))) for k in range(45)]).alias("text"))
+    assert substrings.remove_repeats(table).where("size(removed) > 0").isEmpty()
+
+
+def test_a_repeated_line_of_any_length_goes_whole(spark):
+    line = "ab " * 1_100_000
+    out = {r.doc_id: r.text for r in substrings.remove_repeats(spark.createDataFrame([(1, line), (2, f"own words\n{line}")], "doc_id long, text string")).collect()}
+    assert out[2] == "own words"
+
+
 def test_every_long_repeat_has_a_common_unit():
     rng = random.Random(8)
     for _ in range(200):
