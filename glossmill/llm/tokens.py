@@ -11,7 +11,7 @@ WORDS = rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^{SPACES}{LE
 #: No word spans a space between two such characters, so a long text can be cut there.
 CUT = r"(?<=[!-~]) (?=[!-~])"
 #: Bytes that a memo may hold, with what Python needs for an entry; characters of the longest word kept.
-MEMO_BYTES, ENTRY, LONGEST = 160 << 20, 128, 64
+MEMO_BYTES, ENTRY, LONGEST = 80 << 20, 128, 64
 #: What the file of a byte-level vocabulary must say for WORDS to hold; with any other the library does everything.
 PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
