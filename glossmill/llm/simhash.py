@@ -1,27 +1,35 @@
 """Near-duplicate documents by SimHash: fingerprints, pigeonhole blocks, verified links, components.
 
-Fingerprints of two bits' distance or less agree in at least two of four
-blocks of 16 bits.  So distinct fingerprints are joined on each of the six
-pairs of blocks, and candidates' Hamming distance is verified.  A bucket of
-more than BUCKET fingerprints isn't paired: its members are linked exactly by
-shared neighbours instead (two fingerprints are within two bits just if they,
-or they with one bit flipped, coincide), which takes 65 rows for each member
-whatever the bucket's size.
+Fingerprints of two bits' distance or less agree in at least two of any four
+blocks of them.  So distinct fingerprints are joined on each of the six pairs
+of 16-bit blocks, and candidates' Hamming distance is verified.  A crowded
+bucket is split by the same rule: what is free in it, 32 bits, makes four
+blocks of 8, of which two agree, and then four of 4.  A bucket of the last
+level has 8 free bits, so 256 fingerprints at most.
 """
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import prefilter, store
 from .components import components
 
-#: Buckets of more fingerprints are linked by shared neighbours, to the same result.
+#: Buckets of more fingerprints are split further.
 BUCKET = 16
 #: Parts into which the fingerprints of one component are dealt.
 SALTS = 32
-BLOCK_PAIRS = [sum(0xFFFF << 16 * k for k in pair) for pair in combinations(range(4), 2)]
+
+
+def masks(width: int = 64, taken: int = 0) -> list[tuple[int, int]]:
+    """(mask, mask of the next level) with taken bits and two of four blocks of the free ones among the first `width`; signed as Spark's longs."""
+    free = [1 << k for k in range(width) if not taken >> k & 1]
+    size = len(free) // 4
+    blocks = [sum(free[k * size : (k + 1) * size]) for k in range(4)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [(signed(taken), signed(taken | sum(two))) for two in combinations(blocks, 2)]
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
@@ -61,21 +69,23 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """From distinct fp: pairs (a, b) of linked fingerprints; enough of them to reach all that any link reaches."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in BLOCK_PAIRS]
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("block")) for k, m in enumerate(masks)])).alias("key")
-    keyed = distinct.select("fp", keys).select("fp", "key.pair", "key.block")
-    sizes = keyed.groupBy("pair", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = store.stage(keyed.join(sizes, ["pair", "block"]), "blocks")
-    few = shared.where(F.col("n") <= bucket)
+    """From distinct fp: all pairs (a, b), a < b, of fingerprints at two bits or fewer."""
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    paired = few.select("pair", "block", F.col("fp").alias("a")).join(few.select("pair", "block", F.col("fp").alias("b")), ["pair", "block"]).where(F.col("a") < F.col("b")).where(close).select("a", "b")
-    many = shared.where(F.col("n") > bucket).select("fp").distinct()
-    flips = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(64))]
-    near = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(x).cast("long")) for x in flips])).alias("spot"))
-    meets = near.groupBy("spot").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    starred = near.join(meets, "spot").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return paired.union(starred).distinct()
+    steps, keyed, found, last = masks(), distinct.withColumn("taken", F.lit(0).cast("long")), [], 2
+    for level in range(last + 1):
+        level_masks = F.broadcast(distinct.sparkSession.createDataFrame(steps, "taken long, mask long"))  # 6, 36 or 216 rows
+        keyed = keyed.join(level_masks, "taken").select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("block"))
+        sizes = keyed.groupBy("mask", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = store.stage(keyed.join(sizes, ["mask", "block"]), "blocks")
+        few = shared if level == last else shared.where(F.col("n") <= bucket)
+        sides = [few.select("mask", "block", F.col("fp").alias(name)) for name in ("a", "b")]
+        found.append(sides[0].join(sides[1], ["mask", "block"]).where("a < b").where(close).select("a", "b"))
+        crowded = shared.where(F.col("n") > bucket)
+        if level == last or crowded.isEmpty():
+            break
+        keyed = crowded.select("fp", F.col("mask").alias("taken"))
+        steps = sorted({step for _, mask in steps for step in masks(taken=mask & (1 << 64) - 1)})
+    return reduce(DataFrame.union, found).distinct()
 
 
 def classes(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -106,15 +116,32 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def keep_first(docs: DataFrame, near: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Of each component in near (id, key, component) the row whose id is the smallest, and of equal rows one; rows without id all stay.
+    """Of each component in near (id, key, component) the row whose id is the smallest; rows without id all stay.
 
     Different texts of that id stay too: nothing tells which is the document.
+    Of rows with one id and text one stays, that with the least hash of its
+    columns.  Columns of any name are kept as they are.
     """
+    id_, key, row, whole, least = store.free(docs, "id", "key", "row", "whole", "least")
     grouped = store.stage(near, "grouped")
-    goes = grouped.where("id is not null and id <> component").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_k", F.xxhash64(text_column))
-    kept = keyed.join(goes, (F.col(id_column) == F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
-    if not grouped.where("id is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        own = F.when(F.col(id_column).isNull(), F.monotonically_increasing_id())
-        kept = kept.withColumn("_row", own).dropDuplicates([id_column, "_k", "_row"])
+    goes = grouped.where("id is not null and id <> component").select("id", "key").distinct()
+    kept = without(docs.withColumn(key, F.xxhash64(text_column)), [F.col(id_column), F.col(key)], store.stage(goes, "goes"))
+    again = store.stage(grouped.where("id is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "key"), "repeated")
+    if not again.isEmpty():
+        some, others = prefilter.split(kept, [F.col(id_column), F.col(key)], again)
+        said = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        some = some.withColumn(whole, F.xxhash64(*said)).withColumn(row, F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()))
+        first = some.groupBy(F.col(id_column).alias(id_), F.col(key).alias(f"{key}_of")).agg(F.min(whole).alias(least))
+        same = F.col(id_column).isNull() | (F.col(whole) == F.col(least))
+        some = some.join(first, F.col(id_column).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(f"{key}_of"))).where(same)
+        kept = others.select(*docs.columns).union(some.dropDuplicates([id_column, key, row]).select(*docs.columns))
     return kept.select(*docs.columns)
+
+
+def without(rows: DataFrame, own: list, keys: DataFrame) -> DataFrame:
+    """rows whose columns `own` aren't among keys, a stored table of distinct rows; only rows that may be are shuffled."""
+    likely, others = prefilter.split(rows, own, keys)
+    names = store.free(rows, *[f"gone{k}" for k in range(len(own))])
+    named = keys.toDF(*names)
+    same = [a.eqNullSafe(F.col(b)) for a, b in zip(own, names, strict=True)]
+    return others.union(likely.join(named, reduce(Column.__and__, same), "left_anti"))
