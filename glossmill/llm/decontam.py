@@ -5,8 +5,9 @@ Shingles of SHINGLE words are looked for in all documents at once; what is
 found gives each shingle's number of occurrences in the corpus.  A window
 that stands in a document has all its shingles there, so its rarest one, a
 prefix of length one in the order of rarity, is the only one that has to be
-joined.  Position and length bounds drop most of what meets; the rest is
-compared word by word.  All of it is DataFrame operations.
+joined.  Bounds of length and position drop what can't be; the rest is
+compared word by word with the text, which only then is fetched, in pieces,
+for documents that have candidates.  All of it is DataFrame operations.
 """
 
 from functools import reduce
@@ -14,11 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import prefilter, store
 
 SIZE, SHINGLE = 10, 5
 #: Words of a piece of a document that is compared at a time; SIZE - 1 words of the next one are added.
 PIECE = 64
+#: Hashes of a document's words that are made into shingles at a time.
+STRIDE = 1024
 #: Distinct benchmark shingles up to which their hashes (8 bytes each) are broadcast; beyond, the join is shuffled.
 BROADCAST_SHINGLES = 2_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,21 +33,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lower, F.lit("")), SEPARATORS), "")
 
 
-def exploded(rows: DataFrame, column: str, sizes: list[int], *kept: str) -> DataFrame:
-    """(*kept, place, shingle): for each of `sizes` a row for each so many consecutive words of the array in `column`, with their hash.
+def exploded(rows: DataFrame, sizes: list[int], *kept: str) -> DataFrame:
+    """(*kept, place, shingle): for each of `sizes` a row for each so many consecutive hashes of words in the array h.
 
     The array is given to the generator as an expression: from a column Spark would infer a filter and work it out again.
     """
 
     def hashes(size: int) -> str:
-        following = "".join(f", get(_h, i + {k})" for k in range(1, size))
-        return f"slice(transform(_h, (x, i) -> xxhash64(x{following})), 1, greatest(size(_h) - {size - 1}, 0))"
+        following = "".join(f", get(h, i + {k})" for k in range(1, size))
+        return f"slice(transform(h, (x, i) -> xxhash64(x{following})), 1, greatest(size(h) - {size - 1}, 0))"
 
-    hashed = rows.select(*kept, F.transform(column, lambda x: F.xxhash64(x)).alias("_h"))
     if len(sizes) == 1:
-        return hashed.select(*kept, F.posexplode(F.expr(hashes(sizes[0]))).alias("place", "shingle"))
+        return rows.select(*kept, F.posexplode(F.expr(hashes(sizes[0]))).alias("place", "shingle"))
     placed = ", ".join(f"transform({hashes(n)}, (h, i) -> struct(i AS place, h AS shingle))" for n in sizes)
-    return hashed.select(*kept, F.expr(f"inline(concat({placed}))"))
+    return rows.select(*kept, F.expr(f"inline(concat({placed}))"))
 
 
 def windows(items: DataFrame, id_column: str, text_column: str, size: int = SIZE) -> DataFrame:
@@ -57,35 +59,44 @@ def windows(items: DataFrame, id_column: str, text_column: str, size: int = SIZE
 def occurrences(docs: DataFrame, wins: DataFrame, id_column: str, text_column: str, size: int = SIZE) -> DataFrame:
     """(id, key, start, n, window) for each place of a document at which a window of wins (n, window) stands.
 
-    key is a hash of the text, so rows that share an id are kept apart.
+    key is a hash of the text, so rows that share an id are kept apart; equal
+    rows count once.
     """
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x)).alias("h")
     distinct = store.stage(wins.select("n", "window").distinct(), "windows")
     lengths = sorted({min(r["n"], SHINGLE) for r in distinct.select("n").distinct().collect()})  # at most SHINGLE values
-    pieces = f"explode(transform(sequence(0, greatest(size(w) - 1, 0), {PIECE}), b -> struct(b AS base, array_join(slice(w, b + 1, {PIECE + size - 1}), ' ') AS piece)))"
-    split = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), words(F.col(text_column)).alias("w"))
-    cut = split.select("id", "key", F.expr(pieces).alias("p")).select("id", "key", "p.base", "p.piece")
+    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
     if not lengths:
-        return cut.select("id", "key", F.col("base").alias("start"), F.col("base").alias("n"), F.col("piece").alias("window")).limit(0)
-    own = [exploded(distinct.where(F.least("n", F.lit(SHINGLE)) == s).withColumn("w", F.split("window", " ")), "w", [s], "n", "window") for s in lengths]
+        return texts.select("id", "key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.col("text").alias("window")).limit(0)
+    own = [exploded(distinct.where(F.least("n", F.lit(SHINGLE)) == s).select("n", "window", hashed(F.split("window", " "))), [s], "n", "window") for s in lengths]
     parts = reduce(DataFrame.union, own).withColumnRenamed("place", "at")
-    known = parts.select("shingle").distinct()
+    known = store.stage(parts.select("shingle").distinct(), "known")
     known = F.broadcast(known) if known.count() <= BROADCAST_SHINGLES else known
-    met = exploded(cut.withColumn("w", F.split("piece", " ")), "w", lengths, "id", "key", "base", "piece").join(known, "shingle")
-    hits = store.stage(met, "hits")
+    strides = f"explode(transform(sequence(0, greatest(size(h) - 1, 0), {STRIDE}), b -> struct(b AS base, slice(h, b + 1, {STRIDE + SHINGLE - 1}) AS h)))"
+    cut = texts.select("id", "key", hashed(words(F.col("text")))).select("id", "key", F.size("h").alias("words"), F.expr(strides).alias("p")).select("id", "key", "words", "p.base", "p.h")
+    met = exploded(cut, lengths, "id", "key", "words", "base").where(F.col("place") < STRIDE).join(known, "shingle")
+    hits = store.stage(met.select("id", "key", "words", (F.col("base") + F.col("place")).alias("spot"), "shingle"), "hits")
     counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
     ranked = parts.join(counts, "shingle", "left").groupBy("n", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("rarest"))
     prefix = ranked.where("rarest.count > 0").select("n", "window", "rarest.shingle", "rarest.at")
-    start = F.col("place") - F.col("at")
-    bounded = hits.join(prefix, "shingle").withColumn("start", start).where((start >= 0) & (start < PIECE))
-    verified = bounded.where("array_join(slice(split(piece, ' '), start + 1, n), ' ') = window")
-    return verified.select("id", "key", (F.col("base") + F.col("start")).alias("start"), "n", "window").distinct()
+    start = F.col("spot") - F.col("at")
+    bounded = hits.join(prefix, "shingle").withColumn("start", start).where("start >= 0 AND start + n <= words").select("id", "key", "start", "n", "window")
+    candidates = store.stage(bounded.distinct(), "candidates")
+    likely, _ = prefilter.split(texts, [F.col("id"), F.col("key")], candidates.select("id", "key").distinct())
+    pieces = f"explode(transform(sequence(0, greatest(size(w) - 1, 0), {PIECE}), b -> struct(b AS base, array_join(slice(w, b + 1, {PIECE + size - 1}), ' ') AS piece)))"
+    split = likely.select(F.col("id").alias("d"), F.col("key").alias("k"), words(F.col("text")).alias("w")).select("d", "k", F.expr(pieces).alias("p")).select("d", "k", "p.base", "p.piece")
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("start") - F.col("start") % PIECE == F.col("base"))
+    verified = candidates.join(split, same).where("array_join(slice(split(piece, ' '), start - base + 1, n), ' ') = window")
+    return verified.select("id", "key", "start", "n", "window").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
     """For each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null texts have no words; without any item nothing is contaminated.  Equal
-    rows all appear.  Null item ids count for hits but name no item.
+    rows all appear.  Null item ids count for hits but name no item.  Other
+    columns, whatever their names, are left out.  A document's items are
+    gathered for their digest: as many as the benchmark has, at most.
     """
     wins = store.stage(windows(items, item_id, item_text, size), "item-windows")
     found = store.stage(occurrences(docs, wins, id_column, text_column, size), "occurrences")
@@ -109,8 +120,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
 
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
-    """The rows of docs in whose text no window of any item stands, with all their columns."""
+    """The rows of docs in whose text no window of any item stands, with all their columns, whatever these are called.
+
+    Null and blank texts stay, repeated rows stay as often as they are there;
+    without items everything stays.
+    """
+    key, *_ = store.free(docs, "key")
     wins = store.stage(windows(items, item_id, item_text, size), "item-windows")
-    dirty = occurrences(docs, wins, id_column, text_column, size).select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_column) == F.col("_key"))
-    return docs.join(store.stage(dirty, "dirty"), same, "left_anti")
+    dirty = store.stage(occurrences(docs, wins, id_column, text_column, size).select("id", "key").distinct(), "dirty")
+    return prefilter.without(docs.withColumn(key, F.xxhash64(text_column)), [F.col(id_column), F.col(key)], dirty).select(*docs.columns)

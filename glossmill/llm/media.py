@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: Samples in a row of the image that holds a text's bytes.
 WIDTH = 64
+#: Rows of an image that are summed at a time.
+BAND = 8192
+#: Bit fields of a 32-bit BMP whose bytes are blue, green, red.
+PLAIN_FIELDS = bytes.fromhex("0000ff00" "00ff0000" "ff000000")
 
 
 def decode(data: bytes):
@@ -41,12 +45,17 @@ def _netpbm(data: bytes):
     width, height, top = *header[:2], header[2] if len(header) > 2 else 1
     if not 0 < top < 65536:
         raise ValueError("maximum sample value out of range")
+    if not width or not height:
+        raise ValueError("no samples")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     n = width * height * (3 if kind in (3, 6) else 1)
     if kind == 1:
         found = np.frombuffer(re.sub(rb"#[^\n\r]*|\s+", b"", data[at:])[:n], np.uint8) - ord("0")
     elif kind < 4:
-        found = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.int64).astype(np.uint8 if top < 256 else np.uint16)
+        try:
+            found = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.int64)
+        except OverflowError:
+            raise ValueError("sample over the maximum") from None
     elif kind == 4:
         stride = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, count=stride * height, offset=at + 1) if len(data) >= at + 1 + stride * height else np.zeros(0, np.uint8)
@@ -60,7 +69,9 @@ def _netpbm(data: bytes):
         found = np.frombuffer(data, sample, count=n, offset=at + 1).astype(sample.newbyteorder("="))
     if len(found) < n:
         raise ValueError("too few samples")
-    return found.reshape(shape)
+    if kind < 4 and (found.max() > top or found.min() < 0):
+        raise ValueError("sample over the maximum")
+    return found.astype(np.uint8 if top < 256 else np.uint16, copy=False).reshape(shape)
 
 
 def _bmp(data: bytes):
@@ -72,7 +83,8 @@ def _bmp(data: bytes):
         raise ValueError("BMP header cut short")
     start, head, width, height = struct.unpack_from("<I", data, 10)[0], *struct.unpack_from("<Iii", data, 14)
     bits, packing = struct.unpack_from("<HI", data, 28)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    fields = data[54:66] if packing == 3 else PLAIN_FIELDS
+    if head < 40 or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height or (packing, bits) not in [*((0, b) for b in (1, 4, 8, 24, 32)), (3, 32)] or fields != PLAIN_FIELDS:
         raise ValueError("BMP of a kind that isn't read")
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
     if len(data) < start + stride * rows:
@@ -85,6 +97,8 @@ def _bmp(data: bytes):
     palette = np.frombuffer(data, np.uint8, count=4 * colours, offset=14 + head).reshape(-1, 4)[:, 2::-1]
     split = np.unpackbits(lines, axis=1).reshape(rows, -1, bits)
     index = (split * (1 << np.arange(bits)[::-1])).sum(axis=2)[:, :width]
+    if index.max() >= colours:
+        raise ValueError("colour beyond the palette")
     return palette[index]
 
 
@@ -94,13 +108,13 @@ def encode_pgm(samples) -> bytes:
 
 
 def area_resize(image, rows: int, columns: int):
-    """The image as float64 means over equal areas, fractions of samples included, from one integral image."""
+    """The image as float64 means over equal areas, fractions of samples included, from one integral image.
+
+    The integral image is made band by band; only the lines at edges of cells are kept.
+    """
     import numpy as np
 
-    grey = image.mean(axis=2) if image.ndim == 3 else image
-    height, width = grey.shape
-    sums = np.zeros((height + 1, width + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=sums[1:, 1:])
+    height, width = image.shape[:2]
 
     def edges(n: int, cells: int):
         at = np.arange(cells + 1) * (n / cells)
@@ -108,7 +122,16 @@ def area_resize(image, rows: int, columns: int):
         return low, at - low
 
     (r, fr), (c, fc) = edges(height, rows), edges(width, columns)
-    lines = sums[r] * (1 - fr)[:, None] + sums[r + 1] * fr[:, None]
+    wanted = np.union1d(r, r + 1)
+    sums, above = np.zeros((len(wanted), width + 1)), np.zeros(width)
+    for at in range(0, height, BAND):
+        band = image[at : at + BAND]
+        band = np.cumsum(band.mean(axis=2) if band.ndim == 3 else band, axis=0, dtype=np.float64) + above
+        above = band[-1].copy()
+        inside = (wanted > at) & (wanted <= at + len(band))
+        sums[inside, 1:] = np.cumsum(band[wanted[inside] - at - 1], axis=1)
+    at = np.searchsorted(wanted, r)
+    lines = sums[at] * (1 - fr)[:, None] + sums[at + 1] * fr[:, None]
     corners = lines[:, c] * (1 - fc) + lines[:, c + 1] * fc
     cells = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
     return cells / (height / rows * (width / columns))
@@ -155,6 +178,8 @@ def write_tiles(media: DataFrame, path: str, id_column: str, media_column: str,
 
     to_image turns a media value into image bytes where it isn't one yet.
     Null or unreadable media give null arrays and the reason in `error`.
+    Repeated rows all appear, null ids too; an empty table gives files without
+    rows; other columns, whatever their names, are left out.
     """
 
     def tiles(batches):
@@ -184,7 +209,10 @@ def write_tiles(media: DataFrame, path: str, id_column: str, media_column: str,
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """From tiles read back: id, n_bytes, payload and stored form digests, and the difference hash of the array as stored."""
+    """From tiles read back: id, n_bytes, payload and stored form digests, and the difference hash of the array as stored.
+
+    A row for each stored one; where no array is stored all but id and n_bytes are null.
+    """
 
     def digest(batches):
         import hashlib

@@ -38,3 +38,12 @@ def split(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[DataFram
     bit = lambda spot: F.getbit(byte(spot), spot.bitwiseAND(F.lit(7)).cast("int")) == 1
     found = F.coalesce(reduce(Column.__and__, [bit(x) for x in mine[1:]]), F.lit(False))
     return marked.where(found).select(*rows.columns), marked.where(~found).select(*rows.columns)
+
+
+def without(rows: DataFrame, own: list[Column], keys: DataFrame) -> DataFrame:
+    """rows whose columns `own` aren't among keys, a stored table of distinct rows; nulls are equal, and only rows that may be are shuffled."""
+    likely, others = split(rows, own, keys)
+    names = store.free(rows, *[f"gone{k}" for k in range(len(own))])
+    named = keys.toDF(*names)
+    same = [a.eqNullSafe(F.col(b)) for a, b in zip(own, names, strict=True)]
+    return others.union(likely.join(named, reduce(Column.__and__, same), "left_anti"))

@@ -32,7 +32,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, split = store.new_folder(spark, "warc-whole"), store.new_folder(spark, "warc")
-    written = warc.write_monolithic(warc.decide(table(spark, sf_dir, "pages")), whole)
+    written = warc.write_monolithic(warc.decide(table(spark, sf_dir, "pages").select("page_id", "url", "html")), whole)
     return warc.read(warc.normalise(written, split, remove=True))
 
 

@@ -7,35 +7,40 @@ from . import store
 
 
 def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame, int]:
-    """Adds bytes_before and rows_before in the order of `order`; also gives the bytes in all.
+    """Adds rows_before and bytes_before in the order of `order`; also gives the bytes in all.
 
     Range partitions are sorted each on its own and count as they go; only a
     total for each partition meets the others.  The counted rows are stored,
-    so that totals and rows come from one and the same order.
+    so that totals and rows come from one and the same order.  Rows that are
+    equal in `order` may lie in several partitions.  A null size counts as 0.
     """
+    part, rows_, bytes_, n, row = store.free(rows, "part", "rows_before", "bytes_before", "sized", "row")
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seen, bytes_seen = TaskContext.get().partitionId(), 0, 0
+        own, seen, bytes_seen = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            sizes = batch.column(batch.schema.get_field_index(size)).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = bytes_seen + sizes.cumsum()
-            extra = [np.full(len(sizes), part, np.int32), seen + np.arange(len(sizes), dtype=np.int64), ends - sizes]
+            extra = [np.full(len(sizes), own, np.int32), seen + np.arange(len(sizes), dtype=np.int64), ends - sizes]
             seen, bytes_seen = seen + len(sizes), int(ends[-1]) if len(sizes) else bytes_seen
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, extra)], [*batch.schema.names, "_part", "_rows", "_bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, extra)], [*batch.schema.names[:-1], part, rows_, bytes_])
 
-    ordered = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in rows.dtypes) + ", _part int, _rows long, _bytes long"
+    keys = [*order, row]
+    sized = rows.withColumn(n, F.coalesce(F.col(size).cast("long"), F.lit(0))).withColumn(row, F.monotonically_increasing_id())
+    ordered = sized.repartitionByRange(*[F.col(c) for c in keys]).sortWithinPartitions(*keys).drop(row)
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + f", `{part}` int, `{rows_}` long, `{bytes_}` long"
     counted = store.stage(ordered.mapInArrow(count, schema), "prefix")
-    totals = counted.groupBy("_part").agg(F.count(F.lit(1)).alias("r"), F.sum(size).alias("b"))  # a row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b"))
-    sums = counted.join(bases, "_part")
-    total = totals.agg(F.sum("b")).first()[0] or 0
-    return sums.withColumn("rows_before", F.col("r") + F.col("_rows")).withColumn("bytes_before", F.col("b") + F.col("_bytes")).drop("_part", "_rows", "_bytes", "r", "b"), total
+    total_rows, total_bytes = F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.col(size).cast("long"), F.lit(0))), F.lit(0))
+    totals = counted.groupBy(part).agg(total_rows.alias("r"), total_bytes.alias("b"))  # a row for each partition
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    base = [f"{c}_base" for c in (part, rows_, bytes_)]
+    bases = totals.select(F.col(part).alias(base[0]), F.coalesce(F.sum("r").over(before), F.lit(0)).alias(base[1]), F.coalesce(F.sum("b").over(before), F.lit(0)).alias(base[2]))
+    sums = counted.join(bases, F.col(part) == F.col(base[0])).withColumns({c: F.col(c) + F.col(f"{c}_base") for c in (rows_, bytes_)})
+    return sums.select(*rows.columns, rows_, bytes_), totals.agg(F.sum("b")).first()[0] or 0
 
 
 def shard_by_bytes(rows: DataFrame, order: list[str], size: str = "size", shards: int = 16) -> DataFrame:
@@ -43,15 +48,19 @@ def shard_by_bytes(rows: DataFrame, order: list[str], size: str = "size", shards
 
     A row goes where the middle of its bytes lies among equal targets, so a
     shard is off by at most a row's size.  Ties in `order` take any order;
-    null keys come first; a row without bytes is sized as `size` says.
+    null keys come first; a null size is 0.  An empty table gives no rows.
+    The added columns' names follow store.free.
     """
+    rows_, bytes_ = store.free(rows, "rows_before", "bytes_before")
+    shard, slot = store.free(rows, "shard", "slot")
     summed, total = prefix_sums(rows, order, size)
-    middle = f"(2 * bytes_before + `{size}`) * {shards} div {2 * max(total, 1)}"
-    sharded = summed.withColumn("shard", F.expr(f"cast(least({shards - 1}, {middle}) as int)"))
-    firsts = sharded.groupBy("shard").agg(F.min("rows_before").alias("first"))  # a row for each shard
-    return sharded.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rows_before") - F.col("first")).drop("first", "rows_before", "bytes_before")
+    middle = f"(2 * `{bytes_}` + coalesce(cast(`{size}` as long), 0)) * {shards} div {2 * max(total, 1)}"
+    sharded = summed.withColumn(shard, F.expr(f"cast(least({shards - 1}, {middle}) as int)"))
+    firsts = sharded.groupBy(F.col(shard).alias("shard_of_first")).agg(F.min(rows_).alias("first_of_shard"))  # a row for each shard
+    placed = sharded.join(F.broadcast(firsts), F.col(shard) == F.col("shard_of_first"))
+    return placed.withColumn(slot, F.col(rows_) - F.col("first_of_shard")).select(*rows.columns, shard, slot)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """A folder for each shard, rows in slot order."""
+    """A folder for each shard, rows in slot order; of shard_by_bytes() over a table without columns called shard or slot."""
     sharded.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)

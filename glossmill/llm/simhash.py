@@ -11,7 +11,7 @@ level has 8 free bits, so 256 fingerprints at most.
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefilter, store
@@ -125,7 +125,7 @@ def keep_first(docs: DataFrame, near: DataFrame, id_column: str = "doc_id", text
     id_, key, row, whole, least = store.free(docs, "id", "key", "row", "whole", "least")
     grouped = store.stage(near, "grouped")
     goes = grouped.where("id is not null and id <> component").select("id", "key").distinct()
-    kept = without(docs.withColumn(key, F.xxhash64(text_column)), [F.col(id_column), F.col(key)], store.stage(goes, "goes"))
+    kept = prefilter.without(docs.withColumn(key, F.xxhash64(text_column)), [F.col(id_column), F.col(key)], store.stage(goes, "goes"))
     again = store.stage(grouped.where("id is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "key"), "repeated")
     if not again.isEmpty():
         some, others = prefilter.split(kept, [F.col(id_column), F.col(key)], again)
@@ -136,12 +136,3 @@ def keep_first(docs: DataFrame, near: DataFrame, id_column: str = "doc_id", text
         some = some.join(first, F.col(id_column).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(f"{key}_of"))).where(same)
         kept = others.select(*docs.columns).union(some.dropDuplicates([id_column, key, row]).select(*docs.columns))
     return kept.select(*docs.columns)
-
-
-def without(rows: DataFrame, own: list, keys: DataFrame) -> DataFrame:
-    """rows whose columns `own` aren't among keys, a stored table of distinct rows; only rows that may be are shuffled."""
-    likely, others = prefilter.split(rows, own, keys)
-    names = store.free(rows, *[f"gone{k}" for k in range(len(own))])
-    named = keys.toDF(*names)
-    same = [a.eqNullSafe(F.col(b)) for a, b in zip(own, names, strict=True)]
-    return others.union(likely.join(named, reduce(Column.__and__, same), "left_anti"))

@@ -11,7 +11,7 @@ bits, taken from words lower-cased in A-Z with single spaces between them: of
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import prefilter, store
 
 #: Words of the shortest line that is a unit, by default: shorter ones (headings, signatures, single brackets) recur in unrelated texts.
 LINE = 5
@@ -161,10 +161,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     one is called removed, the added column is removed_ (see store.free).
     """
     removed, id_, key, marks_ = store.free(docs, "removed", "id", "key", "marks")
-    marks = repeats(store.stage(units(docs, id_column, text_column, line), "units"))
+    marks = store.stage(repeats(store.stage(units(docs, id_column, text_column, line), "units")), "marks")
     found = marks.select(F.col("id").alias(id_), F.col("key").alias(key), F.col("marks").alias(marks_))
-    same = F.col(id_column).eqNullSafe(F.col(id_)) & (F.xxhash64(text_column) == F.col(key))
-    joined = docs.join(found, same, "left").select(*docs.columns, marks_)
+    own = [F.col(id_column), F.xxhash64(text_column)]
+    likely, others = prefilter.split(docs, own, marks.select("id", "key"))
+    joined = likely.join(found, F.col(id_column).eqNullSafe(F.col(id_)) & (F.xxhash64(text_column) == F.col(key)), "left").select(*docs.columns, marks_)
 
     def rewrite(batches):
         import pyarrow as pa
@@ -183,5 +184,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 columns[where], columns[-1] = pa.array(texts, batch.schema.field(where).type), pa.array(cuts, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], removed])
 
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", {removed} array<struct<start: int, end: int>>"
-    return joined.mapInArrow(rewrite, schema)
+    kind = "array<struct<start: int, end: int>>"
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", {removed} {kind}"
+    return others.withColumn(removed, F.array().cast(kind)).union(joined.mapInArrow(rewrite, schema))

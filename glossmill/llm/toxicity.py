@@ -14,11 +14,15 @@ that is within NOISE standard deviations.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 #: Labelled rows of each grade that the fit may use, those with the least hash of their id.
 SAMPLE = 2500
 #: Hashed words; the model has this many weights whatever the corpus.
 BUCKETS = 1 << 18
 GRADES = 3
+#: Features of a labelled row that the fit may use, those that tell most: with SAMPLE this bounds what the driver gets, by 370 MB.
+FEATURES = 4096
 #: Bytes of the beginnings of words; documents added to a feature's count as if at random; what passes for chance.
 STEMS, PRIOR, NOISE = (4, 5, 6, 7), 3.0, 1.5
 #: Words whose scores a task keeps at most.
@@ -40,24 +44,17 @@ def words(data: bytes) -> set[bytes]:
 
 
 def features(data: bytes):
-    """Indexes of all features of the distinct words, as often as they stand for one of these."""
+    """(indexes, counts) of the distinct features of the distinct words: as many of these as have the feature."""
     import numpy as np
 
-    return np.fromiter((k for w in sorted(words(data)) for k in word_features(w)), np.int64)
+    return np.unique(np.fromiter((k for w in words(data) for k in word_features(w)), np.int64), return_counts=True)
 
 
-def scale(rows: list[tuple[int, object]]):
-    """The factor of each feature from (grade, indexes) rows; 0 for features that tell no more than chance."""
+def scale(toxic, every, n_toxic: int, n: int):
+    """The factor of each feature from the numbers of toxic and of all rows that have it; 0 for features that tell no more than chance."""
     import numpy as np
 
-    toxic, every, n = np.zeros(BUCKETS), np.zeros(BUCKETS), 0
-    for grade, index in rows:
-        own = np.unique(index)
-        every[own] += 1
-        if grade:
-            toxic[own] += 1
-            n += 1
-    chance = every * n / max(1, len(rows))
+    chance = every * n_toxic / max(1, n)
     factor = np.log((PRIOR + toxic) / (PRIOR + chance))
     factor[np.abs(toxic - chance) < NOISE * np.sqrt(chance + 1)] = 0
     return factor
@@ -99,41 +96,63 @@ def fit(rows: list[tuple[int, object, object]], rounds: int = 300, penalty: floa
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE):
     """Fit on labelled rows (id, toxic, quality); rows without a label, id or text are passed over.
 
-    Without any toxic or any clean labels the model says what the labels say.
+    Rows that share an id count each for itself, with each of its labels.
+    Other columns, whatever their names, are left out.  Without any toxic or
+    any clean labels the model says what the labels say.
     """
+    import numpy as np
+
     grade = F.when(F.col("toxic") == 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 2).otherwise(1)
-    graded = labels.where(f"toxic is not null and `{id_column}` is not null").select(F.col(id_column).alias("_id"), grade.alias("_grade"))
+    graded = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("labelled"), grade.alias("grade"))
     chosen = None
     for g in range(GRADES):
-        part = graded.where(F.col("_grade") == g).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+        part = graded.where(F.col("grade") == g).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
 
     def sparse(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(x.as_py()).astype(np.int32).tobytes() for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "at"])
-
-    import numpy as np
+            rows = [features(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+            columns = [pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["grade", "at", "times"])
+
+    texts = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    labelled = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("grade", "text")  # at most GRADES * sample rows
+    told = store.stage(labelled.mapInArrow(sparse, "grade int, at array<int>, times array<int>"), "features")
+    grades = {r["grade"]: r["n"] for r in told.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # GRADES rows
+    totals = told.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("at").alias("k")).groupBy("k").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).toArrow()  # at most BUCKETS rows
+    toxic, every, at = np.zeros(BUCKETS), np.zeros(BUCKETS), totals.column("k").to_numpy()
+    toxic[at], every[at] = totals.column("toxic").to_numpy(), totals.column("n").to_numpy()
+    factor = scale(toxic, every, sum(n for g, n in grades.items() if g), sum(grades.values()))
+    shared = docs.sparkSession.sparkContext.broadcast(factor)
+
+    def most(batches):
+        import pyarrow as pa
 
-    labelled = docs.where(F.col(text_column).isNotNull()).join(F.broadcast(chosen), F.col(id_column) == F.col("_id"))  # at most GRADES * sample rows
-    found = labelled.select(F.col("_grade").alias("grade"), text_column).mapInArrow(sparse, "grade int, at binary").collect()
-    rows = [(g, np.frombuffer(data, np.int32)) for g, data in sorted((r["grade"], bytes(r["at"])) for r in found)]
-    factor, scaled = scale(rows), []
-    for g, index in rows:
-        own, counts = np.unique(index[factor[index] != 0], return_counts=True)
-        scaled.append((g, own, factor[own] * counts))
-    weights, thresholds = fit(scaled)
+        for batch in batches:
+            rows = []
+            for at, times in zip(batch.column(1), batch.column(2), strict=True):
+                at, value = np.array(at.as_py(), np.int64), np.array(times.as_py(), float)
+                value = value * shared.value[at]
+                kept = np.sort(np.argsort(-np.abs(value), kind="stable")[: min(FEATURES, np.count_nonzero(value))])
+                rows.append((at[kept].astype("<i4").tobytes(), value[kept].astype("<f8").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2))], ["grade", "at", "value"])
+
+    rows = told.mapInArrow(most, "grade int, at binary, value binary").collect()  # at most GRADES * sample * FEATURES indexes and values
+    ordered = sorted((r["grade"], bytes(r["at"]), bytes(r["value"])) for r in rows)
+    weights, thresholds = fit([(g, np.frombuffer(at, "<i4"), np.frombuffer(value, "<f8")) for g, at, value in ordered])
     return weights * factor, thresholds
 
 
 def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", reject: float = 0.25) -> DataFrame:
     """Adds severity (the expected grade), grade (the likeliest) and rejected (the chance of any toxic grade is over `reject`).
 
-    Null and empty texts get severity 0 and stay.
+    Null texts and those without a letter get severity 0 and stay.  Every row
+    is scored by itself, so repeated rows get equal values.  The added
+    columns' names follow store.free.
     """
+    added = store.free(docs, "severity", "grade", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def grades(batches):
@@ -159,7 +178,7 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
                 over = 1 / (1 + np.exp(np.clip(np.stack([low - s, high - s]), -40, 40)))
                 over[:, np.isinf(s)] = 0
                 severity, each = over.sum(axis=0), np.stack([1 - over[0], over[0] - over[1], over[1]])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity.round(6)), pa.array(each.argmax(axis=0).astype(np.int32)), pa.array(over[0] > reject)], [*batch.schema.names, "severity", "grade", "rejected"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity.round(6)), pa.array(each.argmax(axis=0).astype(np.int32)), pa.array(over[0] > reject)], [*batch.schema.names, *added])
 
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + ", severity double, grade int, rejected boolean"
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", {added[0]} double, {added[1]} int, {added[2]} boolean"
     return docs.mapInArrow(grades, schema)

@@ -11,11 +11,13 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import prefilter, store
 
 #: Level of compression: archives are read more often than written.
 LEVEL = 5
-MANIFEST = "path string, records long, bytes long"
+MANIFEST = "path string, records long, bytes long, error string"
+#: Tasks that archives are dealt to, at most.
+TASKS = 4096
 
 
 def decide(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", least_bytes: int = 1000) -> DataFrame:
@@ -24,15 +26,21 @@ def decide(pages: DataFrame, id_column: str = "page_id", payload_column: str = "
     Of rows with equal payloads of least_bytes or more the one with the
     largest id is the response and the others revisit it; rows that share
     that id are all responses.  Null payloads are empty, null ids never the
-    largest unless all are null, and then all are responses.
+    largest unless all are null, and then all are responses.  The added
+    columns' names follow store.free.
     """
+    digest, kind, refers, same, kept = store.free(pages, "digest", "record_type", "refers_to", "same", "kept")
     payload = F.coalesce(F.col(payload_column), F.lit(""))
-    rows = pages.withColumn("digest", F.sha1(F.encode(payload, "UTF-8")))
     large = F.octet_length(payload) >= least_bytes
-    copies = rows.where(large).groupBy("digest").agg(F.max(id_column).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisit = F.col("kept").isNotNull() & ~F.col(id_column).eqNullSafe(F.col("kept"))
-    joined = rows.join(copies, "digest", "left")
-    return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("kept"))).drop("kept")
+    rows = pages.withColumn(digest, F.sha1(F.encode(payload, "UTF-8")))
+    copies = rows.where(large).groupBy(F.col(digest).alias(same)).agg(F.max(id_column).alias(kept), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = store.stage(copies, "copies")
+    likely, others = prefilter.split(rows.where(large), [F.col(digest)], copies.select(same))
+    revisit = F.col(kept).isNotNull() & ~F.col(id_column).eqNullSafe(F.col(kept))
+    joined = likely.join(copies, F.col(digest) == F.col(same), "left")
+    decided = joined.withColumn(kind, F.when(revisit, "revisit").otherwise("response")).withColumn(refers, F.when(revisit, F.col(kept))).drop(same, kept)
+    alone = [rest.withColumn(kind, F.lit("response")).withColumn(refers, F.lit(None).cast(dict(pages.dtypes)[id_column])) for rest in (rows.where(~large), others)]
+    return decided.union(alone[0]).union(alone[1])
 
 
 def record(page, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
@@ -86,7 +94,10 @@ def records(chunks):
                 raise ValueError("archive ends in a record's head")
         if not buffer.startswith(b"WARC/"):
             raise ValueError("no WARC record where one should start")
-        end = at + 4 + int(parse_fields(bytes(buffer[:at]))["content-length"])
+        length = parse_fields(bytes(buffer[:at])).get("content-length", "")
+        if not length.isdecimal():
+            raise ValueError("record without Content-Length")
+        end = at + 4 + int(length)
         if not fill(end):
             raise ValueError("archive ends in a record's block")
         yield bytes(buffer[:end]) + b"\r\n\r\n"
@@ -94,27 +105,36 @@ def records(chunks):
 
 
 def inflated(source, size: int = 1 << 18):
-    """The chunks of a gzip stream of one or many members, read once."""
+    """The chunks of a gzip stream of one or many members, read once; ValueError if it is broken or ends before its end."""
     import zlib
 
-    engine = zlib.decompressobj(31)
+    engine, begun = zlib.decompressobj(31), False
     while data := source.read(size):
         while data:
-            if part := engine.decompress(data):
+            try:
+                part, begun = engine.decompress(data), True
+            except zlib.error as why:
+                raise ValueError(f"broken gzip stream: {why}") from None
+            if part:
                 yield part
             data = engine.unused_data
             if engine.eof:
-                engine = zlib.decompressobj(31)
+                engine, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("gzip stream cut short")
 
 
-def write_monolithic(decided: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", file_bytes: int = 64 << 20) -> DataFrame:
-    """Write each partition's records into archives gzipped as one stream, of about file_bytes unpacked; a stored manifest of them."""
+def write_monolithic(decided: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", added: tuple = ("digest", "record_type", "refers_to"), file_bytes: int = 64 << 20) -> DataFrame:
+    """Write each partition's records into archives gzipped as one stream, of about file_bytes unpacked; a stored manifest of them.
+
+    added: what decide() has called its columns.  Null urls and payloads are
+    empty, null ids give records without one.  Repeated rows are records of
+    their own; an empty table makes no archive.
+    """
 
     def write(batches):
         import zlib
 
-        import pyarrow as pa
-
         def rows():
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
@@ -132,52 +152,83 @@ def write_monolithic(decided: DataFrame, folder: str, id_column: str = "page_id"
                     n, raw, row = n + 1, raw + len(data), next(more, None)
                 out.write(packer.flush())
             k += 1
-            yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [raw]})
+            yield _manifest([path], [n], [raw], [None])
 
-    rows = decided.select(id_column, url_column, payload_column, "digest", "record_type", "refers_to")
+    rows = decided.select(id_column, url_column, payload_column, *added)
     return store.stage(rows.mapInArrow(write, MANIFEST), "manifest")
 
 
+def _manifest(*columns):
+    import pyarrow as pa
+
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "records", "bytes", "error"])
+
+
+def spread(manifest: DataFrame) -> DataFrame:
+    """The paths of a manifest's whole archives, dealt round to at most TASKS tasks."""
+    whole = manifest.where("error is null").select("path")
+    return whole.repartition(max(1, min(TASKS, whole.count())))
+
+
 def normalise(manifest: DataFrame, folder: str, remove: bool = False) -> DataFrame:
     """Rewrite each archive of the manifest with a member for each record, beside it `.idx` lines of offset, length, id and type.
 
-    remove deletes a source once its copy is whole; a task that runs again finds the copy and leaves it.
+    An archive that is broken or cut short gives no file, but a row of the
+    manifest with the reason in `error`; it stays where it is.  remove deletes
+    the others' sources, when all copies are whole; a task that runs again
+    finds its copy and leaves it.
     """
 
     def rewrite(batches):
         import zlib
 
-        import pyarrow as pa
-
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 path = f"{folder}/{source.rpartition('/')[2]}"
                 fs, there = store.file_system(path)
                 origin = store.file_system(source)[1]
-                if fs.get_file_info(f"{there}.idx").type.name == "NotFound":
-                    lines, at = [], 0
-                    with fs.open_input_stream(origin, compression=None) as stream, store.whole_file(path) as out:
-                        for data in records(inflated(stream)):
-                            packer = zlib.compressobj(LEVEL, wbits=31)
-                            member = packer.compress(data) + packer.flush()
-                            fields = parse_fields(data[: data.index(b"\r\n\r\n")])
-                            lines.append(json.dumps({"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type")}))
-                            out.write(member)
-                            at += len(member)
-                    with store.whole_file(f"{path}.idx") as out:
-                        out.write("".join(x + "\n" for x in lines).encode())
-                with fs.open_input_stream(f"{there}.idx", compression=None) as index:
-                    n = index.read().count(b"\n")
-                if remove and fs.get_file_info(origin).type.name != "NotFound":
-                    fs.delete_file(origin)
-                yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [fs.get_file_info(there).size]})
+                try:
+                    if fs.get_file_info(f"{there}.idx").type.name == "NotFound":
+                        lines, at = [], 0
+                        with fs.open_input_stream(origin, compression=None) as stream, store.whole_file(path) as out:
+                            for data in records(inflated(stream)):
+                                packer = zlib.compressobj(LEVEL, wbits=31)
+                                member = packer.compress(data) + packer.flush()
+                                fields = parse_fields(data[: data.index(b"\r\n\r\n")])
+                                lines.append(json.dumps({"offset": at, "length": len(member), "id": fields.get("warc-record-id"), "type": fields.get("warc-type")}))
+                                out.write(member)
+                                at += len(member)
+                        with store.whole_file(f"{path}.idx") as out:
+                            out.write("".join(x + "\n" for x in lines).encode())
+                    with fs.open_input_stream(f"{there}.idx", compression=None) as index:
+                        n = index.read().count(b"\n")
+                    yield _manifest([path], [n], [fs.get_file_info(there).size], [None])
+                except ValueError as why:
+                    yield _manifest([source], [None], [None], [str(why)])
+
+    def delete(batches):
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                fs, there = store.file_system(source)
+                if fs.get_file_info(there).type.name != "NotFound":
+                    fs.delete_file(there)
+            yield _manifest([], [], [], [])
 
-    spread = manifest.select("path").repartition(max(1, manifest.count()), "path")
-    return store.stage(spread.mapInArrow(rewrite, MANIFEST), "manifest")
+    done = store.stage(spread(manifest).mapInArrow(rewrite, MANIFEST), "manifest")
+    if remove:
+        failed = done.where("error is not null").select("path")
+        spread(manifest.join(failed, "path", "left_anti")).mapInArrow(delete, MANIFEST).count()
+    return done
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """The records of normalised archives, each read alone by its index line: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records of normalised archives, each read alone by its index line: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Rows of the manifest with an error are passed over.  page_id is null for
+    records whose name has no page.  A record of another type is its own
+    payload; what a revisit doesn't say is null.
+    """
 
     def parse(batches):
         import base64
@@ -186,7 +237,10 @@ def read(manifest: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        number = lambda x: int(x) if (x := (x or "").removeprefix("<urn:page:").removesuffix(">")) else None
+        def number(name: str | None) -> int | None:
+            bare = (name or "").removeprefix("<urn:page:").removesuffix(">")
+            return int(bare) if bare.removeprefix("-").isdecimal() else None
+
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
@@ -201,15 +255,15 @@ def read(manifest: DataFrame) -> DataFrame:
                         data = zlib.decompress(archive.read(line["length"]), 31)
                         head, _, block = data.partition(b"\r\n\r\n")
                         fields = parse_fields(head)
-                        http, _, payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")
-                        kind = fields["warc-type"]
-                        if kind == "response":
-                            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                        block, kind = block[: int(fields["content-length"])], fields.get("warc-type")
+                        http, _, payload = block.partition(b"\r\n\r\n") if kind in ("response", "revisit") else (b"", b"", block)
+                        if kind == "revisit":
+                            size, told = parse_fields(http).get("content-length"), fields.get("warc-payload-digest", "")
+                            size, digest = size and int(size), base64.b32decode(told[5:]).hex() if told.startswith("sha1:") else None
                         else:
-                            size, digest = int(parse_fields(http)["content-length"]), base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        rows.append((number(fields["warc-record-id"]), size, digest, kind, number(fields.get("warc-refers-to"))))
+                            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                        rows.append((number(fields.get("warc-record-id")), size, digest, kind, number(fields.get("warc-refers-to"))))
                 columns = zip(*rows, strict=True) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    spread = manifest.select("path").repartition(max(1, manifest.count()), "path")
-    return spread.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread(manifest).mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from glossmill.llm import media, warc
+from glossmill.llm import media, queries, warc
 
 
 def bmp(array, bits, palette=None):
@@ -48,7 +48,15 @@ def test_decode_bmp():
         assert (media.decode(bmp(index, bits, palette)) == palette[index]).all()
 
 
-@pytest.mark.parametrize("data", [b"", b"P5", b"P5 4 4 255\nab", b"BM", b"P9 1 1", b"GIF89a", b"BM" + b"\0" * 60, b"P2 2 2 0\n1 1 1 1", b"P4 9 9\nx"])
+WITH_FIELDS = b"BM" + struct.pack("<IHHI", 70, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 32, 3, 4, 0, 0, 0, 0) + struct.pack("<III", 0xFF, 0xFF00, 0xFF0000) + b"abcd"
+
+
+def test_bit_fields_in_the_usual_order():
+    data = WITH_FIELDS[:54] + struct.pack("<III", 0xFF0000, 0xFF00, 0xFF) + b"abcd"
+    assert media.decode(data).tolist() == [[[ord("c"), ord("b"), ord("a")]]]
+
+
+@pytest.mark.parametrize("data", [b"", b"P5", b"P5 4 4 255\nab", b"BM", b"P9 1 1", b"GIF89a", b"BM" + b"\0" * 60, b"P2 2 2 0\n1 1 1 1", b"P4 9 9\nx", b"P5 0 0 255\n", b"P2 1 1 255\n" + b"9" * 30, b"P2 1 1 9\n10", b"P1 1 1\n7", bmp(np.full((1, 1), 3), 4, [(0, 0, 0)] * 2), WITH_FIELDS])
 def test_what_is_no_image(data):
     with pytest.raises(ValueError):
         media.decode(data)
@@ -63,6 +71,16 @@ def test_area_resize():
     assert np.allclose(media.area_resize(image[:1, :1], 8, 9), image[0, 0])
 
 
+@pytest.mark.parametrize("band", [1, 5, 12, 100])
+def test_area_resize_in_bands(monkeypatch, band):
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (12, 30, 3)).astype(np.uint8)
+    monkeypatch.setattr(media, "BAND", band)
+    grey = image.mean(axis=2)
+    for rows in (1, 2, 4, 12):
+        assert np.allclose(media.area_resize(image, rows, 5), grey.reshape(rows, 12 // rows, 5, 6).mean(axis=(1, 3)))
+
+
 def test_media_columns(spark, tmp_path):
     texts = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500), (5, "x" * 64), (6, "abc"), (6, "abc"), (None, "q" * 200_000)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in texts], "doc_id long, text string, media string")
@@ -76,11 +94,11 @@ def test_media_columns(spark, tmp_path):
         assert len(r.feature) == 16
     assert rows[1, 3].media_sha256 == rows[6, 3].media_sha256
     assert spark.read.parquet(str(tmp_path / "t")).count() == len(texts)
-    odd = spark.createDataFrame([(1, bytearray(b"P5 2 1 255\n\1\2")), (2, bytearray(b"no image")), (3, None)], "k long, m binary")
+    odd = spark.createDataFrame([(1, bytearray(b"P5 2 1 255\n\1\2")), (2, bytearray(b"no image")), (3, None), (4, bytearray(WITH_FIELDS)), (5, bytearray(b"P5 0 0 255\n"))], "k long, m binary")
     media.write_tiles(odd, str(tmp_path / "o"), "k", "m")
     got = {r.id: (r.error, r.media is None) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert got == {1: (None, False), 2: ("neither Netpbm nor BMP", True), 3: ("null", True)}
-    assert media.describe(spark.read.parquet(str(tmp_path / "o"))).count() == 3
+    assert got == {1: (None, False), 2: ("neither Netpbm nor BMP", True), 3: ("null", True), 4: ("BMP of a kind that isn't read", True), 5: ("no samples", True)}
+    assert media.describe(spark.read.parquet(str(tmp_path / "o"))).count() == 5
     media.write_tiles(docs.limit(0), str(tmp_path / "e"), "doc_id", "text", to_image=media.text_image)
     assert media.describe(spark.read.parquet(str(tmp_path / "e"))).count() == 0
 
@@ -101,7 +119,9 @@ def test_warc(spark, tmp_path):
     for name in ("whole", "split"):
         (tmp_path / name).mkdir()
     whole, split = (f"file://{tmp_path}/{name}" for name in ("whole", "split"))
-    written = warc.write_monolithic(warc.decide(table.drop("digest")), whole, file_bytes=5000)
+    decided = warc.decide(table)
+    assert decided.columns == [*table.columns, "digest_", "record_type", "refers_to"] and {r.digest for r in decided.collect()} == {"clash"}
+    written = warc.write_monolithic(decided, whole, added=("digest_", "record_type", "refers_to"), file_bytes=5000)
     single = next(tmp_path.glob("whole/*.warc.gz")).read_bytes()
     engine = zlib.decompressobj(31)
     engine.decompress(single)
@@ -116,6 +136,30 @@ def test_warc(spark, tmp_path):
         assert len(list(warc.records([data[k : k + 7] for k in range(0, len(data), 7)]))) == (tmp_path / "split" / f"{file.name}.idx").read_text().count("\n")
 
 
+def test_query_against_plain_pages(spark, tmp_path):
+    spark.createDataFrame([(i, "http://x/", h, "clash") for i, h in PAGES], "page_id long, url string, html string, refers_to string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op4_warc(spark, str(tmp_path)).collect()
+    assert sorted(((r.page_id is not None, r.page_id or 0), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == sorted(expected(PAGES))
+
+
+def test_broken_archives_are_put_aside(spark, tmp_path):
+    """A stream cut at a record's end, broken bytes and a record without length don't end the job; the others are read."""
+    good = warc.record(1, "http://x", b"abc", hashlib.sha1(b"abc").hexdigest(), "response", None)
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nnote\r\n\r\n"
+    pack = zlib.compressobj(6, wbits=31)
+    cut_short = pack.compress(good) + pack.flush(zlib.Z_SYNC_FLUSH)
+    files = {"good": gzip.compress(good + info), "cut": cut_short, "broken": gzip.compress(good)[:30] + b"\0" * 20, "bare": gzip.compress(b"WARC/1.1\r\nA: b\r\n\r\n")}
+    (tmp_path / "out").mkdir()
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/{name}.warc.gz", None, None, None) for name in files], warc.MANIFEST)
+    done = warc.normalise(manifest, f"file://{tmp_path}/out", remove=True)
+    errors = {r.path.rpartition("/")[2].partition(".")[0]: r.error for r in done.collect()}
+    assert errors["good"] is None and errors["cut"] == "gzip stream cut short" and errors["bare"] == "record without Content-Length" and errors["broken"]
+    assert sorted(p.name for p in tmp_path.glob("*.gz")) == ["bare.warc.gz", "broken.warc.gz", "cut.warc.gz"] and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["good.warc.gz", "good.warc.gz.idx"]
+    assert sorted(((r.record_type, r.page_id, r.payload_bytes) for r in warc.read(done).collect())) == [("response", 1, 3), ("warcinfo", None, 4)]
+
+
 def test_warc_of_nothing(spark, tmp_path):
     (tmp_path / "w").mkdir()
     empty = spark.createDataFrame([], "page_id long, url string, html string")

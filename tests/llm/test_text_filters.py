@@ -225,7 +225,7 @@ def toxic_tables(spark, n, seed):
 
 def test_toxicity_on_held_out_documents(spark):
     docs, labels, _ = toxic_tables(spark, 600, 1)
-    model = toxicity.train(docs.drop("_grade"), labels)
+    model = toxicity.train(docs, labels)
     assert model[1][0] < model[1][1]
     fresh, _, truth = toxic_tables(spark, 400, 2)
     rows = {r.doc_id: r for r in toxicity.score(fresh, model).collect()}
