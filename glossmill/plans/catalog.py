@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glossmill.functions import strings
 from glossmill.operators import correction, emphasis, languages, lexicon, statistics, tree
 from glossmill.session import new_folder
-from glossmill.sources import files
+from glossmill.sources import files, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -467,17 +467,16 @@ def langid_accuracy(spark, sf_dir):
     return known.join(guessed, "doc_id").groupBy(F.col("known").alias("lang"), "guess").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-# Nodes made from pages: a page is a div, its <p> parts are paragraphs, its <h1> a head, <footer> a note with a paragraph in it.
+# Web pages read as nodes.  The SQL finds the same units by cutting the source at tags.
 def page_nodes(spark, sf_dir) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    body = lambda tag: F.regexp_extract_all("html", F.lit(rf"<{tag}>([^<]*)"), F.lit(1))
-    part = lambda tag, path: F.transform(body(tag.replace("head", "h1").replace("note", "footer")), lambda t: F.struct(F.lit(tag).alias("tag"), t.alias("text"), F.array(*[F.lit(x) for x in path]).alias("path")))
-    again = F.transform(body("footer"), lambda t: F.struct(F.lit("p").alias("tag"), t.alias("text"), F.array(F.lit("div"), F.lit("note")).alias("path")))
-    nodes = pages.select(F.col("page_id").cast("string").alias("doc_id"), F.posexplode(F.concat(part("head", ["div"]), part("p", ["div"]), part("note", ["div"]), again)).alias("ord", "x"))
-    return nodes.select("doc_id", F.concat_ws(".", "doc_id", "ord").alias("node_id"), "x.tag", "x.path", "ord", F.create_map(F.lit("current"), F.col("x.text")).alias("texts"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return files.good(xml.read(pages, "html"))
 
 
-_nodes = r"n AS (SELECT page_id, 'p' AS tag, false AS innote, unnest(regexp_extract_all(html, '<p>([^<]*)', 1)) AS text FROM pages UNION ALL SELECT page_id, 'head', false, unnest(regexp_extract_all(html, '<h1>([^<]*)', 1)) FROM pages UNION ALL SELECT page_id, 'note', false, unnest(regexp_extract_all(html, '<footer>([^<]*)', 1)) FROM pages UNION ALL SELECT page_id, 'p', true, unnest(regexp_extract_all(html, '<footer>([^<]*)', 1)) FROM pages)"
+_seen = r"src AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS h FROM pages)"
+_said = lambda x: rf"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace({x}, '<br>', ' '), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))"
+_unit = lambda tag, name, note: f"SELECT page_id, '{name}' AS tag, {note} AS innote, {'2' if name in ('p', 'note') else '1'} AS part, k, {_said('x')} AS text FROM (SELECT page_id, k, regexp_extract(string_split(h, '<{tag}>')[k + 1], '^(.*?)(</?(p|h1|footer|article|div|nav|ul|li|body|html)>|$)', 1, 's') AS x FROM (SELECT page_id, h, unnest(range(1, len(string_split(h, '<{tag}>')))) AS k FROM src))"
+_nodes = f"{_seen}, n AS (SELECT * FROM ({_unit('p', 'p', 'false')} UNION ALL {_unit('h1', 'head', 'false')} UNION ALL {_unit('footer', 'note', 'false')} UNION ALL {_unit('footer', 'p', 'true')}) WHERE text <> '')"
 
 
 @query(f"WITH {_nodes} SELECT CAST(page_id AS VARCHAR) AS doc_id, tag, count(*) AS cnt, CAST(sum(length(text)) AS BIGINT) AS chars FROM n GROUP BY ALL")
@@ -492,14 +491,16 @@ def skip_tags(spark, sf_dir):
     return chosen.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query(f"WITH {_nodes} SELECT CAST(page_id AS VARCHAR) AS doc_id, array_to_string(list_concat((SELECT coalesce(list(x), []) FROM (SELECT unnest(regexp_extract_all(html, '<h1>([^<]*)', 1)) AS x) WHERE x <> ''), (SELECT coalesce(list(x), []) FROM (SELECT unnest(regexp_extract_all(html, '<p>([^<]*)', 1)) AS x) WHERE x <> ''), (SELECT coalesce(list(x), []) FROM (SELECT unnest(regexp_extract_all(html, '<footer>([^<]*)', 1)) AS x) WHERE x <> '')), chr(10) || chr(10)) AS text FROM pages WHERE regexp_matches(html, '<(h1|p|footer)>[^<]')")
+@query(f"WITH {_nodes} SELECT CAST(page_id AS VARCHAR) AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY CASE tag WHEN 'head' THEN 0 WHEN 'p' THEN 1 ELSE 2 END, k) AS text FROM n WHERE NOT innote GROUP BY page_id")
 def html_to_text(spark, sf_dir):
+    """Every page has its head first and its footer last."""
     return tree.plain_text(page_nodes(spark, sf_dir))
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
+@query(f"WITH {_seen} SELECT page_id, nullif({_said('regexp_extract(h, chr(60) || $$title>([^<]*)</title>$$, 1)')}, '') AS title FROM src")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
+    roots = page_nodes(spark, sf_dir).where("tag = 'text'")
+    return roots.select(F.col("doc_id").cast("long").alias("page_id"), F.nullif(F.col("attrs")["title"], F.lit("")).alias("title"))
 
 
 @query("SELECT page_id, link, count(*) AS cnt FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY ALL")

@@ -344,6 +344,81 @@ def hocr_paragraphs(words: DataFrame) -> DataFrame:
     return gathered.select("doc_id", "par", F.array_join("ws.text", " ").alias("text"), F.transform("ws", lambda w: F.struct(w["word_id"].alias("word_id"), w["text"].alias("text"), w["start"].alias("start"))).alias("words"))
 
 
+#: Elements of HTML that begin a unit and the unit's tag, those that end one as well, and those without text.
+HTML_UNITS = {"p": "p", "h1": "head", "h2": "head", "h3": "head", "h4": "head", "h5": "head", "h6": "head", "footer": "note", "aside": "note", "li": "item", "td": "cell", "th": "cell", "caption": "caption", "figcaption": "caption", "blockquote": "quote", "pre": "p", "div": "div"}
+HTML_BLOCKS = ("article", "section", "main", "header", "nav", "ul", "ol", "dl", "dt", "dd", "table", "tr", "form", "body", "html", "hr", "address", "figure")
+HTML_SILENT = ("script", "style", "template", "noscript", "head", "svg")
+
+
+def html(path: str, data: bytes):
+    """Node rows of a web page: paragraphs, heads, notes, items and cells with the text that a reader sees.
+
+    Inner tags go, <br> is a space, entities are characters; scripts, styles
+    and comments have no text.  A unit ends where its element does, or where
+    a block begins or ends.  A note's text is in a paragraph below it.  The
+    title is an attribute of the root.
+    """
+    from html.parser import HTMLParser
+
+    nodes = Nodes(stem(path))
+    root = nodes.add("text")
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.silent, self.title, self.unit, self.parts, self.notes = [], None, None, [], 0
+
+        def close_unit(self):
+            text = " ".join("".join(self.parts).split())
+            tag, self.unit, self.parts = self.unit, None, []
+            if not text or not tag:
+                return
+            if tag == "note" or self.notes and tag == "p":
+                note = nodes.add("note", root, texts={"current": text})
+                nodes.add("p", note, texts={"current": text})
+            else:
+                nodes.add(tag, root, texts={"current": text})
+
+        def handle_starttag(self, tag, pairs):
+            if tag == "title" and self.title is None:
+                self.title = ""
+            elif tag in HTML_SILENT:
+                self.silent.append(tag)
+            elif tag in HTML_UNITS or tag in HTML_BLOCKS:
+                self.close_unit()
+                self.unit = HTML_UNITS.get(tag)
+                self.notes += tag in ("footer", "aside")
+                if tag == "body":
+                    self.silent.clear()
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_startendtag(self, tag, pairs):
+            if tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag == "title":
+                root["attrs"] = {"title": " ".join((self.title or "").split())}
+            elif tag in HTML_SILENT and tag in self.silent:
+                del self.silent[self.silent.index(tag) :]
+            elif tag in HTML_UNITS or tag in HTML_BLOCKS:
+                self.close_unit()
+                self.notes -= tag in ("footer", "aside") and self.notes > 0
+
+        def handle_data(self, text):
+            if self.title is not None and not root["attrs"]:
+                self.title += text
+            elif not self.silent:
+                self.parts.append(text)
+
+    reader = Reader()
+    reader.feed(data.decode("utf-8", "replace"))
+    reader.close()
+    reader.close_unit()
+    return nodes.rows
+
+
 def proceedings(path: str, data: bytes, split: bool = True, prefix: str = ""):
     """Node rows of parliamentary proceedings; with split each topic is a document of its own."""
     root = root_of(data)
@@ -416,7 +491,7 @@ def proceedings(path: str, data: bytes, split: bool = True, prefix: str = ""):
 
 def read(files_: DataFrame, kind: str, **options) -> DataFrame:
     """Rows of files (path, content) of a format by name; see files.good() and files.quarantine()."""
-    readers = {"annotated": (annotated, NODES), "page": (page, REGIONS), "alto": (alto, ALTO), "didl": (didl, DIDL), "abby": (abby, RUNS), "hocr": (hocr, HOCR), "proceedings": (proceedings, NODES)}
+    readers = {"annotated": (annotated, NODES), "page": (page, REGIONS), "alto": (alto, ALTO), "didl": (didl, DIDL), "abby": (abby, RUNS), "hocr": (hocr, HOCR), "html": (html, NODES), "proceedings": (proceedings, NODES)}
     parser, schema = readers[kind]
     return files.parsed(files_, (lambda p, d: parser(p, d, **options)) if options else parser, schema)
 
