@@ -45,6 +45,20 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
+def chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's operator over all conversations, each message quoting, by a rule that the SQL states too, the first lines of the two before it.
+
+    The tables' own messages quote nothing.
+    """
+    messages = table(spark, sf_dir, "conversations")
+    said = messages.groupBy("conv_id", "turn").agg(F.min(F.substring_index("text", "\n", 1)).alias("said"))
+    before = [said.select(F.col("conv_id").alias(f"c{k}"), (F.col("turn") + k).alias(f"t{k}"), F.col("said").alias(f"said{k}")) for k in (1, 2)]
+    for k, rows in enumerate(before, 1):
+        messages = messages.join(rows, (F.col("conv_id") == F.col(f"c{k}")) & (F.col("turn") == F.col(f"t{k}")), "left")
+    text = F.when(F.col("text").isNotNull(), F.concat_ws("\n", F.concat(F.lit("> "), "said1"), F.concat(F.lit("> > "), "said2"), "text"))
+    return chat.conversations(messages.select("conv_id", "turn", "role", text.alias("text")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -71,8 +85,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    """All functions here named op…"""
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    """All functions here named op…, and chat_quotes."""
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"chat_quotes": chat_quotes}
 
 
 SQL_OP4 = """
@@ -150,6 +164,16 @@ FROM linked
 """
 
 
+SQL_QUOTES = SQL_OP6.replace("FROM conversations", "FROM quoting").replace(
+    "WITH RECURSIVE l AS (",
+    """WITH RECURSIVE said AS (SELECT conv_id, turn, min(string_split(text, chr(10))[1]) AS line FROM conversations GROUP BY conv_id, turn),
+quoting AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN c.text IS NOT NULL THEN concat_ws(chr(10), '> ' || a.line, '> > ' || b.line, c.text) END AS text
+  FROM conversations c LEFT JOIN said a ON c.conv_id = a.conv_id AND c.turn = a.turn + 1 LEFT JOIN said b ON c.conv_id = b.conv_id AND c.turn = b.turn + 2
+), l AS (""",
+).replace("said AS (\n  SELECT conv_id, norm", "origins AS (\n  SELECT conv_id, norm").replace("JOIN said USING (conv_id, norm)", "JOIN origins USING (conv_id, norm)")
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need a tokenizer, XXH64, CRC-32 or a fitted model, or make files: tests hold them against plain versions."""
-    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6}
+    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6, "chat_quotes": SQL_QUOTES}
