@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import strings
-
-#: Leading characters of a gram that split a list's equal counts into parts for the two-level running sums.
-PREFIX = 3
+from glossmill.session import stored
 
 
 def units(docs: DataFrame, text: str = "text", lower: bool = False, words: str = "words") -> DataFrame:
@@ -65,27 +63,31 @@ def clipped(freq: DataFrame, clip: int) -> DataFrame:
 def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str = "cnt") -> DataFrame:
     """Adds rnk, cum and pct: place, running count and its percentage in the order of falling count and rising gram.
 
-    A list may have any length: sums over counts, then over the first
-    characters of grams of one count, leave only grams that agree in both to
-    one task.  pct is of the rows given, so clip first.
+    A list may have any length: it is dealt to ranges of that order, whose
+    sizes give each row its place; a running count follows from the place and
+    from sums over the distinct counts.  pct is of the rows given, so clip
+    first.
     """
-    parts = freq.withColumn("_p", F.substring(gram, 1, PREFIX))
-    sizes = parts.groupBy(*keys, cnt, "_p").agg(F.count(F.lit(1)).alias("_m"))
-    by_count = sizes.groupBy(*keys, cnt).agg(F.sum("_m").alias("_mc"))
-    falling = Window.partitionBy(*keys).orderBy(F.desc(cnt)).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as distinct counts
-    whole = Window.partitionBy(*keys)
-    levels = by_count.select(*keys, cnt, F.coalesce(F.sum("_mc").over(falling), F.lit(0)).alias("_r0"), F.coalesce(F.sum(F.col("_mc") * F.col(cnt)).over(falling), F.lit(0)).alias("_c0"), F.sum(F.col("_mc") * F.col(cnt)).over(whole).alias("_total"))
-    rising = Window.partitionBy(*keys, cnt).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*keys, cnt, "_p", F.coalesce(F.sum("_m").over(rising), F.lit(0)).alias("_r1"))
-    own = F.row_number().over(Window.partitionBy(*keys, cnt, "_p").orderBy(gram))
-    placed = _joined(_joined(parts.withColumn("_r2", own), bases, [*keys, cnt, "_p"]), levels, [*keys, cnt])
-    inner = F.col("_r1") + F.col("_r2")
-    cum = F.col("_c0") + inner * F.col(cnt)
-    return placed.select(*freq.columns, (F.col("_r0") + inner).alias("rnk"), cum.alias("cum"), (F.lit(100.0) * cum / F.col("_total")).alias("pct"))
+    order = [*[F.col(k) for k in keys], F.desc(cnt), F.col(gram)]
+    listed = stored(freq, "list")  # so that ranges are not sampled from the corpus itself
+    at = F.monotonically_increasing_id()
+    ranged = stored(listed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranged")
+    part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    placed = ranged.withColumn("_part", part).join(bases, "_part").withColumn("_pos", F.col("_base") + row)
+    levels = placed.groupBy(*keys, cnt).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_m"))  # as many rows as distinct counts
+    own, whole = F.col("_m") * F.col(cnt), Window.partitionBy(*keys)
+    falling = whole.orderBy(F.desc(cnt)).rowsBetween(Window.unboundedPreceding, -1)
+    known = levels.select(*keys, cnt, "_first", F.min("_first").over(whole).alias("_start"), F.coalesce(F.sum(own).over(falling), F.lit(0)).alias("_c0"), F.sum(own).over(whole).alias("_total"))
+    joined = _joined(placed, known, [*keys, cnt])
+    cum = F.col("_c0") + (F.col("_pos") - F.col("_first") + 1) * F.col(cnt)
+    return joined.select(*freq.columns, (F.col("_pos") - F.col("_start") + 1).alias("rnk"), cum.alias("cum"), (F.lit(100.0) * cum / F.col("_total")).alias("pct"))
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join in which nulls are equal.  No filter is inferred that would tell the sides' sources apart, so Spark makes these once."""
+    """An inner join in which nulls are equal."""
     named = right.withColumnsRenamed({k: f"_k{n}" for n, k in enumerate(keys)})
     condition = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)])
     return left.join(named, condition).drop(*[f"_k{n}" for n in range(len(keys))])
@@ -146,12 +148,11 @@ def lemma_frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: s
     counts the run up to the first token without one as well.
     """
 
-    def spans(column: str, n: int) -> Column:
-        return F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(1), F.size(column) - (n - 1)), lambda i: F.slice(column, i, n)))
-
     def long(made: DataFrame, column: str) -> DataFrame:
-        parts = [made.select("lang", F.lit(n).alias("n"), F.explode(spans(column, n)).alias("g")) for n in range(low, high + 1)]
-        return reduce(DataFrame.union, parts)
+        """(lang, n, g) for all n in one pass."""
+        runs = [F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(1), F.size(column) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.slice(column, i, n).alias("g")))) for n in range(low, high + 1)]  # noqa: B023
+        each = F.flatten(F.filter(F.array(*runs), lambda x: x.isNotNull()))
+        return made.select("lang", F.explode(each).alias("x")).select("lang", "x.n", "x.g")
 
     def list_of(field: str) -> DataFrame:
         rows_ = long(rows.select("lang", F.transform("tokens", lambda t: t[field]).alias("v")), "v")

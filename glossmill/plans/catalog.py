@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import strings
 from glossmill.operators import correction, emphasis, languages, lexicon, statistics, tree
-from glossmill.session import new_folder
+from glossmill.session import stored
 from glossmill.sources import files, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,9 +253,7 @@ def types(spark, sf_dir) -> DataFrame:
 
 def as_file(rows: DataFrame) -> DataFrame:
     """A derived dictionary, written and read as the file that dictionaries are."""
-    path = new_folder(rows.sparkSession, "dictionary")
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return stored(rows, "dictionary")
 
 
 def variants(known: DataFrame) -> DataFrame:
@@ -455,16 +453,29 @@ def _classified(spark, sf_dir) -> DataFrame:
     return languages.classify(docs.select("doc_id", "text"), languages.profiles(docs), "doc_id")
 
 
-@query(f"WITH {_profiles}, {_distances} SELECT doc_id, lang, distance, CAST(place AS INTEGER) AS place FROM best")
+@query(f"WITH {_profiles}, {_distances} SELECT d.doc_id, b.lang, distance, CAST(coalesce(place, 1) AS INTEGER) AS place FROM documents d LEFT JOIN best b USING (doc_id)")
 def langid_classify(spark, sf_dir):
     return _classified(spark, sf_dir)
 
 
-@query(f"WITH {_profiles}, {_distances} SELECT d.lang AS lang, b.lang AS guess, count(*) AS cnt FROM best b JOIN documents d USING (doc_id) GROUP BY ALL")
+def _half_sql(k: int) -> str:
+    """Models from the documents of one half, to judge the other."""
+    chars = _chars_sql("lang", f"doc_id % 2 = {1 - k}").replace("padded", f"padded_{k}").replace("chars", f"chars_{k}")
+    return f"{chars}, half_{k} AS (SELECT {k} AS half, lang, gram, CAST(r - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS r FROM chars_{k}) WHERE r <= 400)"
+
+
+_halves = f"{_half_sql(0)}, {_half_sql(1)}, models AS (SELECT * FROM half_0 UNION ALL SELECT * FROM half_1), {_distances.replace('JOIN models USING (gram)', 'JOIN models ON own.gram = models.gram AND half = doc_id % 2')}"
+
+
+@query(f"WITH {_halves} SELECT d.lang AS lang, b.lang AS guess, count(*) AS cnt FROM documents d LEFT JOIN best b USING (doc_id) GROUP BY ALL")
 def langid_accuracy(spark, sf_dir):
-    known = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("known"))
-    guessed = _classified(spark, sf_dir).select("doc_id", F.col("lang").alias("guess"))
-    return known.join(guessed, "doc_id").groupBy(F.col("known").alias("lang"), "guess").agg(F.count(F.lit(1)).alias("cnt"))
+    """Each half of the documents judged by models of the other half."""
+    docs = documents(spark, sf_dir)
+    halves = [docs.where(F.col("doc_id") % 2 == k) for k in range(2)]
+    guessed = [languages.classify(own.select("doc_id", "text"), languages.profiles(other), "doc_id") for own, other in (halves, halves[::-1])]
+    guess = guessed[0].union(guessed[1]).select(F.col("doc_id").alias("judged"), F.col("lang").alias("guess"))
+    known = docs.select("doc_id", "lang").join(guess, F.col("doc_id") == F.col("judged"))
+    return known.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 # Web pages read as nodes.  The SQL finds the same units by cutting the source at tags.
@@ -584,10 +595,10 @@ def label_token_stats(spark, sf_dir):
 @query(rf"WITH {WORDS}, d AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)), b AS (SELECT item_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark) WHERE len(w) >= 5)) SELECT item_id, count(DISTINCT doc_id) AS docs FROM d JOIN b USING (gram) GROUP BY item_id")
 def benchmark_overlap_ngrams(spark, sf_dir):
     def five(rows: DataFrame, key: str) -> DataFrame:
-        return statistics.grams(rows.select(key, strings.words(F.col("text")).alias("words")), 5, 5, " ", keep=(key,)).select(key, "gram").distinct()
+        return statistics.grams(rows.select(key, strings.words(F.col("text")).alias("words")), 5, 5, " ", keep=(key,)).select(key, "gram")
 
-    met = five(documents(spark, sf_dir), "doc_id").join(five(table(spark, sf_dir, "benchmark"), "item_id"), "gram")
-    return met.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    items = stored(five(table(spark, sf_dir, "benchmark"), "item_id").distinct(), "items")  # of known size, so that Spark can broadcast it if it is small
+    return five(documents(spark, sf_dir), "doc_id").join(items, "gram").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("SELECT doc_id, upper(source) || '/' AS label, 'doc-' || doc_id AS name FROM documents")

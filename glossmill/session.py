@@ -1,9 +1,10 @@
 """A session with the settings this package is meant to run with, and the folder that its machines share."""
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "glossmill", **conf: str) -> SparkSession:
@@ -18,12 +19,14 @@ def session(name: str = "glossmill", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a new local folder only where none is set."""
+    """The cluster's spark.checkpoint.dir.  Where none is set: a new local folder if all of Spark is this machine's, else an error."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="glossmill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -36,3 +39,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     fs.mkdirs(jvm_path)
     fs.deleteOnExit(jvm_path)
     return path
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written into the shared folder and read back, so that all later readers see one and the same."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
