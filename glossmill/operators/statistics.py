@@ -60,15 +60,15 @@ def clipped(freq: DataFrame, clip: int) -> DataFrame:
     return freq.where(F.col("cnt") > clip)
 
 
-def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str = "cnt") -> DataFrame:
-    """Adds rnk, cum and pct: place, running count and its percentage in the order of falling count and rising gram.
+def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str = "cnt", falling: bool = False) -> DataFrame:
+    """Adds rnk, cum and pct: place, running count and its percentage in the order of falling count and rising gram (or falling, as lists of lemmas with tags have it).
 
     A list may have any length: it is dealt to ranges of that order, whose
     sizes give each row its place; a running count follows from the place and
     from sums over the distinct counts.  pct is of the rows given, so clip
     first.
     """
-    order = [*[F.col(k) for k in keys], F.desc(cnt), F.col(gram)]
+    order = [*[F.col(k) for k in keys], F.desc(cnt), F.desc(gram) if falling else F.col(gram)]
     listed = stored(freq, "list")  # so that ranges are not sampled from the corpus itself
     at = F.monotonically_increasing_id()
     ranged = stored(listed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranged")
@@ -79,8 +79,8 @@ def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str =
     placed = ranged.withColumn("_part", part).join(bases, "_part").withColumn("_pos", F.col("_base") + row)
     levels = placed.groupBy(*keys, cnt).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_m"))  # as many rows as distinct counts
     own, whole = F.col("_m") * F.col(cnt), Window.partitionBy(*keys)
-    falling = whole.orderBy(F.desc(cnt)).rowsBetween(Window.unboundedPreceding, -1)
-    known = levels.select(*keys, cnt, "_first", F.min("_first").over(whole).alias("_start"), F.coalesce(F.sum(own).over(falling), F.lit(0)).alias("_c0"), F.sum(own).over(whole).alias("_total"))
+    higher = whole.orderBy(F.desc(cnt)).rowsBetween(Window.unboundedPreceding, -1)
+    known = levels.select(*keys, cnt, "_first", F.min("_first").over(whole).alias("_start"), F.coalesce(F.sum(own).over(higher), F.lit(0)).alias("_c0"), F.sum(own).over(whole).alias("_total"))
     joined = _joined(placed, known, [*keys, cnt])
     cum = F.col("_c0") + (F.col("_pos") - F.col("_first") + 1) * F.col(cnt)
     return joined.select(*freq.columns, (F.col("_pos") - F.col("_start") + 1).alias("rnk"), cum.alias("cum"), (F.lit(100.0) * cum / F.col("_total")).alias("pct"))

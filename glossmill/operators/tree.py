@@ -1,13 +1,14 @@
 """Documents as flat nodes: selection by tag, text layers, annotations, tokens, reading order, hyphens.
 
 nodes: doc_id, node_id, parent_id, path (tags of all ancestors), path_ids (their ids), ord (order in
-the document), depth, tag, cls, set, lang, space, texts (layer to text), attrs.
+the document), depth, tag, cls, set, lang, space, texts (layer to text), attrs, spans (the parts of
+texts that have markup inside, in order).
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODES = "doc_id string, node_id string, parent_id string, path array<string>, path_ids array<string>, ord long, depth int, tag string, cls string, set string, lang string, space boolean, texts map<string,string>, attrs map<string,string>"
+NODES = "doc_id string, node_id string, parent_id string, path array<string>, path_ids array<string>, ord long, depth int, tag string, cls string, set string, lang string, space boolean, texts map<string,string>, attrs map<string,string>, spans array<struct<layer: string, kind: string, text: string, tag: string>>"
 
 
 def select(nodes: DataFrame, tags: list[str], skip: list[str] = (), top: bool = True) -> DataFrame:
@@ -44,6 +45,16 @@ def node_text(nodes: DataFrame, cls: str, tags: list[str], detokenise: bool = Tr
     return own.join(below, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce(F.col("texts")[cls], joined).alias("text"))
 
 
+def fix_text(nodes: DataFrame, cls: str) -> DataFrame:
+    """Texts of structure in the layer replaced by those of the words below, where there are any; their markup goes."""
+    texts = node_text(nodes.withColumn("texts", F.when(F.col("tag").isin("w", "str"), F.col("texts")).otherwise(F.map_filter("texts", lambda k, v: k != cls))), cls, ["s", "p", "head", "div", "note", "caption"]).withColumnRenamed("text", "_t")
+    joined = nodes.join(texts.where("_t <> ''"), ["doc_id", "node_id"], "left")
+    changes = F.col("_t").isNotNull() & F.map_contains_key("texts", F.lit(cls))
+    new = F.map_concat(F.map_filter("texts", lambda k, v: k != cls), F.create_map(F.lit(cls), F.col("_t")))
+    spans = F.when(changes, F.filter("spans", lambda x: x["layer"] != cls)).otherwise(F.col("spans"))
+    return joined.withColumn("texts", F.when(changes, new).otherwise(F.col("texts"))).withColumn("spans", spans).select(*nodes.columns)
+
+
 def drop_layers(nodes: DataFrame, cls: str, current: bool = False) -> DataFrame:
     """Text layers other than cls go; a word keeps its last one; with `current` what stays is renamed.  cls current changes nothing."""
     if cls == "current":
@@ -78,11 +89,6 @@ def drop_tokens(nodes: DataFrame, cls: str) -> DataFrame:
     return filled.withColumn("texts", new).drop("_t")
 
 
-def undeclare(declarations: DataFrame, drop: list[tuple[str, str]]) -> DataFrame:
-    """Declarations (doc_id, type, set) of annotations that were dropped go as well."""
-    return drop_annotations(declarations, drop)
-
-
 def correction_view(corrections: DataFrame, handling: str = "current") -> DataFrame:
     """(…, text) of corrections (…, original, new): what is read as the text: current (the new), original, or either (both with a bar)."""
     new, old = F.array_join("new", " "), F.array_join("original", " ")
@@ -97,17 +103,54 @@ def plain_text(nodes: DataFrame, cls: str = "current", tags: tuple = ("p", "head
     return joined.select("doc_id", F.array_join("ts.t", "\n\n").alias("text"))
 
 
+def marked_text(spans: Column, restore: bool = False, honour_tags: bool = False) -> Column:
+    """The text of an array of parts (kind, text, tag) in order.
+
+    Line breaks are kept.  A hyphen at one counts only with `restore`, and
+    then ends its line; a set space is one space, or as it is with `restore`.
+    Parts marked as a token stand apart only with honour_tags.
+    """
+
+    def piece(x: Column) -> Column:
+        own = F.coalesce(x["text"], F.lit(""))
+        hyphen = F.concat(own, F.lit("\n")) if restore else F.lit("")
+        space = F.when(own == "", " ").otherwise(own) if restore else F.lit(" ")
+        said = F.when(x["kind"] == "t-hbr", hyphen).when(x["kind"] == "t-hspace", space).when(x["kind"] == "br", "\n").otherwise(own)
+        return F.when(x["tag"] == "token", F.concat(F.lit(" "), said, F.lit(" "))).otherwise(said) if honour_tags else said
+
+    return F.array_join(F.transform(spans, piece), "")
+
+
 def spans_text(spans: DataFrame, restore: bool = False, honour_tags: bool = False) -> DataFrame:
-    """(doc_id, node_id, text) from text parts (doc_id, node_id, ord, kind, text, tag).
+    """(doc_id, node_id, text) from text parts (doc_id, node_id, ord, kind, text, tag); see marked_text."""
+    gathered = spans.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "text", "tag"))).alias("ss"))
+    return gathered.select("doc_id", "node_id", F.trim(marked_text(F.col("ss"), restore, honour_tags)).alias("text"))
+
+
+#: Nodes whose texts stand apart in plain text; of nested ones the outermost counts.
+BLOCKS = ("p", "head", "note", "item", "caption", "cell", "entry", "quote", "utt", "event")
+
+
+def document_text(nodes: DataFrame, cls: str = "current", retain_tokens: bool = False, restore: bool = False, honour_tags: bool = False) -> DataFrame:
+    """(doc_id, text) of each document with text in the layer, from its deepest texts: those of words, else of sentences, else of blocks.
 
-    Hyphens at line breaks and set spaces count only with `restore`; parts
-    marked as a token stand apart only with honour_tags.
+    Words have a space between unless the first says no; with retain_tokens
+    all have one.  Sentences have a space between, blocks a blank line.
+    Strings that repeat a block's text are passed over.
     """
-    piece = F.when(F.col("kind").isin("t-hbr", "t-hspace") & F.lit(not restore), "").when(F.col("kind") == "br", "\n").otherwise(F.col("text"))
-    token = (F.coalesce("tag", F.lit("")) == "token") & F.lit(honour_tags)
-    said = spans.select("doc_id", "node_id", F.struct("ord", F.when(token, F.concat(F.lit(" "), piece, F.lit(" "))).otherwise(piece).alias("t")).alias("s"))
-    joined = said.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list("s")).alias("ss"))
-    return joined.select("doc_id", "node_id", F.trim(F.regexp_replace(F.array_join("ss.t", ""), " +", " ")).alias("text"))
+    marked = F.filter("spans", lambda x: x["layer"] == cls)
+    own = F.when(F.size(marked) > 0, marked_text(marked, restore, honour_tags)).otherwise(F.col("texts")[cls])
+    said = nodes.where(~F.col("tag").isin("str", "morpheme", "entity", "feat")).withColumn("said", own).where("said is not null and said <> ''")
+    inner = said.select("doc_id", F.explode("path_ids").alias("node_id")).distinct()
+    leaves = said.join(inner, ["doc_id", "node_id"], "left_anti")
+    tags, ids = F.concat("path", F.array("tag")), F.concat("path_ids", F.array("node_id"))
+    at = F.expr(f"coalesce(filter(transform(tags, (t, i) -> IF(t IN {BLOCKS}, i, NULL)), i -> i IS NOT NULL)[0], size(tags) - 1)")
+    placed = leaves.withColumn("tags", tags).withColumn("ids", ids).withColumn("block", F.expr("ids")[at])
+    gap = F.when((F.col("tag") == "w") & ~F.col("space") & F.lit(not retain_tokens) | F.col("said").endswith("\n"), "").otherwise(" ")
+    gathered = placed.groupBy("doc_id", "block").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", F.concat("said", gap).alias("t")))).alias("ts"))
+    blocks = gathered.select("doc_id", "ord", F.regexp_replace(F.array_join("ts.t", ""), " +$", "").alias("t"))
+    whole = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("bs"))
+    return whole.select("doc_id", F.array_join("bs.t", "\n\n").alias("text"))
 
 
 def compounds(nodes: DataFrame, layer_name: str = "current") -> DataFrame:
@@ -143,9 +186,10 @@ def rejoin_hyphens(tokens: DataFrame, key: list[str], order: str = "ord") -> Dat
 
 
 def first_blocks(blocks: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
-    """The first of blocks that share an id."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    return blocks.withColumn("_n", n).where("_n = 1").drop("_n")
+    """Of blocks (or their lines) that share an id, those of the first; rows have key and order."""
+    first = blocks.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(order).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return blocks.join(first, [*same, F.col(order) == F.col("_first")], "left_semi")
 
 
 def offsets(words: DataFrame, key: list[str], order: str = "pos", word: str = "word", space: str | None = None) -> DataFrame:

@@ -5,14 +5,19 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import strings
 
-#: Extensions that are opened as XML or HTML, each also packed as .gz or .bz2.
-XML_EXTENSIONS = (".xml", ".xhtml", ".html", ".hocr")
+def discover(spark: SparkSession, path: str, pattern: str = "*", recurse: bool = False, expression: str | None = None) -> DataFrame:
+    """(path, content) of the files below path whose names fit the glob pattern, and the regular expression if there is one."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recurse).lower())
+    found = reader.load(path).select("path", "content")
+    return found.where(F.substring_index("path", "/", -1).rlike(expression)) if expression else found
 
 
-def discover(spark: SparkSession, path: str, pattern: str = "*", recurse: bool = False) -> DataFrame:
-    """(path, content) of the files below path whose names fit the glob pattern."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recurse).lower())
-    return reader.load(path).select("path", "content")
+def labelled(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Discovered files that a manifest names, with their labels; a manifest's file is told by its name or by the end of its path."""
+    name = F.substring_index("file", "/", -1).alias("_name")
+    named = listed.select("file", "label", name)
+    at = F.substring_index("path", "/", -1)
+    return found.join(named, (at == F.col("_name")) & (F.col("path").endswith(F.concat(F.lit("/"), F.col("file"))) | (F.col("file") == F.col("_name")) | F.col("path").endswith(F.col("file")))).drop("_name", "file")
 
 
 def manifest(lines: DataFrame) -> DataFrame:
@@ -24,9 +29,12 @@ def manifest(lines: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file that isn't split: a dictionary or list; the order of its lines counts."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line_no", "value"))
+    """(line_no, value) of a text file, lines numbered from 0 in their order, in as many tasks as the file has blocks."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row for each block
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return rows.join(bases, "block").select((F.col("at") + F.col("base")).alias("line_no"), "value")
 
 
 def unpack(name: str, content: bytes) -> bytes:
@@ -37,12 +45,6 @@ def unpack(name: str, content: bytes) -> bytes:
     return gzip.decompress(content) if name.endswith(".gz") else bz2.decompress(content) if name.endswith(".bz2") else content
 
 
-def is_xml(name: str) -> bool:
-    """Whether a file is opened as XML or HTML, by its name."""
-    bare = name.removesuffix(".gz").removesuffix(".bz2")
-    return bare.endswith(XML_EXTENSIONS)
-
-
 def parsed(files: DataFrame, parser, schema: str) -> DataFrame:
     """parser(name, bytes) gives dicts for each file of (path, content); files that can't be read give one row with only path and error.
 
@@ -139,6 +141,9 @@ def write_table(rows: DataFrame, path: str, order: list, header: bool = False, f
         spark.createDataFrame([(x,) for x in footer], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.footer")
 
 
-def write_texts(texts: DataFrame, path: str, compression: str = "none") -> None:
-    """A folder with a text file for each document that has text."""
-    texts.where("text <> ''").select("doc_id", F.col("text").alias("value")).write.mode("overwrite").option("compression", compression).partitionBy("doc_id").text(path)
+def write_texts(texts: DataFrame, path: str, packed: str = "none", clear: bool = False) -> int:
+    """A text file for each document (doc_id, text) that has text; see outputs.write_files."""
+    from glossmill.sources import outputs
+
+    rows = texts.where("text <> ''").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.concat("text", F.lit("\n")).alias("content"))
+    return outputs.write_files(rows, path, packed, clear)

@@ -4,6 +4,8 @@ Each gives node rows (see operators.tree) or the format's own flat table; all
 further work on them is DataFrame operations.
 """
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ class Nodes:
     def __init__(self, doc_id: str):
         self.doc_id, self.rows = doc_id, []
 
-    def add(self, tag: str, parent: dict | None = None, node_id: str | None = None, cls: str | None = None, lang: str | None = None, space: bool = True, texts: dict | None = None, attrs: dict | None = None, set_: str | None = None) -> dict:
+    def add(self, tag: str, parent: dict | None = None, node_id: str | None = None, cls: str | None = None, lang: str | None = None, space: bool = True, texts: dict | None = None, attrs: dict | None = None, set_: str | None = None, spans: list | None = None) -> dict:
         made = node_id or f"{parent['node_id'] if parent else self.doc_id}.{tag}.{len(self.rows) + 1}"
         row = {
             "doc_id": self.doc_id,
@@ -42,6 +44,7 @@ class Nodes:
             "space": space,
             "texts": texts or {},
             "attrs": attrs or {},
+            "spans": spans or [],
         }
         self.rows.append(row)
         return row
@@ -66,47 +69,77 @@ def root_of(data: bytes):
 
 def stem(path: str) -> str:
     """The file's name without folder and extensions."""
-    import re
-
     return re.sub(r"(\.[a-z]+)*(\.(gz|bz2))?$", "", path.rpartition("/")[2]).replace(":", "_")
 
 
 def text_of(element) -> str:
-    """All text of a text element, its markup left out; line breaks are spaces, hyphens at them are dropped."""
-    out = [element.text or ""]
+    """All text of a text element, its markup left out; line breaks and set spaces are spaces, hyphens at line ends are dropped."""
+    said = {"br": " ", "t-hspace": " ", "t-hbr": ""}
+    return "".join(said.get(x["kind"], x["text"]) for x in text_parts(element))
+
+
+def text_parts(element, tag: str | None = None) -> list[dict]:
+    """The parts (kind, text, tag) of a text element in order: plain text, br, t-hbr and t-hspace; tag is that of the markup around, if any."""
+    out = [{"kind": "text", "text": element.text, "tag": tag}] if element.text else []
     for child in element:
-        name = local(child)
-        out.append(" " if name == "br" else "" if name == "t-hbr" else text_of(child))
-        out.append(child.tail or "")
-    return "".join(out)
+        name, own = local(child), attributes(child)
+        if name in ("br", "t-hbr", "t-hspace"):
+            out.append({"kind": name, "text": "".join(child.itertext()) or own.get("text", ""), "tag": tag})
+        elif name and name not in ("feat", "desc", "comment"):
+            out += text_parts(child, own.get("tag") or tag)
+        if child.tail:
+            out.append({"kind": "text", "text": child.tail, "tag": tag})
+    return out
+
 
+#: What is read of a correction, by how corrections are handled; "either" reads the first that has anything.
+HANDLING = {"current": (("new", "current"),), "original": (("original",),), "either": (("new", "current"), ("original",))}
 
-def annotated(path: str, data: bytes):
-    """Node rows of an annotated document."""
+
+def annotated(path: str, data: bytes, corrections: str = "current"):
+    """Node rows of an annotated document; corrections: current, original or either, as totext has it."""
     root = root_of(data)
     nodes = Nodes(attributes(root).get("id") or stem(path))
 
-    def layers(element) -> dict[str, str]:
+    def chosen(correction):
+        """The lists of elements that a correction is read as, best first."""
+        return [[x for part in correction if local(part) in names for x in part] for names in HANDLING[corrections]]
+
+    def texts(element) -> dict:
+        """Text elements by layer: an element's own, else those of corrections in it."""
         found = {}
         for child in element:
             if local(child) == "t":
-                found[attributes(child).get("class", "current")] = " ".join(text_of(child).split()) if local(element) != "w" else text_of(child).strip()
+                found.setdefault(attributes(child).get("class", "current"), child)
+        for child in element:
+            if local(child) == "correction":
+                for elements in chosen(child):
+                    inner = texts(elements)
+                    found = inner | found
         return found
 
+    def layers(element) -> tuple[dict, list]:
+        said, spans, inside = {}, [], local(element) == "w"
+        for layer, t in texts(element).items():
+            said[layer] = text_of(t).strip() if inside else " ".join(text_of(t).split())
+            if len(t):
+                parts = [x | {"layer": layer, "text": x["text"] if x["kind"] != "text" else re.sub(r"\s+", " ", x["text"])} for x in text_parts(t)]
+                spans += parts
+        return said, spans
+
     def visit(element, parent) -> None:
         name, own = local(element), attributes(element)
         if name not in STRUCTURE and name not in ANNOTATIONS:
             if name == "correction":
-                for child in element:
-                    if local(child) in ("new", "current"):
-                        for x in child:
-                            visit(x, parent)
+                for x in next((found for found in chosen(element) if found), []):
+                    visit(x, parent)
             elif name in ("entities", "morphology"):
                 for child in element:
                     visit(child, parent)
             return
         lang = next((attributes(c).get("class") for c in element if local(c) == "lang"), None)
-        row = nodes.add(name, parent, own.get("id"), own.get("class"), lang, own.get("space") != "no", layers(element), {k: v for k, v in own.items() if k not in ("id", "class", "space", "set")}, own.get("set"))
+        said, spans = layers(element)
+        row = nodes.add(name, parent, own.get("id"), own.get("class"), lang, own.get("space") != "no", said, {k: v for k, v in own.items() if k not in ("id", "class", "space", "set")}, own.get("set"), spans)
         for child in element:
             if local(child) not in ("t", "lang"):
                 visit(child, row)
@@ -122,8 +155,6 @@ REGIONS = "doc_id string, image string, region_id string, type string, pos int,
 
 def page(path: str, data: bytes):
     """Region rows of a PAGE document: its own text, its lines, and its place in the reading order."""
-    import re
-
     root = root_of(data)
     order, image, rows = {}, None, []
     for element in root.iter():
@@ -194,7 +225,7 @@ def alto(path: str, data: bytes):
     return rows
 
 
-DIDL = "doc_id string, article_id string, subject string, title string, zone_id string, part int, alto_file string, block_id string"
+DIDL = "doc_id string, article_id string, subject string, title string, zone_id string, part int, seq int, alto_file string, block_id string"
 
 
 def didl(path: str, data: bytes):
@@ -212,23 +243,37 @@ def didl(path: str, data: bytes):
         for zone in (x for x in article.iter() if local(x) in ("zone", "area")):
             for k, part in enumerate(x for x in zone.iter() if local(x) in ("TextBlock", "block")):
                 own = attributes(part)
-                rows.append({"doc_id": name, "article_id": attributes(article).get("id"), "subject": subject, "title": title, "zone_id": attributes(zone).get("id"), "part": k, "alto_file": own.get("alto"), "block_id": own.get("ID") or own.get("id")})
+                rows.append({"doc_id": name, "article_id": attributes(article).get("id"), "subject": subject, "title": title, "zone_id": attributes(zone).get("id"), "part": k, "seq": len(rows), "alto_file": own.get("alto"), "block_id": own.get("ID") or own.get("id")})
     return rows
 
 
 def article_blocks(index: DataFrame, strings: DataFrame) -> DataFrame:
-    """Strings of the blocks of each article, in order, with kind: artikel for articles, overige for the rest."""
-    named = index.where("block_id is not null").select("doc_id", "article_id", "subject", "zone_id", "part", F.col("alto_file").alias("file"), "block_id")
+    """Strings of the blocks of each article, in order, with kind: artikel for articles, overige for the rest.
+
+    Of blocks that an article names more than once the first counts.
+    """
+    from glossmill.operators.tree import first_blocks
+
+    once = first_blocks(index.where("block_id is not null"), ["doc_id", "article_id", "block_id"], "seq")
+    named = once.select("doc_id", "article_id", "subject", "zone_id", "part", "seq", F.col("alto_file").alias("file"), "block_id")
     kind = F.when(F.col("subject") == "artikel", "artikel").otherwise("overige")
     return named.join(strings, ["file", "block_id"]).withColumn("kind", kind)
 
 
-def block_text(strings: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., text) of strings, words that were broken put together where both parts stand."""
+def article_nodes(index: DataFrame, strings: DataFrame) -> DataFrame:
+    """Node rows of articles, a document each with a paragraph for each block, and their kind in attrs of the root."""
+    blocks = block_text(article_blocks(index, strings).withColumn("ord", F.struct("seq", "ord")), ["doc_id", "article_id", "kind", "seq"], order="ord")
+    made = units_to_nodes(blocks.where("text <> ''"), "article_id", "seq", "p")
+    kinds = blocks.select(F.col("article_id").alias("doc_id"), "kind").distinct()
+    return made.join(kinds, "doc_id").withColumn("attrs", F.when(F.col("tag") == "text", F.create_map(F.lit("kind"), "kind")).otherwise(F.col("attrs"))).select(*made.columns)
+
+
+def block_text(strings: DataFrame, key: list[str], order: str = "ord") -> DataFrame:
+    """(key..., text) of strings, words that were broken put together where both parts stand, in one block or in two that follow each other."""
     from glossmill.operators.tree import rejoin_hyphens
 
-    whole = rejoin_hyphens(strings, [k for k in key if k != "block_id"] or key, "ord")
-    return whole.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "word"))).alias("ws")).select(*key, F.array_join("ws.word", " ").alias("text"))
+    whole = rejoin_hyphens(strings, [k for k in key if k not in ("block_id", "seq")] or key, order)
+    return whole.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, "word"))).alias("ws")).select(*key, F.array_join("ws.word", " ").alias("text"))
 
 
 RUNS = "doc_id string, page int, par int, line int, run int, text string, hyphen string, style string, ff string, fs string, lang string, flags array<string>, list_item boolean, align string, role string, box struct<t: string, l: string, r: string, b: string>"
@@ -288,7 +333,6 @@ HOCR = "doc_id string, par int, par_id string, line int, line_id string, word_id
 
 def hocr(path: str, data: bytes):
     """Word rows of an hOCR page: ocrx_word, or ocr_word where a line has none; exactly one ocr_page is expected."""
-    import re
     from html.parser import HTMLParser
 
     class Reader(HTMLParser):
@@ -497,20 +541,54 @@ def read(files_: DataFrame, kind: str, **options) -> DataFrame:
 
 
 def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None = None) -> DataFrame:
-    """(doc_id, xml): documents written as annotated text from their nodes; a document is gathered, so it must fit a task."""
+    """(doc_id, xml): documents written as annotated text from their nodes, with markup of texts; a document is gathered, so it must fit a task."""
 
     def write(key, frame):
         import xml.etree.ElementTree as ET
 
         import pandas as pd
 
+        def marked(t, spans) -> None:
+            last = None
+            for x in spans:
+                if x["kind"] != "text":
+                    last = ET.SubElement(t, x["kind"])
+                    last.text = x["text"] or None
+                elif x["tag"]:
+                    last = ET.SubElement(t, "t-style", {"tag": x["tag"]})
+                    last.text = x["text"]
+                elif last is None:
+                    t.text = (t.text or "") + x["text"]
+                else:
+                    last.tail = (last.tail or "") + x["text"]
+
         root, made = ET.Element(root_tag, {"xml:id": key[0]} | ({"xmlns": namespace} if namespace else {})), {}
         for row in frame.sort_values("ord").itertuples():
             parent = made.get(row.parent_id, root)
-            own = {k: v for k, v in (("xml:id", row.node_id), ("class", row.cls), ("set", row.set)) if v is not None} | ({} if row.space is None or row.space else {"space": "no"})
+            own = {k: v for k, v in (("xml:id", row.node_id), ("class", row.cls), ("set", row.set)) if v is not None} | ({} if row.space is None or row.space else {"space": "no"}) | {k: v for k, v in dict(row.attrs if row.attrs is not None else {}).items() if v is not None}
             element = made[row.node_id] = ET.SubElement(parent, row.tag, own)
-            for layer, text in sorted(dict(row.texts or {}).items()):
-                ET.SubElement(element, "t", {} if layer == "current" else {"class": layer}).text = text
+            spans = list(row.spans) if getattr(row, "spans", None) is not None else []
+            for layer, text in sorted(dict(row.texts if row.texts is not None else {}).items()):
+                t = ET.SubElement(element, "t", {} if layer == "current" else {"class": layer})
+                if inside := [x for x in spans if x["layer"] == layer]:
+                    marked(t, inside)
+                else:
+                    t.text = text
         return pd.DataFrame({"doc_id": [key[0]], "xml": [ET.tostring(root, encoding="unicode")]})
 
     return nodes.groupBy("doc_id").applyInPandas(write, "doc_id string, xml string")
+
+
+def units_to_nodes(units: DataFrame, doc: str = "doc_id", order: str = "ord", tag: str | None = None) -> DataFrame:
+    """Node rows of documents that are a sequence of blocks (doc, order, text, and tag unless given): a text with the blocks below it."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy(doc).orderBy(order))
+    root = F.concat(F.col(doc), F.lit(".text"))
+    name = F.lit(tag) if tag else F.col("tag")
+    empty = ["cast(null as string) as cls", "cast(null as string) as `set`", "cast(null as string) as lang", "true as space"]
+    bare = ["cast(map() as map<string,string>) as attrs", "cast(array() as array<struct<layer: string, kind: string, text: string, tag: string>>) as spans"]
+    blocks = units.select(F.col(doc).cast("string").alias("doc_id"), F.concat(root, F.lit("."), name, F.lit("."), at).alias("node_id"), root.alias("parent_id"), F.array(F.lit("text")).alias("path"), F.array(root).alias("path_ids"), at.cast("long").alias("ord"), F.lit(2).alias("depth"), name.alias("tag"), "text")
+    blocks = blocks.selectExpr("doc_id", "node_id", "parent_id", "path", "path_ids", "ord", "depth", "tag", *empty, "map('current', text) as texts", *bare)
+    tops = units.select(F.col(doc).cast("string").alias("doc_id")).distinct().selectExpr("doc_id", "concat(doc_id, '.text') as node_id", "cast(null as string) as parent_id", "cast(array() as array<string>) as path", "cast(array() as array<string>) as path_ids", "0L as ord", "1 as depth", "'text' as tag", *empty, "cast(map() as map<string,string>) as texts", *bare)
+    return tops.union(blocks).select(*[c.strip().split(" ")[0] for c in files.split_schema(NODES)])

@@ -32,7 +32,8 @@ def test_annotated(spark, tmp_path):
     assert rows["p1"].texts == {"OCR": "To be or"} and rows["p1"].lang == "eng" and rows["w1"].lang == "eng"
     assert rows["w1"].space is False and rows["w2"].path == ["text", "p", "s"] and "w3" not in rows
     assert [r.path.rpartition("/")[2] for r in bad.collect()] == ["broken.xml"]
-    assert "To be or" in xml.to_xml(good).first().xml
+    again = xml.annotated("a.xml", f"<x>{xml.to_xml(good).first().xml.partition('>')[2].rpartition('<')[0]}</x>".encode())
+    assert {r["node_id"]: (r["texts"], r["tag"], r["space"]) for r in again} == {r.node_id: (r.texts, r.tag, r.space) for r in rows.values()}
 
 
 def test_page(spark, tmp_path):
@@ -50,8 +51,9 @@ def test_alto(spark, tmp_path):
     strings, _ = read(spark, tmp_path, "alto", "p.xml", ALTO)
     assert xml.block_text(strings, ["file", "block_id"]).first().text == "afbreking en zo"
     assert [r.string_id for r in strings.orderBy("ord").collect()] == ["s1", "s2", "s3_1", "s3_2"]
-    index = spark.createDataFrame([("d", "a1", "artikel", "t", "z", 0, "p.xml", "b1")], xml.DIDL)
-    assert {(r.article_id, r.kind) for r in xml.article_blocks(index, strings).collect()} == {("a1", "artikel")}
+    index = spark.createDataFrame([("d", "a1", "artikel", "t", "z", k, k, "p.xml", "b1") for k in range(2)], xml.DIDL)
+    blocks = xml.article_blocks(index, strings).collect()
+    assert {(r.article_id, r.kind) for r in blocks} == {("a1", "artikel")} and len(blocks) == strings.where("block_id = 'b1'").count(), "a block named twice counts once"
 
 
 def test_abby(spark, tmp_path):
