@@ -127,8 +127,8 @@ def spans_text(spans: DataFrame, restore: bool = False, honour_tags: bool = Fals
     return gathered.select("doc_id", "node_id", F.trim(marked_text(F.col("ss"), restore, honour_tags)).alias("text"))
 
 
-#: Nodes whose texts stand apart in plain text; of nested ones the outermost counts.
-BLOCKS = ("p", "head", "note", "item", "caption", "cell", "entry", "quote", "utt", "event")
+#: Structure that holds blocks; in plain text what is outermost below it stands apart.
+CONTAINERS = ("text", "div", "speech", "list", "figure", "table", "row", "tablehead", "event")
 
 
 def document_text(nodes: DataFrame, cls: str = "current", retain_tokens: bool = False, restore: bool = False, honour_tags: bool = False) -> DataFrame:
@@ -144,7 +144,7 @@ def document_text(nodes: DataFrame, cls: str = "current", retain_tokens: bool =
     inner = said.select("doc_id", F.explode("path_ids").alias("node_id")).distinct()
     leaves = said.join(inner, ["doc_id", "node_id"], "left_anti")
     tags, ids = F.concat("path", F.array("tag")), F.concat("path_ids", F.array("node_id"))
-    at = F.expr(f"coalesce(filter(transform(tags, (t, i) -> IF(t IN {BLOCKS}, i, NULL)), i -> i IS NOT NULL)[0], size(tags) - 1)")
+    at = F.expr(f"coalesce(get(filter(sequence(0, size(tags) - 1), i -> tags[i] NOT IN {CONTAINERS}), 0), size(tags) - 1)")
     placed = leaves.withColumn("tags", tags).withColumn("ids", ids).withColumn("block", F.expr("ids")[at])
     gap = F.when((F.col("tag") == "w") & ~F.col("space") & F.lit(not retain_tokens) | F.col("said").endswith("\n"), "").otherwise(" ")
     gathered = placed.groupBy("doc_id", "block").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", F.concat("said", gap).alias("t")))).alias("ts"))

@@ -631,3 +631,6 @@ def streaming_counts(spark, sf_dir):
     from glossmill.streaming import counts
 
     return statistics.clipped(counts.run_once(spark, f"{sf_dir}/documents.parquet"), 3)
+
+
+from glossmill.plans import formats  # noqa: E402, F401  registers its queries
