@@ -10,10 +10,10 @@ ANNOTATED = b"""<?xml version="1.0"?><doc xmlns="http://x.y/z" xml:id="d1"><meta
 <correction><new><w xml:id="w2"><t>be</t></w></new><original auth="no"><w xml:id="w3"><t>bee</t></w></original></correction></s></p></text></doc>"""
 PAGE = b"""<PcGts xmlns="http://p"><Page imageFilename="a.tif"><ReadingOrder><OrderedGroup><RegionRefIndexed regionRef="r2" index="0"/><RegionRefIndexed regionRef="r1" index="1"/></OrderedGroup></ReadingOrder>
 <TextRegion id="r0" type="page-number"><TextEquiv><Unicode>83</Unicode></TextEquiv></TextRegion>
-<TextRegion id="r1" type="paragraph"><TextLine id="l1"><TextEquiv><Unicode/><Unicode>een afbre-</Unicode></TextEquiv></TextLine><TextLine id="l2"><TextEquiv><Unicode>king hier</Unicode></TextEquiv></TextLine></TextRegion>
+<TextRegion id="r1" type="paragraph"><TextLine id="l1"><TextEquiv><Unicode/><Unicode>een woor-</Unicode></TextEquiv></TextLine><TextLine id="l2"><TextEquiv><Unicode>deel hier</Unicode></TextEquiv></TextLine></TextRegion>
 <TextRegion id="r2" type="heading"><TextEquiv><Unicode>Kop</Unicode></TextEquiv></TextRegion><TextRegion id="r3" type="footer"><TextEquiv><Unicode>weg</Unicode></TextEquiv></TextRegion></Page></PcGts>"""
 HOCR = b"""<html><body><div class='ocr_page' title='image "im/x_1.tif"; bbox 0 0 1 1'><p id='p1'><span class='ocr_line' id='l1'><span class='ocrx_word' id='w1'>wiLLeM</span> <span class='ocrx_word' id='w2'>De</span></span></p><p><span class='ocr_line'> </span></p></div></body></html>"""
-ALTO = b"""<alto><Layout><TextBlock ID="b1"><TextLine><String ID="s1" CONTENT="af-" SUBS_TYPE="HypPart1" SUBS_CONTENT="afbreking"/></TextLine><TextLine><String ID="s2" CONTENT="breking" SUBS_TYPE="HypPart2" SUBS_CONTENT="afbreking"/><String ID="s3" CONTENT="en zo"/></TextLine></TextBlock></Layout></alto>"""
+ALTO = b"""<alto><Layout><TextBlock ID="b1"><TextLine><String ID="s1" CONTENT="woor-" SUBS_TYPE="HypPart1" SUBS_CONTENT="woordeel"/></TextLine><TextLine><String ID="s2" CONTENT="deel" SUBS_TYPE="HypPart2" SUBS_CONTENT="woordeel"/><String ID="s3" CONTENT="en zo"/></TextLine></TextBlock></Layout></alto>"""
 ABBY = b"""<document xmlns="http://a"><documentData><paragraphStyles><paragraphStyle id="P" mainFontStyleId="F"><fontStyle id="F" ff="Times" fs="11." italic="1" bold="1"/></paragraphStyle></paragraphStyles></documentData>
 <page><text><par align="Left" style="P"><line><formatting><charParams l="1" t="2" r="3" b="4">a</charParams><charParams>-</charParams></formatting></line><line><formatting bold="1">b</formatting><formatting><wordRecVariants><wordRecVariant><variantText><text>cd</text></variantText></wordRecVariant></wordRecVariants></formatting></line></par><par isListItem="1"><line><formatting>punt</formatting></line></par></text></page></document>"""
 DEBATE = b"""<root xmlns:pm="http://pm"><meta><identifier>x.1</identifier></meta><proceedings pm:id="pr"><topic pm:id="t1" pm:title="Een"><scene pm:id="s1" pm:speaker="A"><speech pm:id="sp1" pm:speaker="B" pm:party="P"><p pm:id="p1">Hallo <tagged-entity pm:type="person">Jan</tagged-entity> daar<note pm:id="n1">noot</note></p></speech></scene></topic><topic pm:id="t2"><stage-direction pm:id="d1">Applaus</stage-direction></topic></proceedings></root>"""
@@ -38,7 +38,7 @@ def test_annotated(spark, tmp_path):
 
 def test_page(spark, tmp_path):
     regions, _ = read(spark, tmp_path, "page", "x.xml", PAGE)
-    assert [(r.tag, r.text) for r in xml.page_units(regions).orderBy("place").collect()] == [("br", "83"), ("head", "Kop"), ("p", "een afbreking hier")]
+    assert [(r.tag, r.text) for r in xml.page_units(regions).orderBy("place").collect()] == [("br", "83"), ("head", "Kop"), ("p", "een woordeel hier")]
 
 
 def test_hocr(spark, tmp_path):
@@ -49,7 +49,7 @@ def test_hocr(spark, tmp_path):
 
 def test_alto(spark, tmp_path):
     strings, _ = read(spark, tmp_path, "alto", "p.xml", ALTO)
-    assert xml.block_text(strings, ["file", "block_id"]).first().text == "afbreking en zo"
+    assert xml.block_text(strings, ["file", "block_id"]).first().text == "woordeel en zo"
     assert [r.string_id for r in strings.orderBy("ord").collect()] == ["s1", "s2", "s3_1", "s3_2"]
     index = spark.createDataFrame([("d", "a1", "artikel", "t", "z", k, k, "p.xml", "b1") for k in range(2)], xml.DIDL)
     blocks = xml.article_blocks(index, strings).collect()
@@ -75,10 +75,10 @@ def test_proceedings(spark, tmp_path):
 
 
 def test_plain_text(spark):
-    text = "Dit is een test. Met enkele paragra-\nfen. Dit ook\n‌\n\nEn de tweede ge¬\nval :{-"
+    text = "Een regel met een woor-\ndeel en meer\n‌\n\nDaarna een an¬\nder )-"
     words = files.paragraphs(spark.createDataFrame([(1, text)], "doc_id int, text string"))
     rows = files.paragraph_text(words).orderBy("par").collect()
-    assert [r.text for r in rows] == ["Dit is een test. Met enkele paragrafen. Dit ook", "En de tweede geval :{-"]
+    assert [r.text for r in rows] == ["Een regel met een woordeel en meer", "Daarna een ander )-"]
     assert words.where("br").count() == 0 and words.where("hyphen is not null").count() == 2
 
 
