@@ -276,7 +276,7 @@ def block_text(strings: DataFrame, key: list[str], order: str = "ord") -> DataFr
     return whole.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, "word"))).alias("ws")).select(*key, F.array_join("ws.word", " ").alias("text"))
 
 
-RUNS = "doc_id string, page int, par int, line int, run int, text string, hyphen string, style string, ff string, fs string, lang string, flags array<string>, list_item boolean, align string, role string, box struct<t: string, l: string, r: string, b: string>"
+RUNS = "doc_id string, page int, par int, line int, run int, text string, hyphen string, style string, ff string, fs string, lang string, flags array<string>, list_item boolean, align string, role string, box struct<t: string, l: string, r: string, b: string>, last_box struct<t: string, l: string, r: string, b: string>, lead string, trail string"
 
 
 def abby(path: str, data: bytes):
@@ -297,35 +297,57 @@ def abby(path: str, data: bytes):
             base = fonts.get(attributes(par).get("style"), nothing)
             listed = attributes(par).get("isListItem") in ("1", "true")
             for n, line in enumerate(x for x in par if local(x) == "line"):
-                for k, run in enumerate(x for x in line if local(x) == "formatting"):
+                runs = [x for x in line if local(x) == "formatting"]
+                for k, run in enumerate(runs):
                     own = attributes(run)
                     named = fonts.get(own.get("style"), base)
                     flags = set(named["flags"]) | {f for f in STYLE_FLAGS if own.get(f) in ("1", "true")}
                     flags -= {f for f in STYLE_FLAGS if own.get(f) in ("0", "false")}
-                    variants = [next((t.text or "" for t in v.iter() if local(t) == "text"), "") for v in run.iter() if local(v) == "wordRecVariant"]
+                    variants = [next((t.text or "" for v in vs if local(v) == "wordRecVariant" for t in v.iter() if local(t) == "text"), "") for vs in run.iter() if local(vs) == "wordRecVariants"]
                     chars = [x for x in run if local(x) == "charParams"]
                     text = " ".join(v for v in variants if v) or "".join(c.text or " " for c in chars) or (run.text or "")
-                    bare, hyphen = text.rstrip(), None
-                    if len(bare) > 1 and bare[-1] in "¬-" and bare[-2].isalpha() and not (listed and k == 0 and len(bare) < 3):
-                        bare, hyphen = bare[:-1], bare[-1]
-                    else:
-                        bare = text
-                    if not bare and not hyphen:
+                    bare, hyphen = text.strip(), None
+                    lead = text[: len(text) - len(text.lstrip())]
+                    trail = text[len(text.rstrip()) :] if bare else ""
+                    ends = k == len(runs) - 1
+                    if len(bare) > 1 and (bare[-1] == "¬" or bare[-1] == "-" and ends) and bare[-2].isalpha() and not (listed and k == 0 and len(bare) < 3):
+                        bare, hyphen, trail = bare[:-1], bare[-1], ""
+                    if not bare and not hyphen and not lead:
                         continue
-                    box = attributes(chars[0]) if chars else {}
-                    rows.append({"doc_id": stem(path), "page": p, "par": par_no, "line": n, "run": k, "text": bare, "hyphen": hyphen, "style": own.get("style"), "ff": own.get("ff") or named["ff"], "fs": own.get("fs") or named["fs"], "lang": own.get("lang") or named["lang"], "flags": sorted(flags), "list_item": listed, "align": attributes(par).get("align"), "role": base["role"], "box": {k_: box.get(k_) for k_ in "tlrb"}})
+                    box, last = (attributes(chars[0]), attributes(chars[-1])) if chars else ({}, {})
+                    boxes = {"box": {k_: box.get(k_) for k_ in "tlrb"}, "last_box": {k_: last.get(k_) for k_ in "tlrb"}}
+                    rows.append({"doc_id": stem(path), "page": p, "par": par_no, "line": n, "run": k, "text": bare, "hyphen": hyphen, "style": own.get("style"), "ff": own.get("ff") or named["ff"], "fs": own.get("fs") or named["fs"], "lang": own.get("lang") or named["lang"], "flags": sorted(flags), "list_item": listed, "align": attributes(par).get("align"), "role": base["role"], "lead": lead, "trail": trail} | boxes)
             par_no += 1
     return rows
 
 
+def abby_features(runs: DataFrame) -> DataFrame:
+    """Adds features, the style of a run as (subset, class) pairs, and tag: token for what stands above or below the line."""
+    one = lambda subset, column: F.array(F.struct(F.lit(subset).alias("subset"), F.col(column).alias("class")))
+    faces = F.transform("flags", lambda x: F.struct(F.lit("font_typeface").alias("subset"), x.alias("class")))
+    pairs = F.concat(faces, one("font_family", "ff"), one("font_size", "fs"), one("font_style", "style"))
+    raised = F.arrays_overlap("flags", F.array(F.lit("superscript"), F.lit("subscript")))
+    return runs.withColumn("features", F.filter(pairs, lambda x: x["class"].isNotNull())).withColumn("tag", F.when(raised, "token"))
+
+
 def abby_paragraphs(runs: DataFrame) -> DataFrame:
-    """(doc_id, page, par, text): runs in order, lines with a space between unless a hyphen ends them; items begin with "- "."""
-    at = F.struct("line", "run", "text", "hyphen", "list_item")
-    gathered = runs.groupBy("doc_id", "page", "par").agg(F.array_sort(F.collect_list(at)).alias("rs"))
+    """(doc_id, page, par, text, spans): runs in order, lines with a space between unless a hyphen ends them; items begin with "- ".
+
+    spans has the text with its markup: set spaces at either end of a run, hyphens, and the tag of raised or lowered runs.
+    """
+    at = F.struct("line", "run", "text", "hyphen", "list_item", "lead", "trail", "tag")
+    gathered = abby_features(runs).groupBy("doc_id", "page", "par").agg(F.array_sort(F.collect_list(at)).alias("rs"))
     last = lambda i: F.get("rs", i + 1)
-    piece = F.transform("rs", lambda r, i: F.concat(r["text"], F.when(last(i)["line"].isNotNull() & (last(i)["line"] != r["line"]) & r["hyphen"].isNull(), " ").otherwise("")))
+    between = lambda r, i: F.when(last(i)["line"].isNotNull() & (last(i)["line"] != r["line"]) & r["hyphen"].isNull(), " ").otherwise("")
+    piece = F.transform("rs", lambda r, i: F.concat(r["lead"], r["text"], r["trail"], between(r, i)))
     text = F.regexp_replace(F.trim(F.array_join(piece, "")), r"\s+", " ")
-    return gathered.select("doc_id", "page", "par", F.when(F.col("rs")[0]["list_item"] & ~text.startswith("- "), F.concat(F.lit("- "), text)).otherwise(text).alias("text"))
+    part = lambda kind, said, tag: F.struct(F.lit("current").alias("layer"), F.lit(kind).alias("kind"), said.alias("text"), tag.alias("tag"))
+    none = F.lit(None).cast("string")
+    item = F.col("rs")[0]["list_item"] & ~text.startswith("- ")
+    opening = F.when(item, F.array(part("text", F.lit("- "), none))).otherwise(F.array().cast("array<struct<layer: string, kind: string, text: string, tag: string>>"))
+    parts = F.flatten(F.transform("rs", lambda r, i: F.array(part("t-hspace", r["lead"], none), part("text", r["text"], r["tag"]), part("t-hbr", r["hyphen"], none), part("t-hspace", r["trail"], none), part("text", between(r, i), none))))
+    spans = F.concat(opening, F.filter(parts, lambda x: x["text"] != ""))
+    return gathered.select("doc_id", "page", "par", F.when(item, F.concat(F.lit("- "), text)).otherwise(text).alias("text"), spans.alias("spans"))
 
 
 HOCR = "doc_id string, par int, par_id string, line int, line_id string, word_id string, ord int, text string"
@@ -580,15 +602,16 @@ def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None =
 
 
 def units_to_nodes(units: DataFrame, doc: str = "doc_id", order: str = "ord", tag: str | None = None) -> DataFrame:
-    """Node rows of documents that are a sequence of blocks (doc, order, text, and tag unless given): a text with the blocks below it."""
+    """Node rows of documents that are a sequence of blocks (doc, order, text, tag unless given, and spans if there are any): a text with the blocks below it."""
     from pyspark.sql import Window
 
     at = F.row_number().over(Window.partitionBy(doc).orderBy(order))
     root = F.concat(F.col(doc), F.lit(".text"))
     name = F.lit(tag) if tag else F.col("tag")
     empty = ["cast(null as string) as cls", "cast(null as string) as `set`", "cast(null as string) as lang", "true as space"]
-    bare = ["cast(map() as map<string,string>) as attrs", "cast(array() as array<struct<layer: string, kind: string, text: string, tag: string>>) as spans"]
-    blocks = units.select(F.col(doc).cast("string").alias("doc_id"), F.concat(root, F.lit("."), name, F.lit("."), at).alias("node_id"), root.alias("parent_id"), F.array(F.lit("text")).alias("path"), F.array(root).alias("path_ids"), at.cast("long").alias("ord"), F.lit(2).alias("depth"), name.alias("tag"), "text")
-    blocks = blocks.selectExpr("doc_id", "node_id", "parent_id", "path", "path_ids", "ord", "depth", "tag", *empty, "map('current', text) as texts", *bare)
-    tops = units.select(F.col(doc).cast("string").alias("doc_id")).distinct().selectExpr("doc_id", "concat(doc_id, '.text') as node_id", "cast(null as string) as parent_id", "cast(array() as array<string>) as path", "cast(array() as array<string>) as path_ids", "0L as ord", "1 as depth", "'text' as tag", *empty, "cast(map() as map<string,string>) as texts", *bare)
+    attrs, none = "cast(map() as map<string,string>) as attrs", "cast(array() as array<struct<layer: string, kind: string, text: string, tag: string>>)"
+    own = "spans" if "spans" in units.columns else f"{none} as spans"
+    blocks = units.select(F.col(doc).cast("string").alias("doc_id"), F.concat(root, F.lit("."), name, F.lit("."), at).alias("node_id"), root.alias("parent_id"), F.array(F.lit("text")).alias("path"), F.array(root).alias("path_ids"), at.cast("long").alias("ord"), F.lit(2).alias("depth"), name.alias("tag"), "text", *[c for c in ("spans",) if c in units.columns])
+    blocks = blocks.selectExpr("doc_id", "node_id", "parent_id", "path", "path_ids", "ord", "depth", "tag", *empty, "map('current', text) as texts", attrs, own)
+    tops = units.select(F.col(doc).cast("string").alias("doc_id")).distinct().selectExpr("doc_id", "concat(doc_id, '.text') as node_id", "cast(null as string) as parent_id", "cast(array() as array<string>) as path", "cast(array() as array<string>) as path_ids", "0L as ord", "1 as depth", "'text' as tag", *empty, "cast(map() as map<string,string>) as texts", attrs, f"{none} as spans")
     return tops.union(blocks).select(*[c.strip().split(" ")[0] for c in files.split_schema(NODES)])

@@ -2,6 +2,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
+from glossmill.operators import tree
 from glossmill.sources import files, xml
 from glossmill.streaming import counts
 
@@ -64,6 +65,22 @@ def test_abby(spark, tmp_path):
     assert [r.text for r in xml.abby_paragraphs(runs).orderBy("par").collect()] == ["abcd", "- punt"]
 
 
+def test_abby_markup(spark, tmp_path):
+    chars = lambda t: "".join(f'<charParams l="{k}" t="0" r="{k + 1}" b="9">{c}</charParams>' for k, c in enumerate(t))
+    variants = "<wordRecVariants>" + "".join(f"<wordRecVariant><variantText><text>{t}</text></variantText></wordRecVariant>" for t in ("eerste", "tweede")) + "</wordRecVariants>"
+    line = f'<formatting ff="Arial" fs="9.">  voor- </formatting><formatting superscript="1">{chars("12")}</formatting><formatting>   </formatting><formatting>{variants}{variants}</formatting><formatting bold="1">ge-</formatting>'
+    runs, _ = read(spark, tmp_path, "abby", "m.xml", f"<document><page><par><line>{line}</line><line><formatting>heel</formatting></line></par></page></document>".encode())
+    rows = xml.abby_features(runs).orderBy("line", "run").collect()
+    assert [(r.lead, r.text, r.trail, r.hyphen) for r in rows] == [("  ", "voor-", " ", None), ("", "12", "", None), ("   ", "", "", None), ("", "eerste eerste", "", None), ("", "ge", "", "-"), ("", "heel", "", None)]
+    assert [tuple(f) for f in rows[0].features] == [("font_family", "Arial"), ("font_size", "9.")] and rows[1].tag == "token" and [tuple(f) for f in rows[4].features] == [("font_typeface", "bold")]
+    assert (rows[1].box.l, rows[1].last_box.r) == ("0", "2")
+    made = xml.abby_paragraphs(runs)
+    assert made.first().text == "voor- 12 eerste eerstegeheel"
+    nodes = xml.units_to_nodes(made, order="par", tag="p")
+    assert tree.document_text(nodes, restore=True, honour_tags=True).first().text == "  voor-  12    eerste eerstege-\nheel"
+    assert "<t-hspace>   </t-hspace>" in xml.to_xml(nodes).first().xml
+
+
 def test_proceedings(spark, tmp_path):
     split, _ = read(spark, tmp_path, "proceedings", "p.xml", DEBATE)
     assert {r.doc_id for r in split.collect()} == {"t1", "t2"}
