@@ -197,7 +197,32 @@ def word_in_doc_ngrams(spark, sf_dir):
     return statistics.grams(whole, 2, 2, keep=()).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
 
 
-@query()
+_class = r"CASE WHEN regexp_full_match(x, '[\p{Ll}\p{Lu}\p{Nd}]') OR lower(x) = 'ij' THEN 'NORMAL' WHEN regexp_full_match(x, '\p{L}\p{P}') THEN 'END' WHEN regexp_full_match(x, '\p{P}\p{L}') THEN 'START' ELSE 'NO' END"
+_phrases = f"""
+WITH RECURSIVE {WORDS}, t AS (SELECT doc_id, i, x, {_class} AS k FROM (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words))),
+runs AS (
+  SELECT ws, ks, row_number() OVER (ORDER BY ws) AS run
+  FROM (SELECT DISTINCT list(x ORDER BY i) AS ws, list(k ORDER BY i) AS ks FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM t WHERE k <> 'NO') GROUP BY doc_id, g HAVING count(*) > 1)
+), fold AS (
+  SELECT run, ws, ks, 0 AS pos, CAST([] AS VARCHAR[]) AS seen, 'NO' AS prev, 0 AS held FROM runs
+  UNION ALL
+  SELECT run, ws, ks, pos + 1,
+         list_append(CASE WHEN ks[pos + 1] = 'START' AND (prev = 'START' OR held = 1) THEN list_append(seen[1:len(seen) - 1], 'NO') ELSE seen END, CASE WHEN ks[pos + 1] = 'END' AND held = 0 THEN 'NO' ELSE ks[pos + 1] END),
+         CASE ks[pos + 1] WHEN 'END' THEN prev ELSE ks[pos + 1] END,
+         CASE ks[pos + 1] WHEN 'START' THEN CASE WHEN prev = 'START' OR held = 1 THEN 1 ELSE held + 1 END WHEN 'NORMAL' THEN held + 1 ELSE 0 END
+  FROM fold WHERE pos < len(ks)
+), done AS (
+  SELECT run, ws, CASE WHEN held = 1 THEN list_append(seen[1:len(seen) - 1], 'NO') ELSE seen END AS seen FROM fold WHERE pos = len(ks)
+), each AS (
+  SELECT run, j, ws[j] AS x, seen[j] AS k, seen[j] = 'START' OR coalesce(seen[j - 1], 'NO') IN ('NO', 'END') AS opens FROM (SELECT run, ws, seen, unnest(range(1, len(ws) + 1)) AS j FROM done)
+), grouped AS (
+  SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY j) AS g FROM each
+)
+SELECT DISTINCT string_agg(x, '_' ORDER BY j) AS phrase FROM grouped WHERE k <> 'NO' GROUP BY run, g
+"""
+
+
+@query(_phrases)
 def emphasis_inventory(spark, sf_dir):
     lines = documents(spark, sf_dir).select(strings.words(F.col("text")).alias("words"))
     return emphasis.phrases(lines)
