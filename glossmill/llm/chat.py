@@ -18,8 +18,9 @@ QUOTE = r"^(?:[ \t]*>)+"
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """From (conv, turn, text): (conv, turn, level, whole, norm), a row for each passage and for each line of one with several."""
-    rows = messages.where("text is not null").select("conv", "turn", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    """From (conv, turn, text): (conv, turn, level, whole, norm), a row for each passage and for each line of one with several; equal messages count once."""
+    once = messages.where("text is not null").select("conv", "turn", "text").distinct()  # else equal messages' lines would mix
+    rows = once.select("conv", "turn", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     marked = rows.withColumn("mark", F.regexp_extract("line", QUOTE, 0)).withColumn("level", F.length(F.regexp_replace("mark", "[^>]", "")))
     bare = F.trim(F.regexp_replace(F.lower(F.expr("substring(line, length(mark) + 1)")), r"\s+", " "))
     lines = marked.select("conv", "turn", "key", "n", "level", bare.alias("norm"))

@@ -174,6 +174,23 @@ quoting AS (
 ).replace("said AS (\n  SELECT conv_id, norm", "origins AS (\n  SELECT conv_id, norm").replace("JOIN said USING (conv_id, norm)", "JOIN origins USING (conv_id, norm)")
 
 
+#: CRC-32 byte by byte, with the table made from its polynomial.
+SQL_OP7 = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([CAST(n AS UBIGINT)], list_transform(range(8), lambda z: CAST(0 AS UBIGINT))), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, CAST(n + 1 AS BIGINT) AS size,
+         xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT))), lambda c, x: xor(c >> 8, crc[CAST((xor(c, x) & 255) AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT)) AS text_crc32
+  FROM d, steps
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM sized
+), sharded AS (
+  SELECT *, CAST(least(15, (2 * before + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The others need a tokenizer, XXH64, CRC-32 or a fitted model, or make files: tests hold them against plain versions."""
-    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6, "chat_quotes": SQL_QUOTES}
+    """The others need a tokenizer, XXH64 or a fitted model, or make files: tests hold them against plain versions."""
+    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6, "op7_sharding": SQL_OP7, "chat_quotes": SQL_QUOTES}

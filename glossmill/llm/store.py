@@ -1,12 +1,11 @@
 """The folder that driver and executors share, and tables and files in it."""
 
-import contextlib
 import os
-import uuid
 
 from pyspark.sql import DataFrame
 
 from glossmill.session import new_folder, shared_dir
+from glossmill.sources.outputs import file_system, whole_file
 
 __all__ = ["drop", "file_system", "free", "new_folder", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
 
@@ -39,30 +38,6 @@ def drop(staged: DataFrame) -> None:
         path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def file_system(uri: str):
-    """A pyarrow file system and the path in it, for a URI of any scheme that pyarrow knows."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
-@contextlib.contextmanager
-def whole_file(uri: str):
-    """A binary output that takes its name only when complete, so a lost or repeated task leaves no part of a file."""
-    fs, path = file_system(uri)
-    draft = f"{path}.{uuid.uuid4().hex}.draft"
-    try:
-        with fs.open_output_stream(draft, compression=None) as out:
-            yield out
-        fs.move(draft, path)
-    except BaseException:
-        with contextlib.suppress(OSError):
-            fs.delete_file(draft)
-        raise
-
-
 def task_name() -> str:
     """One name for each partition of a stage, the same in every attempt."""
     from pyspark import TaskContext

@@ -23,6 +23,10 @@ MESSAGES = [
     ("f", 0, "user", "Use sorted()."),
     ("f", 1, "user", "Use sorted()."),
     ("f", 2, "user", "text\n> Use sorted()."),
+    ("g", 0, "user", "first line\nsecond line"),
+    ("g", 0, "user", "first line\nsecond line"),
+    ("g", 1, "user", "> first line\n> second line\nfor both"),
+    ("g", 1, "user", "> first line\n> second line\nfor both"),
 ]
 
 
@@ -67,7 +71,7 @@ def test_conversations(spark):
     rows = chat.conversations(table).collect()
     assert len(rows) == len(MESSAGES)
     replies = plain_chat(MESSAGES)
-    assert replies == {("c", 2): 1, ("c", 3): 2, ("c", 4): 0, ("f", 2): 0}
+    assert replies == {("c", 2): 1, ("c", 3): 2, ("c", 4): 0, ("f", 2): 0, ("g", 1): 0}
     for r in rows:
         assert r.reply_to == replies.get((r.conv_id, r.turn)), (r.conv_id, r.turn)
         root = r.turn
