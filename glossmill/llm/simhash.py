@@ -71,10 +71,10 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """From distinct fp: all pairs (a, b), a < b, of fingerprints at two bits or fewer."""
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    steps, keyed, found, last = masks(), distinct.withColumn("taken", F.lit(0).cast("long")), [], 2
+    steps, found, last = masks(), [], 2
+    keyed = distinct.select("fp", F.explode(F.array(*[F.lit(mask).cast("long") for _, mask in steps])).alias("mask"))
     for level in range(last + 1):
-        level_masks = F.broadcast(distinct.sparkSession.createDataFrame(steps, "taken long, mask long"))  # 6, 36 or 216 rows
-        keyed = keyed.join(level_masks, "taken").select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("block"))
+        keyed = keyed.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("block"))
         sizes = keyed.groupBy("mask", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = store.stage(keyed.join(sizes, ["mask", "block"]), "blocks")
         few = shared if level == last else shared.where(F.col("n") <= bucket)
@@ -83,8 +83,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
         crowded = shared.where(F.col("n") > bucket)
         if level == last or crowded.isEmpty():
             break
-        keyed = crowded.select("fp", F.col("mask").alias("taken"))
         steps = sorted({step for _, mask in steps for step in masks(taken=mask & (1 << 64) - 1)})
+        finer = F.broadcast(distinct.sparkSession.createDataFrame(steps, "mask long, finer long"))  # 36 or 216 rows
+        keyed = crowded.select("fp", "mask").join(finer, "mask").select("fp", F.col("finer").alias("mask"))
     return reduce(DataFrame.union, found).distinct()
 
 
