@@ -42,7 +42,7 @@ def top_grams(rows: DataFrame, key: str, text: str = "text", top: int = TOP, lon
     """(key, grams): the `top` most frequent character n-grams of each text, the most frequent first; of equals the one that sorts first.
 
     A text's grams are counted within its row, so nothing is shuffled; array
-    functions take twenty times as long for it.
+    functions took twice as long for it.
     """
 
     def ranked_grams(batches):
