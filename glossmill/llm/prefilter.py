@@ -22,6 +22,31 @@ def spots(hashed: Column) -> list[Column]:
     return [hashed.bitwiseAND(F.lit(BLOCKS - 1)), *parts]
 
 
+def built(hashes: DataFrame) -> DataFrame:
+    """(block, bits), stored, at most BLOCKS rows of 4 kB, from one column of 64-bit hashes."""
+    at = spots(store.column(hashes.columns[0]))
+    spread = hashes.select(at[0].alias("block"), F.explode(F.array(*at[1:])).alias("bit")).repartition("block")  # so that a block is made but once
+    return store.stage(spread.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
+
+
+def collected(made: DataFrame) -> bytes:
+    """A filter as one run of bytes, 8 MB, for tasks that look words up themselves."""
+    whole = bytearray(BLOCKS << BITS - 3)
+    for block, bits in made.collect():  # at most BLOCKS rows
+        whole[block << BITS - 3 : (block + 1) << BITS - 3] = bits
+    return bytes(whole)
+
+
+def among(whole: bytes, hashed: int) -> bool:
+    """Whether a signed hash may be among the keys of collected()."""
+    base = (hashed & BLOCKS - 1) << BITS - 3
+    for k in range(3):
+        bit = hashed >> 11 + BITS * k & (1 << BITS) - 1
+        if not whole[base + (bit >> 3)] >> (bit & 7) & 1:
+            return False
+    return True
+
+
 def split(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that may be, rows that can't be) among keys, a table of distinct rows with the columns that `own` is compared with, in that order.
 
@@ -29,15 +54,16 @@ def split(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[DataFram
     Values of either side must be of equal types.  Without keys no row may be.
     """
     hashed, block, bits = store.free(rows, "hashed", "block", "bits")
-    at = spots(F.xxhash64(*keys.columns))
-    spread = keys.select(at[0].alias(block), F.explode(F.array(*at[1:])).alias(bits)).repartition(block)  # so that a block is made but once
-    made = store.stage(spread.groupBy(block).agg(F.bitmap_construct_agg(bits).alias(bits)), "filter")
+    whole = built(keys.select(F.xxhash64(*map(store.column, keys.columns)).alias("h")))
+    longs = f"transform(sequence(0, {(1 << BITS - 6) - 1}), k -> cast(conv(hex(substring(bits, 8 * k + 1, 8)), 16, -10) as long))"  # a bit is read from a number, not from bytes
+    made = whole.select(F.col("block").alias(block), F.expr(longs).alias(bits))
     mine = spots(F.col(hashed))
-    marked = rows.withColumn(hashed, F.xxhash64(*own)).join(F.broadcast(made.withColumnRenamed(block, f"{block}_of")), mine[0] == F.col(f"{block}_of"), "left")  # at most BLOCKS rows of 4 kB
-    byte = lambda spot: F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = lambda spot: F.getbit(byte(spot), spot.bitwiseAND(F.lit(7)).cast("int")) == 1
+    marked = rows.withColumn(hashed, F.xxhash64(*own)).join(F.broadcast(made), mine[0] == F.col(block), "left")  # at most BLOCKS rows of 4 kB
+    place = lambda spot: (F.lit(56) - F.shiftright(spot, 3).bitwiseAND(F.lit(7)) * 8 + spot.bitwiseAND(F.lit(7))).cast("int")  # noqa: E731  the first byte is the highest
+    bit = lambda spot: F.getbit(F.get(F.col(bits), F.shiftright(spot, 6).cast("int")), place(spot)) == 1
     found = F.coalesce(reduce(Column.__and__, [bit(x) for x in mine[1:]]), F.lit(False))
-    return marked.where(found).select(*rows.columns), marked.where(~found).select(*rows.columns)
+    columns = [store.column(c) for c in rows.columns]
+    return marked.where(found).select(*columns), marked.where(~found).select(*columns)
 
 
 def without(rows: DataFrame, own: list[Column], keys: DataFrame) -> DataFrame:

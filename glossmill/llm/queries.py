@@ -7,7 +7,7 @@ derives the digest columns of its contract from the operator's own output.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, packing, sharding, simhash, store, substrings, tokenfiles, toxicity, warc
+from . import chat, decontam, media, packing, quality, repair, search, sharding, simhash, store, substrings, tokenfiles, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", F.col("removed").alias("cut_spans"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def damaged(messages: DataFrame) -> DataFrame:
+    """Conversations with faults by rule: rows that go are marked absent, texts are emptied or lose their stops, rows are repeated, roles changed."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", said("conv_id"), said("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    rows = messages.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), (fault == 0).alias("absent"), F.when(fault == 3, 2).otherwise(1).alias("times"))
+    return rows.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = repair.repair(damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), absent="absent")
+    return repair.summaries(repaired).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict:
     """All functions here named op…, and chat_quotes."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"chat_quotes": chat_quotes}
@@ -191,6 +214,88 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s
 """
 
 
+SQL_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL)
+  WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS HUGEINT) AS length FROM d
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, docs
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL
+), scored AS (
+  SELECT item_id, tf.r, CAST(sum(weights.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * CAST(n AS HUGEINT) * docs) // length)))) AS BIGINT) AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN d ON d.r = tf.r, totals GROUP BY item_id, tf.r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored JOIN d USING (r) WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+def sql_op13() -> str:
+    """A table of best edits grows by a row of a conversation at a time: for each state the cost in nine digits, then the audit, so that the least string is the least audit of least cost."""
+    edit = lambda s, cost, letter: f"(printf('%09d', CAST({s}[1:9] AS INTEGER) + {cost}) || {s}[10:] || '{letter}')"
+    least = lambda *all_: f"list_min([{', '.join(all_)}])"
+    two = least("s2", edit("s0", 2, "I"), edit("s1", 2, "I"), edit("s3", 2, "I"))
+    free = lambda letter: f"CASE WHEN f NOT IN ('b', 'd') THEN {letter} END"
+    keep = lambda s, ini: f"CASE WHEN f NOT IN ('b', 'd') AND ini = '{ini}' THEN {edit(s, 'short', 'K')} END"
+    rerole = lambda s: free(edit(s, "2 + short", "R"))
+    steps = [
+        edit("e0", 3, "D"),
+        least(edit("e1", 3, "D"), keep("e0", "s")),
+        least(edit("e2", 3, "D"), *[keep(s, "u") for s in ("e0", "e1", "e3")], *map(rerole, ("e0", "e1", "e3"))),
+        least(edit("e3", 3, "D"), keep("e2", "a"), rerole("e2")),
+    ]
+    return rf"""
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([CAST(n AS UBIGINT)], list_transform(range(8), lambda z: CAST(0 AS UBIGINT))), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END)) AS crc),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+crcs AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT))), lambda c, x: xor(c >> 8, crc[CAST((xor(c, x) & 255) AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT)) % 20 AS k
+  FROM named, steps
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM crcs WHERE k <> 0
+), ordered AS (
+  SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), rows_ AS (
+  SELECT *, CASE WHEN f = 't' THEN 1 ELSE 0 END AS short
+  FROM (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS f,
+               coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS illegal FROM ordered)
+), convs AS (
+  SELECT DISTINCT conv_id FROM conversations
+), dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM convs
+  UNION ALL
+  SELECT conv_id, i, {", ".join(steps)}
+  FROM (SELECT conv_id, i, f, short, ini, s0 AS e0, s1 AS e1, e2, {least("s3", edit("e2", 2, "I"))} AS e3
+        FROM (SELECT dp.conv_id, r.i, f, short, ini, s0, s1, s3, {two} AS e2 FROM dp JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1))
+), finished AS (
+  SELECT conv_id, {least("s0", "s3", edit(two, 2, "I"))} AS best FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1
+), audits AS (
+  SELECT conv_id, CAST(best[1:9] AS BIGINT) AS cost, best[10:] AS audit FROM finished
+), walk AS (
+  SELECT conv_id, audit, 0 AS p, CAST(0 AS BIGINT) AS i, '' AS last, CAST([] AS VARCHAR[]) AS said FROM audits
+  UNION ALL
+  SELECT conv_id, audit, p + 1, i + CASE WHEN e = 'I' THEN 0 ELSE 1 END,
+         CASE e WHEN 'D' THEN last WHEN 'K' THEN left(role, 1) ELSE CASE WHEN last = 'u' THEN 'a' ELSE 'u' END END,
+         CASE e WHEN 'D' THEN said ELSE list_append(said, CASE WHEN e = 'K' THEN role WHEN last = 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (SELECT w.conv_id, w.audit, w.p, w.i, w.last, w.said, w.audit[w.p + 1] AS e, r.role, r.text FROM walk w LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 WHERE w.p < length(w.audit))
+), told AS (
+  SELECT conv_id, sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM walk WHERE p = length(audit)
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM rows_ GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, repaired_sha256
+FROM audits a JOIN told t ON a.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The others need a tokenizer, XXH64 or a fitted model, or make files: tests hold them against plain versions."""
-    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6, "op7_sharding": SQL_OP7, "chat_quotes": SQL_QUOTES}
+    """The others need a tokenizer, XXH64, zstandard or a fitted model, or make files: tests hold them against plain versions."""
+    return {"op4_warc": SQL_OP4, "op5_decontamination": SQL_OP5, "op6_chat": SQL_OP6, "op7_sharding": SQL_OP7, "op11_search": SQL_OP11, "op13_repair": sql_op13(), "chat_quotes": SQL_QUOTES}

@@ -2,12 +2,13 @@
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from glossmill.session import new_folder, shared_dir
 from glossmill.sources.outputs import file_system, whole_file
 
-__all__ = ["drop", "file_system", "free", "new_folder", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
+__all__ = ["column", "drop", "file_system", "free", "mapped", "new_folder", "quoted", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
 
 
 def free(table: DataFrame, *names: str) -> list[str]:
@@ -24,6 +25,34 @@ def free(table: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL and schemas take it, whatever is in it."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def column(name: str) -> Column:
+    """The column of just that name: a dot in it is no path."""
+    return F.col(quoted(name))
+
+
+def mapped(rows: DataFrame, function, fields: list[tuple[str, str]]) -> DataFrame:
+    """rows.mapInArrow(function) with fields (name, type), for columns of any name.
+
+    The function sees batches under the columns' own names; Spark, which takes a dot for a path, sees numbers.
+    """
+    given, inner = rows.columns, [f"c{k}" for k in range(len(fields))]
+
+    def renamed(batches):
+        import pyarrow as pa
+
+        for batch in function(pa.RecordBatch.from_arrays(b.columns, given) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inner)
+
+    numbered = rows.toDF(*[f"c{k}" for k in range(len(given))])
+    made = numbered.mapInArrow(renamed, ", ".join(f"{name} {kind}" for name, (_, kind) in zip(inner, fields, strict=True)))
+    return made.toDF(*[name for name, _ in fields])
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here."""
     path = new_folder(df.sparkSession, name)
