@@ -1,13 +1,14 @@
 """Benchmark windows in documents, found by a prefix-filtered join on shingles and verified word by word.
 
 A window is SIZE consecutive words of an item; a shorter item is one window.
-Shingles of SHINGLE words are looked for in all documents at once; what is
-found gives each shingle's number of occurrences in the corpus.  A window
-that stands in a document has all its shingles there, so its rarest one, a
-prefix of length one in the order of rarity, is the only one that has to be
-joined.  Bounds of length and position drop what can't be; the rest is
-compared word by word with the text, which only then is fetched, in pieces,
-for documents that have candidates.  All of it is DataFrame operations.
+A first pass over all documents counts the shingles of SHINGLE words that the
+benchmark has, in one aggregate.  A window that stands in a document has all
+its shingles there, so its rarest one, a prefix of length one in the order of
+rarity, is the only one that has to be joined: a second pass joins these.
+Either pass sifts shingles by a Bloom filter of 8 MB before it joins them.
+Bounds of length and position drop what can't be; the rest is compared word by
+word with the text, which only then is fetched, in pieces, for documents that
+have candidates.  All of it is DataFrame operations.
 """
 
 from functools import reduce
@@ -22,8 +23,6 @@ SIZE, SHINGLE = 10, 5
 PIECE = 64
 #: Hashes of a document's words that are made into shingles at a time.
 STRIDE = 1024
-#: Distinct benchmark shingles up to which their hashes (8 bytes each) are broadcast; beyond, the join is shuffled.
-BROADCAST_SHINGLES = 2_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,7 +50,7 @@ def exploded(rows: DataFrame, sizes: list[int], *kept: str) -> DataFrame:
 
 def windows(items: DataFrame, id_column: str, text_column: str, size: int = SIZE) -> DataFrame:
     """(item, n, window) for each distinct window of each item, its words joined by spaces."""
-    split = items.select(F.col(id_column).alias("item"), words(F.col(text_column)).alias("w")).where("size(w) > 0")
+    split = items.select(store.column(id_column).alias("item"), words(store.column(text_column)).alias("w")).where("size(w) > 0")
     each = f"explode(transform(sequence(0, size(w) - least(size(w), {size})), s -> array_join(slice(w, s + 1, {size}), ' ')))"
     return split.select("item", F.least(F.size("w"), F.lit(size)).alias("n"), F.expr(each).alias("window")).distinct()
 
@@ -65,20 +64,22 @@ def occurrences(docs: DataFrame, wins: DataFrame, id_column: str, text_column: s
     hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x)).alias("h")
     distinct = store.stage(wins.select("n", "window").distinct(), "windows")
     lengths = sorted({min(r["n"], SHINGLE) for r in distinct.select("n").distinct().collect()})  # at most SHINGLE values
-    texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
+    text = store.column(text_column)
+    texts = docs.select(store.column(id_column).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     if not lengths:
         return texts.select("id", "key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.col("text").alias("window")).limit(0)
     own = [exploded(distinct.where(F.least("n", F.lit(SHINGLE)) == s).select("n", "window", hashed(F.split("window", " "))), [s], "n", "window") for s in lengths]
     parts = reduce(DataFrame.union, own).withColumnRenamed("place", "at")
     known = store.stage(parts.select("shingle").distinct(), "known")
-    known = F.broadcast(known) if known.count() <= BROADCAST_SHINGLES else known
     strides = f"explode(transform(sequence(0, greatest(size(h) - 1, 0), {STRIDE}), b -> struct(b AS base, slice(h, b + 1, {STRIDE + SHINGLE - 1}) AS h)))"
     cut = texts.select("id", "key", hashed(words(F.col("text")))).select("id", "key", F.size("h").alias("words"), F.expr(strides).alias("p")).select("id", "key", "words", "p.base", "p.h")
-    met = exploded(cut, lengths, "id", "key", "words", "base").where(F.col("place") < STRIDE).join(known, "shingle")
-    hits = store.stage(met.select("id", "key", "words", (F.col("base") + F.col("place")).alias("spot"), "shingle"), "hits")
-    counts = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
+    placed = exploded(cut, lengths, "id", "key", "words", "base").where(F.col("place") < STRIDE)
+    met, _ = prefilter.split(placed.select("shingle"), [F.col("shingle")], known)
+    counts = met.join(known, "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
     ranked = parts.join(counts, "shingle", "left").groupBy("n", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("rarest"))
-    prefix = ranked.where("rarest.count > 0").select("n", "window", "rarest.shingle", "rarest.at")
+    prefix = store.stage(ranked.where("rarest.count > 0").select("n", "window", "rarest.shingle", "rarest.at"), "prefix")
+    some, _ = prefilter.split(placed, [F.col("shingle")], prefix.select("shingle").distinct())
+    hits = some.withColumn("spot", F.col("base") + F.col("place"))
     start = F.col("spot") - F.col("at")
     bounded = hits.join(prefix, "shingle").withColumn("start", start).where("start >= 0 AND start + n <= words").select("id", "key", "start", "n", "window")
     candidates = store.stage(bounded.distinct(), "candidates")
@@ -106,7 +107,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     listed = named.select("id", "key", F.col("item").cast("string").alias("item")).distinct().groupBy("id", "key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     same = F.col("h.id").eqNullSafe(F.col("i.id")) & (F.col("h.key") == F.col("i.key"))
     marked = hit.alias("h").join(listed.alias("i"), same, "left").select("h.id", "h.key", "n_hit", "items")
-    rows = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text_column).alias("_key"), F.size(words(F.col(text_column))).cast("long").alias("n_words"))
+    text = store.column(text_column)
+    rows = docs.select(store.column(id_column).alias("_id"), F.xxhash64(text).alias("_key"), F.size(words(text)).cast("long").alias("n_words"))
     joined = rows.join(marked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
@@ -128,4 +130,5 @@ def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_col
     key, *_ = store.free(docs, "key")
     wins = store.stage(windows(items, item_id, item_text, size), "item-windows")
     dirty = store.stage(occurrences(docs, wins, id_column, text_column, size).select("id", "key").distinct(), "dirty")
-    return prefilter.without(docs.withColumn(key, F.xxhash64(text_column)), [F.col(id_column), F.col(key)], dirty).select(*docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(store.column(text_column)))
+    return prefilter.without(keyed, [store.column(id_column), F.col(key)], dirty).select(*map(store.column, docs.columns))

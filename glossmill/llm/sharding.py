@@ -14,7 +14,8 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
     so that totals and rows come from one and the same order.  Rows that are
     equal in `order` may lie in several partitions.  A null size counts as 0.
     """
-    part, rows_, bytes_, n, row = store.free(rows, "part", "rows_before", "bytes_before", "sized", "row")
+    part, rows_, bytes_, n, row, *base = store.free(rows, "part", "rows_before", "bytes_before", "sized", "row", "part_base", "rows_base", "bytes_base")
+    own = F.coalesce(store.column(size).cast("long"), F.lit(0))
 
     def count(batches):
         import numpy as np
@@ -30,17 +31,15 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, extra)], [*batch.schema.names[:-1], part, rows_, bytes_])
 
     keys = [*order, row]
-    sized = rows.withColumn(n, F.coalesce(F.col(size).cast("long"), F.lit(0))).withColumn(row, F.monotonically_increasing_id())
-    ordered = sized.repartitionByRange(*[F.col(c) for c in keys]).sortWithinPartitions(*keys).drop(row)
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes) + f", `{part}` int, `{rows_}` long, `{bytes_}` long"
-    counted = store.stage(ordered.mapInArrow(count, schema), "prefix")
-    total_rows, total_bytes = F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.col(size).cast("long"), F.lit(0))), F.lit(0))
+    sized = rows.withColumn(n, own).withColumn(row, F.monotonically_increasing_id())
+    ordered = sized.repartitionByRange(*map(store.column, keys)).sortWithinPartitions(*map(store.column, keys)).drop(row)
+    counted = store.stage(store.mapped(ordered, count, [*rows.dtypes, (part, "int"), (rows_, "long"), (bytes_, "long")]), "prefix")
+    total_rows, total_bytes = F.count(F.lit(1)), F.coalesce(F.sum(own), F.lit(0))
     totals = counted.groupBy(part).agg(total_rows.alias("r"), total_bytes.alias("b"))  # a row for each partition
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    base = [f"{c}_base" for c in (part, rows_, bytes_)]
     bases = totals.select(F.col(part).alias(base[0]), F.coalesce(F.sum("r").over(before), F.lit(0)).alias(base[1]), F.coalesce(F.sum("b").over(before), F.lit(0)).alias(base[2]))
-    sums = counted.join(bases, F.col(part) == F.col(base[0])).withColumns({c: F.col(c) + F.col(f"{c}_base") for c in (rows_, bytes_)})
-    return sums.select(*rows.columns, rows_, bytes_), totals.agg(F.sum("b")).first()[0] or 0
+    sums = counted.join(bases, F.col(part) == F.col(base[0])).withColumns({c: F.col(c) + F.col(b) for c, b in zip((rows_, bytes_), base[1:], strict=True)})
+    return sums.select(*map(store.column, rows.columns), rows_, bytes_), totals.agg(F.sum("b")).first()[0] or 0
 
 
 def shard_by_bytes(rows: DataFrame, order: list[str], size: str = "size", shards: int = 16) -> DataFrame:
@@ -51,14 +50,13 @@ def shard_by_bytes(rows: DataFrame, order: list[str], size: str = "size", shards
     null keys come first; a null size is 0.  An empty table gives no rows.
     The added columns' names follow store.free.
     """
-    rows_, bytes_ = store.free(rows, "rows_before", "bytes_before")
-    shard, slot = store.free(rows, "shard", "slot")
+    rows_, bytes_, shard, slot, of_first, first = store.free(rows, "rows_before", "bytes_before", "shard", "slot", "shard_of_first", "first_of_shard")
     summed, total = prefix_sums(rows, order, size)
-    middle = f"(2 * `{bytes_}` + coalesce(cast(`{size}` as long), 0)) * {shards} div {2 * max(total, 1)}"
+    middle = f"(2 * `{bytes_}` + coalesce(cast({store.quoted(size)} as long), 0)) * {shards} div {2 * max(total, 1)}"
     sharded = summed.withColumn(shard, F.expr(f"cast(least({shards - 1}, {middle}) as int)"))
-    firsts = sharded.groupBy(F.col(shard).alias("shard_of_first")).agg(F.min(rows_).alias("first_of_shard"))  # a row for each shard
-    placed = sharded.join(F.broadcast(firsts), F.col(shard) == F.col("shard_of_first"))
-    return placed.withColumn(slot, F.col(rows_) - F.col("first_of_shard")).select(*rows.columns, shard, slot)
+    firsts = sharded.groupBy(F.col(shard).alias(of_first)).agg(F.min(rows_).alias(first))  # a row for each shard
+    placed = sharded.join(F.broadcast(firsts), F.col(shard) == F.col(of_first))
+    return placed.withColumn(slot, F.col(rows_) - F.col(first)).select(*map(store.column, rows.columns), shard, slot)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([sign(x.as_py()) for x in texts], pa.int64())], ["id", "key", "fp"])
 
     kind = dict(docs.dtypes)[id_column]
-    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), text_column).mapInArrow(sign_all, f"id {kind}, key long, fp long")
+    text = store.column(text_column)
+    return docs.select(store.column(id_column).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(sign_all, f"id {kind}, key long, fp long")
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -123,17 +124,18 @@ def keep_first(docs: DataFrame, near: DataFrame, id_column: str = "doc_id", text
     Of rows with one id and text one stays, that with the least hash of its
     columns.  Columns of any name are kept as they are.
     """
-    id_, key, row, whole, least = store.free(docs, "id", "key", "row", "whole", "least")
+    id_, key, key_, row, whole, least = store.free(docs, "id", "key", "key_of", "row", "whole", "least")
+    id_of, columns = store.column(id_column), [store.column(c) for c in docs.columns]
     grouped = store.stage(near, "grouped")
     goes = grouped.where("id is not null and id <> component").select("id", "key").distinct()
-    kept = prefilter.without(docs.withColumn(key, F.xxhash64(text_column)), [F.col(id_column), F.col(key)], store.stage(goes, "goes"))
+    kept = prefilter.without(docs.withColumn(key, F.xxhash64(store.column(text_column))), [id_of, F.col(key)], store.stage(goes, "goes"))
     again = store.stage(grouped.where("id is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "key"), "repeated")
     if not again.isEmpty():
-        some, others = prefilter.split(kept, [F.col(id_column), F.col(key)], again)
-        said = [F.col(f"`{n}`") for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-        some = some.withColumn(whole, F.xxhash64(*said)).withColumn(row, F.when(F.col(id_column).isNull(), F.monotonically_increasing_id()))
-        first = some.groupBy(F.col(id_column).alias(id_), F.col(key).alias(f"{key}_of")).agg(F.min(whole).alias(least))
-        same = F.col(id_column).isNull() | (F.col(whole) == F.col(least))
-        some = some.join(first, F.col(id_column).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(f"{key}_of"))).where(same)
-        kept = others.select(*docs.columns).union(some.dropDuplicates([id_column, key, row]).select(*docs.columns))
-    return kept.select(*docs.columns)
+        some, others = prefilter.split(kept, [id_of, F.col(key)], again)
+        said = [store.column(n) for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        some = some.withColumn(whole, F.xxhash64(*said)).withColumn(row, F.when(id_of.isNull(), F.monotonically_increasing_id()))
+        first = some.groupBy(id_of.alias(id_), F.col(key).alias(key_)).agg(F.min(whole).alias(least))
+        same = id_of.isNull() | (F.col(whole) == F.col(least))
+        some = some.join(first, id_of.eqNullSafe(F.col(id_)) & (F.col(key) == F.col(key_))).where(same)
+        kept = others.select(*columns).union(some.dropDuplicates([id_, key, row]).select(*columns))
+    return kept.select(*columns)

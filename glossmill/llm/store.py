@@ -68,10 +68,10 @@ def drop(staged: DataFrame) -> None:
 
 
 def task_name() -> str:
-    """One name for each partition of a stage, the same in every attempt."""
+    """A name for this attempt at a partition of a stage: another attempt, whose rows may come in another order, writes files of its own."""
     from pyspark import TaskContext
 
-    return f"{TaskContext.get().partitionId():06d}"
+    return f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId():x}"
 
 
 def tokenizer_path() -> str:

@@ -92,7 +92,8 @@ def units(docs: DataFrame, id_column: str, text_column: str, line: int = LINE) -
                 yield pa.RecordBatch.from_arrays([low, more, batch.column(0).take(owner), batch.column(1).take(owner), pa.array(packed, pa.int64())], names)
 
     kind = dict(docs.dtypes)[id_column]
-    chosen = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text"))
+    text = store.column(text_column)
+    chosen = docs.select(store.column(id_column).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     return chosen.mapInArrow(rows, f"digest long, more int, id {kind}, key long, span long")
 
 
@@ -163,9 +164,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     removed, id_, key, marks_ = store.free(docs, "removed", "id", "key", "marks")
     marks = store.stage(repeats(store.stage(units(docs, id_column, text_column, line), "units")), "marks")
     found = marks.select(F.col("id").alias(id_), F.col("key").alias(key), F.col("marks").alias(marks_))
-    own = [F.col(id_column), F.xxhash64(text_column)]
+    own = [store.column(id_column), F.xxhash64(store.column(text_column))]
     likely, others = prefilter.split(docs, own, marks.select("id", "key"))
-    joined = likely.join(found, F.col(id_column).eqNullSafe(F.col(id_)) & (F.xxhash64(text_column) == F.col(key)), "left").select(*docs.columns, marks_)
+    joined = likely.join(found, own[0].eqNullSafe(F.col(id_)) & (own[1] == F.col(key)), "left").select(*map(store.column, docs.columns), marks_)
 
     def rewrite(batches):
         import pyarrow as pa
@@ -185,5 +186,4 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], removed])
 
     kind = "array<struct<start: int, end: int>>"
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", {removed} {kind}"
-    return others.withColumn(removed, F.array().cast(kind)).union(joined.mapInArrow(rewrite, schema))
+    return others.withColumn(removed, F.array().cast(kind)).union(store.mapped(joined, rewrite, [*docs.dtypes, (removed, kind)]))

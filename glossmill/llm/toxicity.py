@@ -11,7 +11,7 @@ much oftener it stands in toxic documents than chance has it, and left out if
 that is within NOISE standard deviations.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -21,8 +21,8 @@ SAMPLE = 2500
 #: Hashed words; the model has this many weights whatever the corpus.
 BUCKETS = 1 << 18
 GRADES = 3
-#: Features of a labelled row that the fit may use, those that tell most: with SAMPLE this bounds what the driver gets, by 370 MB.
-FEATURES = 4096
+#: Features, in all, of the labelled rows of each grade that the fit may use: rows come by the hash of their id, with all their features, up to this.  It bounds what the driver gets, by 370 MB.
+ENTRIES = 10_240_000
 #: Bytes of the beginnings of words; documents added to a feature's count as if at random; what passes for chance.
 STEMS, PRIOR, NOISE = (4, 5, 6, 7), 3.0, 1.5
 #: Words whose scores a task keeps at most.
@@ -113,13 +113,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         import pyarrow as pa
 
         for batch in batches:
-            rows = [features(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+            rows = [features(x.as_py()) for x in batch.column(2).cast(pa.binary())]
             columns = [pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["grade", "at", "times"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["grade", "turn", "at", "times"])
 
-    texts = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    labelled = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("grade", "text")  # at most GRADES * sample rows
-    told = store.stage(labelled.mapInArrow(sparse, "grade int, at array<int>, times array<int>"), "features")
+    texts = docs.select(store.column(id_column).alias("id"), store.column(text_column).alias("text")).where("text is not null")
+    labelled = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("grade", F.xxhash64("labelled").alias("turn"), "text")  # at most GRADES * sample rows
+    told = store.stage(labelled.mapInArrow(sparse, "grade int, turn long, at array<int>, times array<int>"), "features")
     grades = {r["grade"]: r["n"] for r in told.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # GRADES rows
     totals = told.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("at").alias("k")).groupBy("k").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).toArrow()  # at most BUCKETS rows
     toxic, every, at = np.zeros(BUCKETS), np.zeros(BUCKETS), totals.column("k").to_numpy()
@@ -127,19 +127,22 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     factor = scale(toxic, every, sum(n for g, n in grades.items() if g), sum(grades.values()))
     shared = docs.sparkSession.sparkContext.broadcast(factor)
 
-    def most(batches):
+    def telling(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for at, times in zip(batch.column(1), batch.column(2), strict=True):
+            for at, times in zip(batch.column(2), batch.column(3), strict=True):
                 at, value = np.array(at.as_py(), np.int64), np.array(times.as_py(), float)
                 value = value * shared.value[at]
-                kept = np.sort(np.argsort(-np.abs(value), kind="stable")[: min(FEATURES, np.count_nonzero(value))])
+                kept = np.flatnonzero(value)
                 rows.append((at[kept].astype("<i4").tobytes(), value[kept].astype("<f8").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2))], ["grade", "at", "value"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2))], ["grade", "turn", "at", "value"])
 
-    rows = told.mapInArrow(most, "grade int, at binary, value binary").collect()  # at most GRADES * sample * FEATURES indexes and values
+    used = told.mapInArrow(telling, "grade int, turn long, at binary, value binary")
+    so_far = Window.partitionBy("grade").orderBy("turn", "at", "value")  # at most `sample` ids a grade
+    used = store.stage(used.withColumn("entries", F.sum(F.octet_length("at") / 4).over(so_far)).where(F.col("entries") <= ENTRIES), "used")
+    rows = used.collect()  # at most GRADES * ENTRIES indexes and values
     ordered = sorted((r["grade"], bytes(r["at"]), bytes(r["value"])) for r in rows)
     weights, thresholds = fit([(g, np.frombuffer(at, "<i4"), np.frombuffer(value, "<f8")) for g, at, value in ordered])
     return weights * factor, thresholds
@@ -180,5 +183,4 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
                 severity, each = over.sum(axis=0), np.stack([1 - over[0], over[0] - over[1], over[1]])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity.round(6)), pa.array(each.argmax(axis=0).astype(np.int32)), pa.array(over[0] > reject)], [*batch.schema.names, *added])
 
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes) + f", {added[0]} double, {added[1]} int, {added[2]} boolean"
-    return docs.mapInArrow(grades, schema)
+    return store.mapped(docs, grades, [*docs.dtypes, *zip(added, ("double", "int", "boolean"), strict=True)])

@@ -30,13 +30,13 @@ def decide(pages: DataFrame, id_column: str = "page_id", payload_column: str = "
     columns' names follow store.free.
     """
     digest, kind, refers, same, kept = store.free(pages, "digest", "record_type", "refers_to", "same", "kept")
-    payload = F.coalesce(F.col(payload_column), F.lit(""))
+    payload, own_id = F.coalesce(store.column(payload_column), F.lit("")), store.column(id_column)
     large = F.octet_length(payload) >= least_bytes
     rows = pages.withColumn(digest, F.sha1(F.encode(payload, "UTF-8")))
-    copies = rows.where(large).groupBy(F.col(digest).alias(same)).agg(F.max(id_column).alias(kept), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = rows.where(large).groupBy(F.col(digest).alias(same)).agg(F.max(own_id).alias(kept), F.count(F.lit(1)).alias("n")).where("n > 1").select(same, kept)
     copies = store.stage(copies, "copies")
     likely, others = prefilter.split(rows.where(large), [F.col(digest)], copies.select(same))
-    revisit = F.col(kept).isNotNull() & ~F.col(id_column).eqNullSafe(F.col(kept))
+    revisit = F.col(kept).isNotNull() & ~own_id.eqNullSafe(F.col(kept))
     joined = likely.join(copies, F.col(digest) == F.col(same), "left")
     decided = joined.withColumn(kind, F.when(revisit, "revisit").otherwise("response")).withColumn(refers, F.when(revisit, F.col(kept))).drop(same, kept)
     alone = [rest.withColumn(kind, F.lit("response")).withColumn(refers, F.lit(None).cast(dict(pages.dtypes)[id_column])) for rest in (rows.where(~large), others)]
@@ -105,12 +105,14 @@ def records(chunks):
 
 
 def inflated(source, size: int = 1 << 18):
-    """The chunks of a gzip stream of one or many members, read once; ValueError if it is broken or ends before its end."""
+    """The chunks of a gzip stream of one or many members, read once, with zeros after them or not; ValueError if it is broken or ends before its end."""
     import zlib
 
-    engine, begun = zlib.decompressobj(31), False
+    engine, begun, whole = zlib.decompressobj(31), False, False
     while data := source.read(size):
         while data:
+            if whole and not begun and not (data := data.lstrip(b"\0")):
+                break  # zeros after the last member are padding
             try:
                 part, begun = engine.decompress(data), True
             except zlib.error as why:
@@ -119,7 +121,7 @@ def inflated(source, size: int = 1 << 18):
                 yield part
             data = engine.unused_data
             if engine.eof:
-                engine, begun = zlib.decompressobj(31), False
+                engine, begun, whole = zlib.decompressobj(31), False, True
     if begun:
         raise ValueError("gzip stream cut short")
 
@@ -154,7 +156,7 @@ def write_monolithic(decided: DataFrame, folder: str, id_column: str = "page_id"
             k += 1
             yield _manifest([path], [n], [raw], [None])
 
-    rows = decided.select(id_column, url_column, payload_column, *added)
+    rows = decided.select(*[store.column(c).alias(f"c{k}") for k, c in enumerate((id_column, url_column, payload_column, *added))])
     return store.stage(rows.mapInArrow(write, MANIFEST), "manifest")
 
 

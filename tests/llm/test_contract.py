@@ -2,21 +2,36 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_similar import plain_components as similar_components
 from test_simhash_sharding import fingerprint, plain_components
 from test_text_filters import plain_contamination, toxic_tables
 from test_tokens_packing_files import check_pieces
 
 import corpus_pipeline
-from glossmill.llm import packing, queries, sharding, store, toxicity
-
-#: Names that operators use for what they add or need in between.
-CLASHES = ["removed", "id", "key", "Grade", "severity", "rejected", "component", "set", "hashed", "block", "bits", "start", "part", "shard", "row", "whole", "least", "marks", "slot", "labelled", "window", "n", "digest"]
+from glossmill.llm import decontam, packing, queries, sharding, similar, simhash, store, substrings, toxicity, warc
+
+def own_names():
+    """Every name that the operators' sources give to a column, in one case or the other, and names that SQL reads in its own way."""
+    found = set()
+    for path in Path(store.__file__).parent.glob("*.py"):
+        source = path.read_text()
+        found |= set(re.findall(r'\.alias\("([^"]+)"', source)) | set(re.findall(r'withColumn\("([^"]+)"', source))
+        for names in re.findall(r"store\.free\(\w+, ([^)]*)\)", source):
+            found |= set(re.findall(r'"(\w+)"', names))
+    own = {"doc_id", "text", "source", "lang", "n_chars"}
+    every = sorted(({x.lower() for x in found} | {"block_of", "key_of", "part_base", "bytes_before_base", "rows_before_base", "shard_of_first", "first_of_shard", "gone0"}) - own)
+    return [x.upper() if k % 3 == 0 else x for k, x in enumerate(every)] + ["a.b", "text.x", "q`u", "two words", "ünï"]
+
+
+CLASHES = own_names()
 LONG = " ".join(f"long{k}" for k in range(30_000))
 
 
@@ -35,8 +50,7 @@ def tables(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("odd")
     rows = rows_of(random.Random(4))
     made = spark.createDataFrame([(i, "en", t, "src", len(t or "")) for i, t in rows], "doc_id long, lang string, text string, source string, n_chars long")
-    for name in CLASHES:
-        made = made.selectExpr("*", f"concat('{name}', coalesce(doc_id, 0)) AS `{name}`")
+    made = made.select("*", *[F.concat(F.lit(name), F.coalesce("doc_id", F.lit(0))).alias(name) for name in CLASHES])
     made.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     item = " ".join(rows[14][1].split()[100:115])
@@ -68,7 +82,7 @@ def test_stage_over_odd_documents(spark, tables, library, name):
         assert after and list(after[0].asDict()) == docs.columns and not whole(after) - whole(before)
     if name == "toxicity":
         assert whole(after) == whole(before)
-    if name == "simhash":
+    if name == "near-duplicates":
         root = similar_components({k: t for k, (_, t) in enumerate(rows)})
         least = {}
         for k, (i, _) in enumerate(rows):
@@ -159,6 +173,35 @@ def test_equal_keys_are_dealt_to_several_parts(spark):
     assert len({f for f in summed.inputFiles()}) > 1
 
 
+def test_operators_over_columns_of_their_own_names(spark, tables):
+    """Rows come back whole under every name that an operator uses inside."""
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("size", F.lit(3))
+    rest = [store.column(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    told = lambda rows: Counter(map(tuple, rows.select("doc_id", *rest).collect()))
+    before = told(docs)
+    sharded = sharding.shard_by_bytes(docs, ["doc_id"], "size", 4)
+    decided = warc.decide(docs, "doc_id", "text")
+    assert told(sharded) == told(substrings.remove_repeats(docs)) == told(decided) == before
+    kept = [simhash.keep_one(docs), similar.keep_one(docs), decontam.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))]
+    assert all(x.columns == docs.columns and not told(x) - before for x in kept)
+    added = [c for c in decided.columns if c not in docs.columns]
+    assert len(added) == 3 and len(sharded.columns) == len(docs.columns) + 2
+    manifest = warc.write_monolithic(decided, store.new_folder(spark, "clash"), "doc_id", "lang", "text", tuple(added))
+    assert sum(r.records for r in manifest.collect()) == docs.count()
+
+
+def test_features_are_bounded_by_rows(spark, monkeypatch):
+    """Labelled rows that would go beyond the bound are left out whole; those before it keep all features."""
+    docs, labels, _ = toxic_tables(spark, 300, 7)
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "ENTRIES", 200)
+    some = toxicity.train(docs, labels)
+    assert not np.array_equal(some[0], whole[0]) and np.count_nonzero(some[0]) > 10
+    monkeypatch.setattr(toxicity, "ENTRIES", 0)
+    assert not np.any(toxicity.train(docs, labels)[0])
+
+
 def test_scores_against_a_plain_scorer(spark):
     docs, labels, _ = toxic_tables(spark, 300, 7)
     weights, (low, high) = toxicity.train(docs, labels)

@@ -184,3 +184,15 @@ def test_files_are_whole_or_absent(tmp_path):
     with store.whole_file(f"file://{tmp_path}/a") as out:
         out.write(b"two")
     assert [p.name for p in tmp_path.iterdir()] == ["a"] and (tmp_path / "a").read_bytes() == b"two"
+
+
+def test_zeros_after_the_stream_are_padding():
+    """Common tools take them; a second member after zeros is read, other bytes are an error."""
+    import io
+
+    one = gzip.compress(b"first ")
+    for data, want in ((one + b"\0" * 700_000, b"first "), (one + b"\0" * 3 + gzip.compress(b"second"), b"first second"), (one, b"first ")):
+        assert b"".join(warc.inflated(io.BytesIO(data))) == want
+    for data in (one + b"junk", one[:-3], b"\0\0" + one):
+        with pytest.raises(ValueError):
+            b"".join(warc.inflated(io.BytesIO(data)))
