@@ -11,6 +11,11 @@ HYPHENS = "¬-"
 FINAL_MARKS = ".,;!?:"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once, though then() uses it for each element of an array."""
+    return F.transform(F.array(value), lambda x: then(x))[0]
+
+
 def words(text: Column, lower: bool = False) -> Column:
     """Runs without white space; none for null."""
     return F.regexp_extract_all(F.coalesce(F.lower(text) if lower else text, F.lit("")), F.lit(r"\S+"), F.lit(0))
