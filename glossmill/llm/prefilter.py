@@ -1,9 +1,8 @@
 """Rows that may be among given keys, told by a Bloom filter of bounded size, so that the others needn't be shuffled.
 
-The filter has BLOCKS blocks of 32,768 bits, 8 MB whatever the data; a key
-sets three bits of one block.  Some six million keys leave a few rows in a
-hundred marked in error.  With more keys more are, in the end all: then a join
-shuffles what it would have shuffled without the filter.
+The filter (glossmill.functions.sieve) has 8 MB whatever the data.  With very
+many keys more rows are marked in error, in the end all: then a join shuffles
+what it would have shuffled without the filter.
 """
 
 from functools import reduce
@@ -11,40 +10,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
-
-BLOCKS, BITS = 2048, 15
-
-
-def spots(hashed: Column) -> list[Column]:
-    """The block of a hash, and its bits there."""
-    parts = [F.shiftright(hashed, 11 + BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)) for k in range(3)]
-    return [hashed.bitwiseAND(F.lit(BLOCKS - 1)), *parts]
-
-
-def built(hashes: DataFrame) -> DataFrame:
-    """(block, bits), stored, at most BLOCKS rows of 4 kB, from one column of 64-bit hashes."""
-    at = spots(store.column(hashes.columns[0]))
-    spread = hashes.select(at[0].alias("block"), F.explode(F.array(*at[1:])).alias("bit")).repartition("block")  # so that a block is made but once
-    return store.stage(spread.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
-
-
-def collected(made: DataFrame) -> bytes:
-    """A filter as one run of bytes, 8 MB, for tasks that look words up themselves."""
-    whole = bytearray(BLOCKS << BITS - 3)
-    for block, bits in made.collect():  # at most BLOCKS rows
-        whole[block << BITS - 3 : (block + 1) << BITS - 3] = bits
-    return bytes(whole)
+from glossmill.functions.sieve import BITS, among, built, collected, spots
 
+from . import store
 
-def among(whole: bytes, hashed: int) -> bool:
-    """Whether a signed hash may be among the keys of collected()."""
-    base = (hashed & BLOCKS - 1) << BITS - 3
-    for k in range(3):
-        bit = hashed >> 11 + BITS * k & (1 << BITS) - 1
-        if not whole[base + (bit >> 3)] >> (bit & 7) & 1:
-            return False
-    return True
+__all__ = ["among", "built", "collected", "split", "without"]
 
 
 def split(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
