@@ -2,13 +2,13 @@
 
 nodes: doc_id, node_id, parent_id, path (tags of all ancestors), path_ids (their ids), ord (order in
 the document), depth, tag, cls, set, lang, space, texts (layer to text), attrs, spans (the parts of
-texts that have markup inside, in order).
+texts that have markup inside, in order), label (what ord says, with room for more: see operators.edits).
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODES = "doc_id string, node_id string, parent_id string, path array<string>, path_ids array<string>, ord long, depth int, tag string, cls string, set string, lang string, space boolean, texts map<string,string>, attrs map<string,string>, spans array<struct<layer: string, kind: string, text: string, tag: string>>"
+NODES = "doc_id string, node_id string, parent_id string, path array<string>, path_ids array<string>, ord long, depth int, tag string, cls string, set string, lang string, space boolean, texts map<string,string>, attrs map<string,string>, spans array<struct<layer: string, kind: string, text: string, tag: string>>, label string"
 
 
 def select(nodes: DataFrame, tags: list[str], skip: list[str] = (), top: bool = True) -> DataFrame:
@@ -90,9 +90,9 @@ def drop_tokens(nodes: DataFrame, cls: str) -> DataFrame:
 
 
 def correction_view(corrections: DataFrame, handling: str = "current") -> DataFrame:
-    """(…, text) of corrections (…, original, new): what is read as the text: current (the new), original, or either (both with a bar)."""
+    """(…, text) of corrections (…, original, new): what is read as the text: current (the new), original, or either (the new, or where that has nothing the original)."""
     new, old = F.array_join("new", " "), F.array_join("original", " ")
-    return corrections.withColumn("text", {"current": new, "original": old, "either": F.concat_ws("|", new, old)}[handling])
+    return corrections.withColumn("text", {"current": new, "original": old, "either": F.when(new != "", new).otherwise(old)}[handling])
 
 
 def plain_text(nodes: DataFrame, cls: str = "current", tags: tuple = ("p", "head", "note")) -> DataFrame:

@@ -634,20 +634,33 @@ def manifest_labels(spark, sf_dir):
     return named.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("doc_id"), "label", strings.document_id(F.col("file")).alias("name"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lower(source) WHEN 1 THEN source ELSE lower(source) || '|' || source END AS text FROM documents")
-def correction_views(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.array("source").alias("original"), F.array(F.lower("source")).alias("new"))
-    k = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, 1).otherwise(2)  # rows without id are the SQL's ELSE
-    parts = [tree.correction_view(rows.where(k == at), h).select("doc_id", "text") for at, h in enumerate(("current", "original", "either"))]
+_either = "CASE WHEN new <> '' THEN new ELSE old END"
+
+
+def _views(column: str) -> str:
+    """Each view of a column whose correction is what it says in small letters; rows of src1 have none."""
+    view = lambda name, text: f"SELECT doc_id, '{name}' AS view, {text} AS text FROM d"
+    return f"WITH d AS (SELECT doc_id, coalesce({column}, '') AS old, CASE WHEN source = 'src1' THEN '' ELSE coalesce(lower({column}), '') END AS new FROM documents) {view('current', 'new')} UNION ALL {view('original', 'old')} UNION ALL {view('either', _either)}"
+
+
+def every_view(rows: DataFrame, column: str) -> DataFrame:
+    """(doc_id, view, text) of each row in each view."""
+    new = F.when(F.col("source").eqNullSafe("src1"), F.array().cast("array<string>")).otherwise(F.array(F.lower(column)))
+    said = rows.select("doc_id", F.array(column).alias("original"), new.alias("new"))
+    parts = [tree.correction_view(said, h).select("doc_id", F.lit(h).alias("view"), "text") for h in ("current", "original", "either")]
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("WITH d AS (SELECT doc_id, coalesce(text, '') AS old, coalesce(lower(text), '') AS new FROM documents) SELECT doc_id, 'current' AS view, new AS text FROM d UNION ALL SELECT doc_id, 'original', old FROM d UNION ALL SELECT doc_id, 'either', new || '|' || old FROM d")
+@query(_views("source"))
+def correction_views(spark, sf_dir):
+    """Each of the three views of every document's source."""
+    return every_view(documents(spark, sf_dir), "source")
+
+
+@query(_views("text"))
 def correction_views_text(spark, sf_dir):
-    """Each of the three views of every document's whole text; its correction is the text in lower case."""
-    rows = documents(spark, sf_dir).select("doc_id", F.array("text").alias("original"), F.array(F.lower("text")).alias("new"))
-    parts = [tree.correction_view(rows, h).select("doc_id", F.lit(h).alias("view"), "text") for h in ("current", "original", "either")]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Each of the three views of every document's whole text."""
+    return every_view(documents(spark, sf_dir), "text")
 
 
 @query(r"SELECT lang, CAST(1 AS INTEGER) AS n, gram, count(*) AS cnt FROM (SELECT lang, unnest(regexp_extract_all(text, '\S+')) AS gram FROM documents) GROUP BY ALL HAVING count(*) > 3")

@@ -7,8 +7,15 @@ from glossmill.functions import strings
 
 def discover(spark: SparkSession, path: str, pattern: str = "*", recurse: bool = False, expression: str | None = None) -> DataFrame:
     """(path, content) of the files below path whose names fit the glob pattern, and the regular expression if there is one."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recurse).lower())
-    found = reader.load(path).select("path", "content")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    if recurse or not set(path) & set("*?[{"):  # without a guess at columns in the names of folders
+        found = reader.option("recursiveFileLookup", "true").load(path).select("path", "content")
+    else:
+        found = reader.load(path).select("path", "content")
+    if not recurse and not set(path) & set("*?[{"):
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+        found = found.where((F.col("path") == root) | (F.regexp_replace("path", "/[^/]*$", "") == root))
     return found.where(F.substring_index("path", "/", -1).rlike(expression)) if expression else found
 
 
@@ -17,7 +24,7 @@ def labelled(found: DataFrame, listed: DataFrame) -> DataFrame:
     name = F.substring_index("file", "/", -1).alias("_name")
     named = listed.select("file", "label", name)
     at = F.substring_index("path", "/", -1)
-    return found.join(named, (at == F.col("_name")) & (F.col("path").endswith(F.concat(F.lit("/"), F.col("file"))) | (F.col("file") == F.col("_name")) | F.col("path").endswith(F.col("file")))).drop("_name", "file")
+    return found.join(named, (at == F.col("_name")) & (F.col("path").endswith(F.concat(F.lit("/"), F.col("file"))) | (F.col("file") == F.col("_name")) | (F.col("path") == F.col("file")) | (F.regexp_replace("path", "^[a-z]+:/*", "/") == F.col("file")))).drop("_name", "file")
 
 
 def manifest(lines: DataFrame) -> DataFrame:
@@ -29,12 +36,12 @@ def manifest(lines: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, lines numbered from 0 in their order, in as many tasks as the file has blocks."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row for each block
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select("block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
-    return rows.join(bases, "block").select((F.col("at") + F.col("base")).alias("line_no"), "value")
+    """(line_no, value) of a text file, lines numbered from 0 in their order, in as many tasks as the file has blocks; of several files one after the other, by path."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row for each block
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return rows.join(bases, ["file", "block"]).select((F.col("at") + F.col("base")).alias("line_no"), "value")
 
 
 def unpack(name: str, content: bytes) -> bytes:

@@ -1,9 +1,10 @@
 """Files as outputs: one for each document, whole or absent, packed if asked, and never written twice without need."""
 
 import contextlib
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = {"none": "", "gzip": ".gz", "bzip2": ".bz2"}
@@ -33,22 +34,73 @@ def whole_file(uri: str):
         raise
 
 
-def pending(rows: DataFrame, path: str, name: str = "name") -> DataFrame:
-    """The rows of whose file `name` below path there is none yet, packed or not; each task looks for its own."""
-    schema = rows.schema
+def names_below(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(name), relative to path and without what packing adds, of the files below it: one listing, which Spark shares out."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        return spark.createDataFrame([], "name string")
+    root = fs.makeQualified(jvm_path).toString()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    bare = F.regexp_replace(F.expr(f"substring(path, {len(root) + 2})"), r"\.(gz|bz2)$", "")
+    return found.select(bare.alias("name")).where(~F.col("name").endswith(".draft"))
 
-    def absent(batches):
-        for batch in batches:
-            kept = []
-            for value in batch.column(batch.schema.get_field_index(name)).to_pylist():
-                fs, there = file_system(f"{path}/{value}")
-                kept.append(all(f.type.name == "NotFound" for f in fs.get_file_info([there + x for x in PACKED.values()])))
-            yield batch.filter(kept)
 
-    return rows.mapInArrow(absent, schema)
+def pending(rows: DataFrame, path: str, name: str = "name", pattern: str = "*") -> DataFrame:
+    """The rows of whose file `name` below path there is none yet, packed or not; pattern: of the files' names."""
+    there = names_below(rows.sparkSession, path, pattern).select(F.col("name").alias("_there"))
+    return rows.join(there, F.col(name) == F.col("_there"), "left_anti")
+
+
+# Runs that add to an output.  A run writes its tables in folders of their own, run=..., then a note that it is prepared,
+# then files of documents, then that it is done.  What is found without a note has never been prepared and goes; what is
+# prepared only needs its files, so whatever step a run ends at, the next one gives what a whole one gives.
+
+
+def new_run() -> str:
+    """A name for a run."""
+    return f"r{uuid.uuid4().hex}"
+
+
+def table_path(output: str, name: str, run: str) -> str:
+    """Where a run writes a table; the folder above has those of all runs."""
+    return f"{output}/{name}.parquet/run={run}"
+
+
+def note(output: str, run: str, state: str, replaces: list[str] = (), clear: bool = False) -> None:
+    """Say that a run is prepared, or done; replaces: the runs whose tables go when it is."""
+    fs, there = file_system(f"{output}/_runs/{run}.json")
+    fs.create_dir(there.rpartition("/")[0], recursive=True)
+    with whole_file(f"{output}/_runs/{run}.json") as out:
+        out.write(json.dumps({"state": state, "replaces": list(replaces), "clear": clear}).encode())
+
+
+def notes(output: str) -> dict[str, dict]:
+    """What is noted of each run."""
+    from pyarrow import fs as pyarrow_fs
+
+    fs, there = file_system(f"{output}/_runs")
+    out = {}
+    for info in fs.get_file_info(pyarrow_fs.FileSelector(there, allow_not_found=True)):
+        if info.base_name.endswith(".json"):
+            with fs.open_input_stream(info.path) as own:
+                out[info.base_name.removesuffix(".json")] = json.loads(own.read())
+    return out
+
+
+def drop_runs(output: str, keep, tables: tuple) -> None:
+    """Delete the tables of runs that keep(run) doesn't want."""
+    from pyarrow import fs as pyarrow_fs
+
+    for name in tables:
+        fs, there = file_system(f"{output}/{name}.parquet")
+        for info in fs.get_file_info(pyarrow_fs.FileSelector(there, allow_not_found=True)):
+            run = info.base_name.removeprefix("run=")
+            if info.base_name.startswith("run=") and not keep(run):
+                fs.delete_dir(info.path)
 
 
-def write_files(rows: DataFrame, path: str, packed: str = "none", clear: bool = False) -> int:
+def write_files(rows: DataFrame, path: str, packed: str = "none", clear: bool = False, pattern: str = "*") -> int:
     """A file for each row (name, content) below path, and how many were written; a name may have folders in it.
 
     Files that are there already, packed or not, are left alone unless clear
@@ -74,5 +126,5 @@ def write_files(rows: DataFrame, path: str, packed: str = "none", clear: bool =
                     out.write(pack(content.as_py().encode()))
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    some = todo if clear else pending(todo, path)
+    some = todo if clear else pending(todo, path, pattern=pattern)
     return some.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]

@@ -45,6 +45,7 @@ class Nodes:
             "texts": texts or {},
             "attrs": attrs or {},
             "spans": spans or [],
+            "label": (f"{parent['label']}/" if parent else "") + f"{len(self.rows):08x}",
         }
         self.rows.append(row)
         return row
@@ -92,18 +93,20 @@ def text_parts(element, tag: str | None = None) -> list[dict]:
     return out
 
 
+#: A correction and its parts.
+CORRECTION = ("correction", "new", "current", "original", "suggestion")
 #: What is read of a correction, by how corrections are handled; "either" reads the first that has anything.
 HANDLING = {"current": (("new", "current"),), "original": (("original",),), "either": (("new", "current"), ("original",))}
 
 
 def annotated(path: str, data: bytes, corrections: str = "current"):
-    """Node rows of an annotated document; corrections: current, original or either, as totext has it."""
+    """Node rows of an annotated document; corrections: current, original or either, as totext has it, or kept, as nodes with all their parts."""
     root = root_of(data)
     nodes = Nodes(attributes(root).get("id") or stem(path))
 
     def chosen(correction):
         """The lists of elements that a correction is read as, best first."""
-        return [[x for part in correction if local(part) in names for x in part] for names in HANDLING[corrections]]
+        return [[x for part in correction if local(part) in names for x in part] for names in HANDLING.get(corrections, ())]
 
     def texts(element) -> dict:
         """Text elements by layer: an element's own, else those of corrections in it."""
@@ -130,7 +133,18 @@ def annotated(path: str, data: bytes, corrections: str = "current"):
     def visit(element, parent) -> None:
         name, own = local(element), attributes(element)
         if name not in STRUCTURE and name not in ANNOTATIONS:
-            if name == "correction":
+            if name == "alt":
+                row = nodes.add(name, parent, own.get("id"))
+                for child in element:
+                    if local(child) in ANNOTATIONS:
+                        visit(child, row)
+            elif corrections == "kept" and name in CORRECTION:
+                said, spans = layers(element)
+                row = nodes.add(name, parent, own.get("id"), own.get("class"), texts=said, attrs={k: v for k, v in own.items() if k not in ("id", "class", "set")}, set_=own.get("set"), spans=spans)
+                for child in element:
+                    if local(child) != "t":
+                        visit(child, row)
+            elif name == "correction":
                 for x in next((found for found in chosen(element) if found), []):
                     visit(x, parent)
             elif name in ("entities", "morphology"):
@@ -141,7 +155,7 @@ def annotated(path: str, data: bytes, corrections: str = "current"):
         said, spans = layers(element)
         row = nodes.add(name, parent, own.get("id"), own.get("class"), lang, own.get("space") != "no", said, {k: v for k, v in own.items() if k not in ("id", "class", "space", "set")}, own.get("set"), spans)
         for child in element:
-            if local(child) not in ("t", "lang"):
+            if local(child) != "t":
                 visit(child, row)
 
     for child in root:
@@ -585,7 +599,7 @@ def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None =
                     last.tail = (last.tail or "") + x["text"]
 
         root, made = ET.Element(root_tag, {"xml:id": key[0]} | ({"xmlns": namespace} if namespace else {})), {}
-        for row in frame.sort_values("ord").itertuples():
+        for row in frame.sort_values("label").itertuples():
             parent = made.get(row.parent_id, root)
             own = {k: v for k, v in (("xml:id", row.node_id), ("class", row.cls), ("set", row.set)) if v is not None} | ({} if row.space is None or row.space else {"space": "no"}) | {k: v for k, v in dict(row.attrs if row.attrs is not None else {}).items() if v is not None}
             element = made[row.node_id] = ET.SubElement(parent, row.tag, own)
@@ -612,6 +626,6 @@ def units_to_nodes(units: DataFrame, doc: str = "doc_id", order: str = "ord", ta
     attrs, none = "cast(map() as map<string,string>) as attrs", "cast(array() as array<struct<layer: string, kind: string, text: string, tag: string>>)"
     own = "spans" if "spans" in units.columns else f"{none} as spans"
     blocks = units.select(F.col(doc).cast("string").alias("doc_id"), F.concat(root, F.lit("."), name, F.lit("."), at).alias("node_id"), root.alias("parent_id"), F.array(F.lit("text")).alias("path"), F.array(root).alias("path_ids"), at.cast("long").alias("ord"), F.lit(2).alias("depth"), name.alias("tag"), "text", *[c for c in ("spans",) if c in units.columns])
-    blocks = blocks.selectExpr("doc_id", "node_id", "parent_id", "path", "path_ids", "ord", "depth", "tag", *empty, "map('current', text) as texts", attrs, own)
-    tops = units.select(F.col(doc).cast("string").alias("doc_id")).distinct().selectExpr("doc_id", "concat(doc_id, '.text') as node_id", "cast(null as string) as parent_id", "cast(array() as array<string>) as path", "cast(array() as array<string>) as path_ids", "0L as ord", "1 as depth", "'text' as tag", *empty, "cast(map() as map<string,string>) as texts", attrs, f"{none} as spans")
+    blocks = blocks.selectExpr("doc_id", "node_id", "parent_id", "path", "path_ids", "ord", "depth", "tag", *empty, "map('current', text) as texts", attrs, own, "concat('00000000/', lpad(lower(hex(ord)), 8, '0')) as label")
+    tops = units.select(F.col(doc).cast("string").alias("doc_id")).distinct().selectExpr("doc_id", "concat(doc_id, '.text') as node_id", "cast(null as string) as parent_id", "cast(array() as array<string>) as path", "cast(array() as array<string>) as path_ids", "0L as ord", "1 as depth", "'text' as tag", *empty, "cast(map() as map<string,string>) as texts", attrs, f"{none} as spans", "'00000000' as label")
     return tops.union(blocks).select(*[c.strip().split(" ")[0] for c in files.split_schema(NODES)])
