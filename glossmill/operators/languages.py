@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.session import dealt
+
 #: Ranked n-grams of a profile, and the longest n-gram; fixed by the method.
 TOP, LONGEST = 400, 5
 
@@ -105,11 +107,8 @@ def top_grams(rows: DataFrame, key: str, text: str = "text", top: int = TOP, lon
             made = [ranked_grams(row.as_py(), top, longest) for row in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], [key, "grams"])
 
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    dealt = rows.select(key, text)
-    dealt = dealt.repartition(cores) if dealt.rdd.getNumPartitions() < cores else dealt
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)).alias("words")
-    return dealt.select(key, words).mapInArrow(ranks, f"`{key}` {dict(rows.dtypes)[key]}, grams array<string>")
+    return dealt(rows.select(key, text)).select(key, words).mapInArrow(ranks, f"`{key}` {dict(rows.dtypes)[key]}, grams array<string>")
 
 
 def distances(rows: DataFrame, models: DataFrame, key: str, text: str = "text", top: int = TOP) -> DataFrame:

@@ -41,6 +41,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, dealt out evenly if they come in fewer parts than the cluster has cores: for work that is dear for each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """rows written into the shared folder and read back, so that all later readers see one and the same."""
     path = new_folder(rows.sparkSession, name)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import strings
+from glossmill.session import dealt
 
 def discover(spark: SparkSession, path: str, pattern: str = "*", recurse: bool = False, expression: str | None = None) -> DataFrame:
     """(path, content) of the files below path whose names fit the glob pattern, and the regular expression if there is one."""
@@ -58,21 +59,33 @@ def parsed(files: DataFrame, parser, schema: str) -> DataFrame:
     The result has schema, path and error.  Only parsing is Python; a file is a row, so a task holds one tree at a time.
     """
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(files.sparkSession.createDataFrame([], schema).schema)
+
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        text = pa.string()
+        maps = {f.name for f in kinds if pa.types.is_map(f.type)}
+
+        def column(made, f):
+            own = [r.get(f.name) for r in made]
+            return pa.array([None if x is None else list(x.items()) for x in own] if f.name in maps else own, f.type)
 
-        names = [x.strip().split(" ")[0].strip("`") for x in split_schema(schema)]
-        nothing = dict.fromkeys(names)
-        for frame in batches:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    made = [{**nothing, **r, "path_": path, "error": None} for r in parser(path, unpack(path, bytes(content)))]
+                    made, error = list(parser(path, unpack(path, content.as_py()))), None
+                    columns = [[column(made[at : at + 5000], f) for f in kinds] for at in range(0, len(made), 5000)]
                 except Exception as why:  # noqa: BLE001  one broken file must not stop the others
-                    made = [{**nothing, "path_": path, "error": f"{type(why).__name__}: {why}"}]
-                for at in range(0, len(made), 5000):
-                    yield pd.DataFrame(made[at : at + 5000], columns=[*names, "path_", "error"], dtype=object)
+                    error = f"{type(why).__name__}: {why}"
+                    columns = [[pa.nulls(1, f.type) for f in kinds]]
+                for own in columns:
+                    n = len(own[0])
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([path] * n, text), pa.array([error] * n, text)], [*kinds.names, "path_", "error"])
 
-    return files.select("path", "content").mapInPandas(rows, f"{schema}, path_ string, error string")
+    return dealt(files.select("path", "content")).mapInArrow(rows, f"{schema}, path_ string, error string")
 
 
 def split_schema(schema: str) -> list[str]:

@@ -612,7 +612,8 @@ def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None =
                     t.text = text
         return pd.DataFrame({"doc_id": [key[0]], "xml": [ET.tostring(root, encoding="unicode")]})
 
-    return nodes.groupBy("doc_id").applyInPandas(write, "doc_id string, xml string")
+    own = ["doc_id", "node_id", "parent_id", "label", "tag", "cls", "set", "space", "texts", "attrs", "spans"]
+    return nodes.select(*own).groupBy("doc_id").applyInPandas(write, "doc_id string, xml string")
 
 
 def units_to_nodes(units: DataFrame, doc: str = "doc_id", order: str = "ord", tag: str | None = None) -> DataFrame:
