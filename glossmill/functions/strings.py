@@ -27,6 +27,16 @@ def grams(tokens: str, n: int, separator: str = "_") -> Column:
     return F.when(F.size(tokens) >= n, F.col(tokens) if n == 1 else some).otherwise(F.array().cast("array<string>"))
 
 
+def utf16_key(text: Column) -> Column:
+    """What sorts as the text does by UTF-16 units: characters beyond the first plane come before U+E000, not last."""
+    return F.encode(text, "UTF-16BE")
+
+
+def utf16_length(text: Column) -> Column:
+    """UTF-16 units of the text: two for a character beyond the first plane."""
+    return (F.octet_length(utf16_key(text)) / 2).cast("int")
+
+
 def without_final_hyphen(word: Column, hyphens: str = HYPHENS) -> Column:
     """struct(stem, hyphen): the word without a hyphen that follows a letter at its end; else the word itself and null."""
     bare = F.regexp_replace(word, r"\s+$", "")

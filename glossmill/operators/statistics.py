@@ -60,15 +60,18 @@ def clipped(freq: DataFrame, clip: int) -> DataFrame:
     return freq.where(F.col("cnt") > clip)
 
 
-def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str = "cnt", falling: bool = False) -> DataFrame:
+def cumulative(freq: DataFrame, keys: list[str], gram: str = "gram", cnt: str = "cnt", falling: bool = False, utf16: bool = False) -> DataFrame:
     """Adds rnk, cum and pct: place, running count and its percentage in the order of falling count and rising gram (or falling, as lists of lemmas with tags have it).
 
+    Grams are in the order of their code points, or with utf16 of their UTF-16 units.
+
     A list may have any length: it is dealt to ranges of that order, whose
     sizes give each row its place; a running count follows from the place and
     from sums over the distinct counts.  pct is of the rows given, so clip
     first.
     """
-    order = [*[F.col(k) for k in keys], F.desc(cnt), F.desc(gram) if falling else F.col(gram)]
+    name = strings.utf16_key(F.col(gram)) if utf16 else F.col(gram)
+    order = [*[F.col(k) for k in keys], F.desc(cnt), name.desc() if falling else name]
     listed = stored(freq, "list")  # so that ranges are not sampled from the corpus itself
     at = F.monotonically_increasing_id()
     ranged = stored(listed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranged")
@@ -141,31 +144,34 @@ def words_of_groups(rows: DataFrame, group: list[str], order: str, text: str = "
     return parts.groupBy(*group).agg(F.array_sort(F.collect_list("part")).alias("parts")).select(*group, F.flatten(F.col("parts.w")).alias("words"))
 
 
-def lemma_frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False) -> dict[str, DataFrame]:
+def lemma_lists(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False, kinds: tuple = ("word", "lemma", "lemma_pos")) -> DataFrame:
+    """(kind, lang, n, gram, pos, cnt): the lists of lemma_frequencies, all counted in one pass; pos is null but for lemma_pos."""
+    runs = [F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.slice("tokens", i, n).alias("g")))) for n in range(low, high + 1)]  # noqa: B023
+    each = rows.select("lang", F.explode(F.flatten(F.filter(F.array(*runs), lambda x: x.isNotNull()))).alias("x")).select("lang", "x.n", "x.g")
+    values = lambda field: F.transform("g", lambda t: t[field])
+
+    def gram(field: str) -> Column:
+        every = F.when(~F.exists("g", lambda t: t[field].isNull()), F.array_join(values(field), separator))
+        if not partial:
+            return every
+        first = F.slice("g", 1, F.array_position(F.transform("g", lambda t: t[field].isNull()), True).cast("int") - 1)
+        return every.otherwise(F.when(F.size(first) > 0, F.concat(F.array_join(F.transform(first, lambda t: t[field]), separator), F.lit(separator))))
+
+    full = ~F.exists("g", lambda t: t["lemma"].isNull() | t["pos"].isNull())
+    none = F.lit(None).cast("string")
+    of = {"word": (gram("word"), none), "lemma": (gram("lemma"), none), "lemma_pos": (F.when(full, F.array_join(values("lemma"), separator)), F.array_join(values("pos"), separator))}
+    made = F.array(*[F.struct(F.lit(kind).alias("kind"), of[kind][0].alias("gram"), of[kind][1].alias("pos")) for kind in kinds])
+    long = each.select("lang", "n", F.explode(F.filter(made, lambda x: x["gram"].isNotNull())).alias("x")).select("lang", "n", "x.*")
+    return long.groupBy("kind", "lang", "n", "gram", "pos").agg(F.count(F.lit(1)).alias("cnt")).select("kind", "lang", "n", "gram", "pos", "cnt")
+
+
+def lemma_frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False, kinds: tuple = ("word", "lemma", "lemma_pos")) -> dict[str, DataFrame]:
     """Word, lemma and lemma-with-tag lists of sentences (lang, tokens: array of struct(word, lemma, pos)).
 
     A lemma or tag gram is counted only if all its tokens have one; partial
-    counts the run up to the first token without one as well.
+    counts the run up to the first token without one as well.  The lists are
+    counted together and stored.
     """
-
-    def long(made: DataFrame, column: str) -> DataFrame:
-        """(lang, n, g) for all n in one pass."""
-        runs = [F.when(F.size(column) >= n, F.transform(F.sequence(F.lit(1), F.size(column) - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.slice(column, i, n).alias("g")))) for n in range(low, high + 1)]  # noqa: B023
-        each = F.flatten(F.filter(F.array(*runs), lambda x: x.isNotNull()))
-        return made.select("lang", F.explode(each).alias("x")).select("lang", "x.n", "x.g")
-
-    def list_of(field: str) -> DataFrame:
-        rows_ = long(rows.select("lang", F.transform("tokens", lambda t: t[field]).alias("v")), "v")
-        full = ~F.exists("g", lambda x: x.isNull())
-        first = F.expr("slice(g, 1, cast(array_position(transform(g, x -> x is null), true) as int) - 1)")
-        gram = F.when(full, F.array_join("g", separator))
-        if partial:
-            gram = gram.otherwise(F.when(F.size(first) > 0, F.concat(F.array_join(first, separator), F.lit(separator))))
-        return rows_.select("lang", "n", gram.alias("gram")).where("gram is not null").groupBy("lang", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
-
-    def pairs() -> DataFrame:
-        full = ~F.exists("g", lambda t: t["lemma"].isNull() | t["pos"].isNull())
-        joined = [F.array_join(F.transform("g", lambda t: t["lemma"]), separator).alias("lemma"), F.array_join(F.transform("g", lambda t: t["pos"]), separator).alias("pos")]
-        return long(rows, "tokens").where(full).select("lang", "n", *joined).groupBy("lang", "n", "lemma", "pos").agg(F.count(F.lit(1)).alias("cnt"))
-
-    return {"word": list_of("word"), "lemma": list_of("lemma"), "lemma_pos": pairs()}
+    every = stored(lemma_lists(rows, low, high, separator, partial, kinds), "lemmas")
+    of = lambda kind: every.where(F.col("kind") == kind)
+    return {kind: of(kind).select("lang", "n", F.col("gram").alias("lemma"), "pos", "cnt") if kind == "lemma_pos" else of(kind).select("lang", "n", "gram", "cnt") for kind in kinds}

@@ -8,6 +8,8 @@ texts that have markup inside, in order), label (what ord says, with room for mo
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.functions import strings
+
 NODES = "doc_id string, node_id string, parent_id string, path array<string>, path_ids array<string>, ord long, depth int, tag string, cls string, set string, lang string, space boolean, texts map<string,string>, attrs map<string,string>, spans array<struct<layer: string, kind: string, text: string, tag: string>>, label string"
 
 
@@ -55,6 +57,33 @@ def fix_text(nodes: DataFrame, cls: str) -> DataFrame:
     return joined.withColumn("texts", F.when(changes, new).otherwise(F.col("texts"))).withColumn("spans", spans).select(*nodes.columns)
 
 
+#: Structure whose text the node above it has to hold.
+HELD = ("div", "p", "s", "w", "head", "note", "quote", "item", "caption", "cell")
+
+
+def inconsistent(nodes: DataFrame, cls: str = "current") -> DataFrame:
+    """(doc_id, node_id, text, child, child_text) of nodes whose text doesn't hold those of the nodes right below it, in order: the first that isn't there.
+
+    White space counts for nothing.  Children's texts are looked for at
+    running offsets, where they stand if nothing else is between them; only
+    nodes of which one isn't there are searched from child to child.
+    """
+    bare = lambda x: F.regexp_replace(x, r"\s+", "")
+    above = nodes.select("doc_id", "node_id", F.col("texts")[cls].alias("text")).where("text is not null")
+    below = nodes.where(F.col("tag").isin(*HELD)).select("doc_id", F.col("parent_id").alias("node_id"), "label", F.col("node_id").alias("child"), F.col("texts")[cls].alias("child_text"))
+    below = below.where("child_text is not null").withColumn("bare", bare("child_text")).where("bare <> ''")
+    siblings = Window.partitionBy("doc_id", "node_id").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    placed = below.withColumn("at", F.coalesce(F.sum(F.char_length("bare")).over(siblings), F.lit(0)))
+    joined = placed.join(above.withColumn("whole", bare("text")), ["doc_id", "node_id"])
+    missed = F.expr("substring(whole, cast(at as int) + 1, length(bare)) <> bare")
+    doubtful = joined.where(missed).select("doc_id", "node_id").distinct()
+    gathered = joined.join(doubtful, ["doc_id", "node_id"], "left_semi").groupBy("doc_id", "node_id").agg(F.first("text").alias("text"), F.first("whole").alias("whole"), F.array_sort(F.collect_list(F.struct("label", "bare", "child", "child_text"))).alias("children"))
+    start, step = "named_struct('at', 1, 'k', 0, 'lost', false)", "CASE WHEN acc.lost THEN acc WHEN locate(c.bare, whole, acc.at) = 0 THEN named_struct('at', acc.at, 'k', acc.k, 'lost', true) ELSE named_struct('at', locate(c.bare, whole, acc.at) + length(c.bare), 'k', acc.k + 1, 'lost', false) END"
+    walked = gathered.withColumn("walk", F.expr(f"aggregate(children, {start}, (acc, c) -> {step})"))
+    lost = walked.where("walk.lost").withColumn("lost", F.expr("children[walk.k]"))
+    return lost.select("doc_id", "node_id", "text", "lost.child", "lost.child_text")
+
+
 def drop_layers(nodes: DataFrame, cls: str, current: bool = False) -> DataFrame:
     """Text layers other than cls go; a word keeps its last one; with `current` what stays is renamed.  cls current changes nothing."""
     if cls == "current":
@@ -192,8 +221,8 @@ def first_blocks(blocks: DataFrame, key: list[str], order: str = "ord") -> DataF
     return blocks.join(first, [*same, F.col(order) == F.col("_first")], "left_semi")
 
 
-def offsets(words: DataFrame, key: list[str], order: str = "pos", word: str = "word", space: str | None = None) -> DataFrame:
-    """Adds start: where each word begins if all are written one after another, with a space unless it says no."""
-    width = F.char_length(word) + (F.when(F.col(space), 1).otherwise(0) if space else F.lit(1))
+def offsets(words: DataFrame, key: list[str], order: str = "pos", word: str = "word", space: str | None = None, utf16: bool = False) -> DataFrame:
+    """Adds start: where each word begins if all are written one after another, with a space unless it says no; in characters, or UTF-16 units."""
+    width = (strings.utf16_length(F.col(word)) if utf16 else F.char_length(word)) + (F.when(F.col(space), 1).otherwise(0) if space else F.lit(1))
     before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return words.withColumn("start", F.coalesce(F.sum(width).over(before), F.lit(0)))

@@ -416,7 +416,7 @@ _tagged = f"WITH {WORDS}, t AS (SELECT lang, w, i FROM (SELECT lang, w, unnest(r
 
 @query(f"{_tagged} SELECT lang, CAST(2 AS INTEGER) AS n, lower(left(w[i], 5)) || '_' || lower(left(w[i + 1], 5)) AS gram, count(*) AS cnt FROM t WHERE length(w[i]) > 2 AND length(w[i + 1]) > 2 GROUP BY ALL")
 def lemma_bigrams(spark, sf_dir):
-    return statistics.lemma_frequencies(tagged(spark, sf_dir), 2, 2)["lemma"]
+    return statistics.lemma_frequencies(tagged(spark, sf_dir), 2, 2, kinds=("lemma",))["lemma"]
 
 
 _tag = lambda x: f"CASE WHEN length({x}) > 6 THEN 'LONG' ELSE 'SHORT' END"
@@ -424,7 +424,22 @@ _tag = lambda x: f"CASE WHEN length({x}) > 6 THEN 'LONG' ELSE 'SHORT' END"  # no
 
 @query(f"{_tagged} SELECT lang, CAST(2 AS INTEGER) AS n, lower(left(w[i], 5)) || '_' || lower(left(w[i + 1], 5)) AS lemma, {_tag('w[i]')} || '_' || {_tag('w[i + 1]')} AS pos, count(*) AS cnt FROM t WHERE length(w[i]) > 2 AND length(w[i + 1]) > 2 GROUP BY ALL")
 def lemma_pos_bigrams(spark, sf_dir):
-    return statistics.lemma_frequencies(tagged(spark, sf_dir), 2, 2)["lemma_pos"]
+    return statistics.lemma_frequencies(tagged(spark, sf_dir), 2, 2, kinds=("lemma_pos",))["lemma_pos"]
+
+
+_gram = lambda n, x: " || '_' || ".join(x(f"w[i{f' + {k}' if k else ''}]") for k in range(n))
+_lemma = lambda x: f"lower(left({x}, 5))"
+_runs = {n: f"(SELECT lang, w, i FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM words WHERE len(w) >= {n}))" for n in (1, 2)}
+_whole = {n: " AND ".join(f"length(w[i + {k}]) > 2" for k in range(n)) for n in (1, 2)}
+_every = " UNION ALL ".join(
+    f"SELECT 'word' AS kind, lang, {n} AS n, {_gram(n, str)} AS gram, NULL AS pos FROM {_runs[n]} UNION ALL SELECT 'lemma', lang, {n}, {_gram(n, _lemma)}, NULL FROM {_runs[n]} WHERE {_whole[n]} UNION ALL SELECT 'lemma_pos', lang, {n}, {_gram(n, _lemma)}, {_gram(n, _tag)} FROM {_runs[n]} WHERE {_whole[n]}" for n in (1, 2)
+)
+
+
+@query(f"WITH {WORDS} SELECT kind, lang, CAST(n AS INTEGER) AS n, gram, CAST(pos AS VARCHAR) AS pos, count(*) AS cnt FROM ({_every}) GROUP BY ALL")
+def lemma_lists(spark, sf_dir):
+    """Words, lemmas and lemmas with tags, one and two at a time, counted in one pass."""
+    return statistics.lemma_lists(tagged(spark, sf_dir), 1, 2)
 
 
 # The derived dictionary, preservation list and rules of translation.
@@ -587,6 +602,24 @@ def token_offsets(spark, sf_dir):
     return tree.offsets(words, ["doc_id"]).withColumn("start", F.col("start").cast("long"))
 
 
+# Words in which some letters stand beyond the first plane, and others at its end: where the two orders and lengths differ.
+FROM_, TO = "aeb", "\U0001f642\U00020000\ufb00"
+_units = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN printf('%04x%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) ELSE printf('%04x', unicode(c)) END), '')"
+
+
+@query(f"WITH {WORDS}, f AS (SELECT lang, gram, count(*) AS cnt FROM (SELECT lang, translate(unnest(w), '{FROM_}', '{TO}') AS gram FROM words) WHERE lang IS NOT NULL GROUP BY ALL HAVING count(*) > 1), k AS (SELECT *, {_units('gram')} AS key FROM f) SELECT lang, gram, cnt, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, key) AS rnk, CAST(sum(cnt) OVER (PARTITION BY lang ORDER BY cnt DESC, key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM k")
+def freq_utf16_order(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("text", F.translate("text", FROM_, TO))
+    freq = statistics.clipped(statistics.frequencies(docs), 1).drop("n")
+    return statistics.cumulative(freq, ["lang"], utf16=True).drop("pct")
+
+
+@query(rf"WITH {WORDS}, p AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, list_transform(w, lambda x: translate(x, '{FROM_}', '{TO}')) AS w, unnest(range(1, len(w) + 1)) AS i FROM words)) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, word, CAST(coalesce(sum(length(word) + length(regexp_replace(word, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p")
+def token_offsets_utf16(spark, sf_dir):
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(strings.words(F.translate("text", FROM_, TO))).alias("pos", "word"))
+    return tree.offsets(words, ["doc_id"], utf16=True).withColumn("start", F.col("start").cast("long"))
+
+
 # Broken words: a word that ends in a full stop is a first part, one that begins with a capital a second.
 _parts = f"WITH {WORDS}, p AS (SELECT doc_id, i, w[i] AS word, CASE WHEN w[i] LIKE '%.' THEN 'HypPart1' WHEN regexp_matches(w[i], '^[A-Z]') THEN 'HypPart2' END AS k, w[i - 1] AS prev, w[i + 1] AS next, CASE WHEN w[i + 1] LIKE '%.' THEN 'HypPart1' WHEN regexp_matches(w[i + 1], '^[A-Z]') THEN 'HypPart2' END AS nk FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words))"
 
