@@ -614,7 +614,7 @@ def freq_utf16_order(spark, sf_dir):
     return statistics.cumulative(freq, ["lang"], utf16=True).drop("pct")
 
 
-@query(rf"WITH {WORDS}, p AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, list_transform(w, lambda x: translate(x, '{FROM_}', '{TO}')) AS w, unnest(range(1, len(w) + 1)) AS i FROM words)) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, word, CAST(coalesce(sum(length(word) + length(regexp_replace(word, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p")
+@query(rf"WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{FROM_}', '{TO}'), '\S+') AS w FROM documents), p AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, word, CAST(coalesce(sum(length(word) + length(regexp_replace(word, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p")
 def token_offsets_utf16(spark, sf_dir):
     words = documents(spark, sf_dir).select("doc_id", F.posexplode(strings.words(F.translate("text", FROM_, TO))).alias("pos", "word"))
     return tree.offsets(words, ["doc_id"], utf16=True).withColumn("start", F.col("start").cast("long"))
