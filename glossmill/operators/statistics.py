@@ -96,19 +96,19 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, condition).drop(*[f"_k{n}" for n in range(len(keys))])
 
 
-def aggregate_table(freq: DataFrame, languages: list[str], clip: int = 0) -> DataFrame:
-    """(gram, total, languages...): counts by language, 0 where none; total is the number of languages that have the gram."""
+def aggregate_table(freq: DataFrame, languages: list[str], clip: int = 0, by: tuple = ()) -> DataFrame:
+    """(by..., gram, total, languages...): counts by language, 0 where none; total is the number of languages that have the gram."""
     some = clipped(freq, clip)
-    wide = some.groupBy("gram").pivot("lang", languages).agg(F.sum("cnt"))
+    wide = some.groupBy(*by, "gram").pivot("lang", languages).agg(F.sum("cnt"))
     held = [F.coalesce(F.col(x), F.lit(0)).alias(x) for x in languages]
-    return wide.select("gram", sum((F.when(F.col(x).isNotNull(), 1).otherwise(0) for x in languages), F.lit(0)).alias("total"), *held)
+    return wide.select(*by, "gram", sum((F.when(F.col(x).isNotNull(), 1).otherwise(0) for x in languages), F.lit(0)).alias("total"), *held)
 
 
-def aggregate_footer(freq: DataFrame, clip: int = 0) -> DataFrame:
-    """(lang, total, pct): the table's footer, the percentage of each language in all, with one decimal."""
-    sums = clipped(freq, clip).groupBy("lang").agg(F.sum("cnt").alias("total"))
-    every = Window.partitionBy()  # a row for each language
-    return sums.select("lang", "total", F.round(100.0 * F.col("total") / F.sum("total").over(every), 1).alias("pct"))
+def aggregate_footer(freq: DataFrame, clip: int = 0, by: tuple = ()) -> DataFrame:
+    """(by..., lang, total, pct): the table's footer, the percentage of each language in all, with one decimal."""
+    sums = clipped(freq, clip).groupBy(*by, "lang").agg(F.sum("cnt").alias("total"))
+    every = Window.partitionBy(*by)  # a row for each language
+    return sums.select(*by, "lang", "total", F.round(100.0 * F.col("total") / F.sum("total").over(every), 1).alias("pct"))
 
 
 def type_token(freq: DataFrame, *keys: str) -> DataFrame:
@@ -144,10 +144,10 @@ def words_of_groups(rows: DataFrame, group: list[str], order: str, text: str = "
     return parts.groupBy(*group).agg(F.array_sort(F.collect_list("part")).alias("parts")).select(*group, F.flatten(F.col("parts.w")).alias("words"))
 
 
-def lemma_lists(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False, kinds: tuple = ("word", "lemma", "lemma_pos")) -> DataFrame:
-    """(kind, lang, n, gram, pos, cnt): the lists of lemma_frequencies, all counted in one pass; pos is null but for lemma_pos."""
+def lemma_lists(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False, kinds: tuple = ("word", "lemma", "lemma_pos"), by: tuple = ()) -> DataFrame:
+    """(kind, by..., lang, n, gram, pos, cnt): the lists of lemma_frequencies, all counted in one pass; pos is null but for lemma_pos."""
     runs = [F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.slice("tokens", i, n).alias("g")))) for n in range(low, high + 1)]  # noqa: B023
-    each = rows.select("lang", F.explode(F.flatten(F.filter(F.array(*runs), lambda x: x.isNotNull()))).alias("x")).select("lang", "x.n", "x.g")
+    each = rows.select(*by, "lang", F.explode(F.flatten(F.filter(F.array(*runs), lambda x: x.isNotNull()))).alias("x")).select(*by, "lang", "x.n", "x.g")
     values = lambda field: F.transform("g", lambda t: t[field])
 
     def gram(field: str) -> Column:
@@ -161,17 +161,18 @@ def lemma_lists(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "
     none = F.lit(None).cast("string")
     of = {"word": (gram("word"), none), "lemma": (gram("lemma"), none), "lemma_pos": (F.when(full, F.array_join(values("lemma"), separator)), F.array_join(values("pos"), separator))}
     made = F.array(*[F.struct(F.lit(kind).alias("kind"), of[kind][0].alias("gram"), of[kind][1].alias("pos")) for kind in kinds])
-    long = each.select("lang", "n", F.explode(F.filter(made, lambda x: x["gram"].isNotNull())).alias("x")).select("lang", "n", "x.*")
-    return long.groupBy("kind", "lang", "n", "gram", "pos").agg(F.count(F.lit(1)).alias("cnt")).select("kind", "lang", "n", "gram", "pos", "cnt")
+    long = each.select(*by, "lang", "n", F.explode(F.filter(made, lambda x: x["gram"].isNotNull())).alias("x")).select(*by, "lang", "n", "x.*")
+    keys = ["kind", *by, "lang", "n", "gram", "pos"]
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")).select(*keys, "cnt")
 
 
-def lemma_frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False, kinds: tuple = ("word", "lemma", "lemma_pos")) -> dict[str, DataFrame]:
+def lemma_frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", partial: bool = False, kinds: tuple = ("word", "lemma", "lemma_pos"), by: tuple = ()) -> dict[str, DataFrame]:
     """Word, lemma and lemma-with-tag lists of sentences (lang, tokens: array of struct(word, lemma, pos)).
 
     A lemma or tag gram is counted only if all its tokens have one; partial
     counts the run up to the first token without one as well.  The lists are
     counted together and stored.
     """
-    every = stored(lemma_lists(rows, low, high, separator, partial, kinds), "lemmas")
+    every = stored(lemma_lists(rows, low, high, separator, partial, kinds, by), "lemmas")
     of = lambda kind: every.where(F.col("kind") == kind)
-    return {kind: of(kind).select("lang", "n", F.col("gram").alias("lemma"), "pos", "cnt") if kind == "lemma_pos" else of(kind).select("lang", "n", "gram", "cnt") for kind in kinds}
+    return {kind: of(kind).select(*by, "lang", "n", F.col("gram").alias("lemma"), "pos", "cnt") if kind == "lemma_pos" else of(kind).select(*by, "lang", "n", "gram", "cnt") for kind in kinds}

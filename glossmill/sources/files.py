@@ -150,15 +150,21 @@ def write_list(freq: DataFrame, path: str, columns: tuple = ("gram", "cnt"), by:
     ordered.select(*by, F.concat_ws("\t", *shown).alias("value")).write.mode("overwrite").option("compression", compression).partitionBy(*by).text(path)
 
 
-def write_table(rows: DataFrame, path: str, order: list, header: bool = False, footer: list[str] = (), compression: str = "none") -> None:
-    """Rows as tab-separated text in order, with the columns' names first and lines below if asked; one sorted list over several files."""
-    spark = rows.sparkSession
-    body = rows.orderBy(*order).select(F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in rows.columns]).alias("value"))
-    body.write.mode("overwrite").option("compression", compression).text(path)
+def write_table(rows: DataFrame, path: str, order: list, header: bool = False, footer: DataFrame | None = None, compression: str = "none", by: tuple = ()) -> None:
+    """Rows as tab-separated text in order, with the columns' names first and the rows of `footer` below if asked; one sorted list over several files, in a folder for each value of `by`."""
+
+    def put(some: DataFrame, at: str, keys: list) -> None:
+        shown = F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in some.columns if c not in by]).alias("value")
+        ordered = some.repartitionByRange(*by, *keys).sortWithinPartitions(*by, *keys) if by else some.orderBy(*keys)
+        out = ordered.select(*by, shown).write.mode("overwrite").option("compression", compression)
+        (out.partitionBy(*by) if by else out).text(at)
+
+    put(rows, path, order)
     if header:
-        spark.createDataFrame([("\t".join(rows.columns),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
-    if footer:
-        spark.createDataFrame([(x,) for x in footer], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.footer")
+        names = "\t".join(c for c in rows.columns if c not in by)
+        rows.sparkSession.createDataFrame([(names,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.header")
+    if footer is not None:
+        put(footer, f"{path}.footer", ["lang"])
 
 
 def write_texts(texts: DataFrame, path: str, packed: str = "none", clear: bool = False) -> int:

@@ -138,10 +138,15 @@ def test_outputs_are_written_once(spark, folder, tmp_path):
 
 
 def test_lists_by_label(spark, folder, tmp_path):
-    (tmp_path / "list.txt").write_text("# files\na.xml\tone\nb.xml\ttwo/\n\n")
-    out = run(spark, folder, tmp_path, "stats", "--languages", "all", "--tags", "p", "--inputfiles", str(tmp_path / "list.txt"))
-    for label in ("one", "two"):
-        assert [r.value for r in spark.read.text(f"{out}/{label}/wordfreqlist/lang=eng/n=1").collect()] == ["end\t1", "the\t1"]
+    (tmp_path / "list.txt").write_text("# files\na.xml\tone\nb.xml\ttwo/\na.xml\ttwo\n\n")
+    out = run(spark, folder, tmp_path, "stats", "--languages", "all", "--tags", "p", "--hemp", "--inputfiles", str(tmp_path / "list.txt"))
+    for label, n in (("one", 1), ("two", 2)):
+        assert [r.value for r in spark.read.text(f"{out}/wordfreqlist/label={label}/lang=eng/n=1").collect()] == [f"end\t{n}", f"the\t{n}"]
+        assert [r.value for r in spark.read.text(f"{out}/hemp/label={label}").collect()] == ["N_A_P"]
+    out = run(spark, folder, tmp_path, "stats", "--aggregate", "--mode", "lemma_pos", "--languages", "all", "--inputfiles", str(tmp_path / "list.txt"))
+    assert "de\t1\t2" in {r.value for r in spark.read.text(f"{out}/wordfreqlist.agg/label=two").collect()}
+    assert [r.value for r in spark.read.text(f"{out}/lemma_possummary/label=one").collect()][0].startswith("nld\t1\t2\t2\t1")
+    assert [r.value for r in spark.read.text(f"{out}/wordfreqlist.agg.footer/label=two").collect()] == ["nld\t4\t100.0"]
 
 
 ALTO = """<alto><Layout><Page><PrintSpace>
