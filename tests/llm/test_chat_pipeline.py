@@ -127,7 +127,7 @@ def stages(spark):
 
 
 def test_columns(stages):
-    assert list(stages) == ["toxicity", "simhash", "substring dedup", "decontamination", "packing"]
+    assert list(stages) == ["toxicity", "near-duplicates", "substring dedup", "decontamination", "packing"]
     for name in list(stages)[:-1]:
         assert list(stages[name][1].columns) == ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -145,7 +145,7 @@ def test_near_duplicate_stage(stages):
     """Five-word shingles at 0.8 or more, by comparing all pairs."""
     from test_similar import plain_components
 
-    before, after = stages["simhash"]
+    before, after = stages["near-duplicates"]
     groups = plain_components(dict(zip(before["doc_id"], before["text"], strict=True)))
     assert set(after["doc_id"]) == set(groups.values()) and len(after) == len(set(after["doc_id"]))
 
