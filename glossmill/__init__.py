@@ -8,4 +8,6 @@ import sys
 
 from pyspark import cloudpickle
 
+VERSION = "0.3"
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -34,6 +34,14 @@ def whole_file(uri: str):
         raise
 
 
+def exists(uri: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    from pyarrow import fs as pyarrow_fs
+
+    fs, path = file_system(uri)
+    return fs.get_file_info(path).type != pyarrow_fs.FileType.NotFound
+
+
 def names_below(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name), relative to path and without what packing adds, of the files below it: one listing, which Spark shares out."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,6 +9,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.operators.headers import HEADER
 from glossmill.operators.tree import NODES
 from glossmill.sources import files
 
@@ -164,6 +165,40 @@ def annotated(path: str, data: bytes, corrections: str = "current"):
     return nodes.rows
 
 
+def header(path: str, data: bytes):
+    """Header rows of an annotated document (see operators.headers): its root, and all below `metadata`; no more of it is parsed."""
+    import io
+    import xml.etree.ElementTree as ET
+
+    root, found, depth = None, None, 0
+    for event, element in ET.iterparse(io.BytesIO(data), ("start", "end")):
+        root, depth = (element if root is None else root), depth + (1 if event == "start" else -1)
+        if event == "start" and depth == 2 and local(element) == "text":
+            break
+        if event == "end" and depth == 1 and local(element) == "metadata":
+            found = element
+            break
+    space = root.tag[1:].partition("}")[0] if root.tag.startswith("{") else ""
+    xml_space = "{http://www.w3.org/XML/1998/namespace}"
+    doc_id, rows = attributes(root).get("id") or stem(path), []
+
+    def add(element, label, text, tail, more=()) -> None:
+        tag = element.tag.removeprefix(f"{{{space}}}") if space else element.tag
+        attrs = {k.replace(xml_space, "xml:"): v for k, v in element.attrib.items()} | dict(more)
+        blank = lambda x: x if x and x.strip() else None
+        rows.append({"doc_id": doc_id, "label": label, "tag": tag, "attrs": attrs, "text": blank(text), "tail": blank(tail)})
+
+    def visit(element, label) -> None:
+        add(element, label, element.text, element.tail)
+        for k, child in enumerate(element):
+            visit(child, f"{label}/{k:08x}")
+
+    add(root, "!", None, None, [("xmlns", space)] if space else ())
+    if found is not None:
+        visit(found, "!/00000000")
+    return rows
+
+
 REGIONS = "doc_id string, image string, region_id string, type string, pos int, read_index int, unicode string, lines array<struct<id: string, unicode: array<string>, words: array<struct<id: string, unicode: string>>>>"
 
 
@@ -571,13 +606,17 @@ def proceedings(path: str, data: bytes, split: bool = True, prefix: str = ""):
 
 def read(files_: DataFrame, kind: str, **options) -> DataFrame:
     """Rows of files (path, content) of a format by name; see files.good() and files.quarantine()."""
-    readers = {"annotated": (annotated, NODES), "page": (page, REGIONS), "alto": (alto, ALTO), "didl": (didl, DIDL), "abby": (abby, RUNS), "hocr": (hocr, HOCR), "html": (html, NODES), "proceedings": (proceedings, NODES)}
+    readers = {"annotated": (annotated, NODES), "header": (header, HEADER), "page": (page, REGIONS), "alto": (alto, ALTO), "didl": (didl, DIDL), "abby": (abby, RUNS), "hocr": (hocr, HOCR), "html": (html, NODES), "proceedings": (proceedings, NODES)}
     parser, schema = readers[kind]
     return files.parsed(files_, (lambda p, d: parser(p, d, **options)) if options else parser, schema)
 
 
-def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None = None) -> DataFrame:
-    """(doc_id, xml): documents written as annotated text from their nodes, with markup of texts; a document is gathered, so it must fit a task."""
+def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, xml): documents written as annotated text from their nodes, with markup of texts; a document is gathered, so it must fit a task.
+
+    headers give a document its root, with namespace and attributes, and its
+    metadata; those of documents without nodes aren't written.
+    """
 
     def write(key, frame):
         import xml.etree.ElementTree as ET
@@ -598,8 +637,22 @@ def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None =
                 else:
                     last.tail = (last.tail or "") + x["text"]
 
-        root, made = ET.Element(root_tag, {"xml:id": key[0]} | ({"xmlns": namespace} if namespace else {})), {}
-        for row in frame.sort_values("label").itertuples():
+        given = {"xmlns": namespace} if namespace else {}
+        root, made = ET.Element(root_tag, {"xml:id": key[0]} | given), {}
+        frame = frame.sort_values("label")
+        if not (~frame["label"].str.startswith("!")).any():
+            return pd.DataFrame({"doc_id": [], "xml": []})
+        for row in frame.itertuples():
+            if row.label.startswith("!"):  # of the header
+                own = dict(row.attrs)
+                if row.label == "!":
+                    root.tag = row.tag
+                    root.attrib.update(own | {"xml:id": key[0]} | given)
+                    made["!"] = root
+                    continue
+                element = made[row.label] = ET.SubElement(made.get(row.label.rpartition("/")[0], root), row.tag, own)
+                element.text, element.tail = dict(row.texts).get("text"), dict(row.texts).get("tail")
+                continue
             parent = made.get(row.parent_id, root)
             own = {k: v for k, v in (("xml:id", row.node_id), ("class", row.cls), ("set", row.set)) if v is not None} | ({} if row.space is None or row.space else {"space": "no"}) | {k: v for k, v in dict(row.attrs if row.attrs is not None else {}).items() if v is not None}
             element = made[row.node_id] = ET.SubElement(parent, row.tag, own)
@@ -613,7 +666,12 @@ def to_xml(nodes: DataFrame, root_tag: str = "document", namespace: str | None =
         return pd.DataFrame({"doc_id": [key[0]], "xml": [ET.tostring(root, encoding="unicode")]})
 
     own = ["doc_id", "node_id", "parent_id", "label", "tag", "cls", "set", "space", "texts", "attrs", "spans"]
-    return nodes.select(*own).groupBy("doc_id").applyInPandas(write, "doc_id string, xml string")
+    rows = nodes.select(*own)
+    if headers is not None:
+        kinds, texts = dict(nodes.dtypes), F.map_filter(F.create_map(F.lit("text"), F.col("text"), F.lit("tail"), F.col("tail")), lambda k, v: v.isNotNull())
+        made = headers.withColumn("texts", texts)
+        rows = rows.union(made.select(*[(F.col(c) if c in made.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in own]))
+    return rows.groupBy("doc_id").applyInPandas(write, "doc_id string, xml string")
 
 
 def units_to_nodes(units: DataFrame, doc: str = "doc_id", order: str = "ord", tag: str | None = None) -> DataFrame:
