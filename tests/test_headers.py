@@ -89,3 +89,11 @@ def test_converted_documents_declare(spark, tmp_path):
     assert declared(known) == {("n", "head", "own"): ["glossmill-convert.1"], ("n", "paragraph", "own"): ["glossmill-convert.1"]}
     assert {tuple(r)[1:] for r in headers.metadata(known).collect()} == {("page-number", "17"), ("page-image", "i.png")}
     assert ET.parse(tmp_path / "out" / "n.xml").getroot().tag == "{urn:y}document"
+
+
+def test_names_have_the_prefix(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "n.xml").write_text('<PcGts><Page imageFilename="i.png"><TextRegion id="r1" type="paragraph"><TextEquiv><Unicode>body</Unicode></TextEquiv></TextRegion></Page></PcGts>')
+    run(spark, tmp_path / "in", tmp_path / "out", "convert", "--format", "page", "--prefix", "FP-")
+    root = ET.parse(tmp_path / "out" / "FP-n.xml").getroot()
+    assert root.get(XML_ID) == "FP-n" and root.find("text").get(XML_ID).startswith("FP-n.")
