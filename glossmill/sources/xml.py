@@ -202,8 +202,8 @@ def header(path: str, data: bytes):
 REGIONS = "doc_id string, image string, region_id string, type string, pos int, read_index int, unicode string, lines array<struct<id: string, unicode: array<string>, words: array<struct<id: string, unicode: string>>>>"
 
 
-def page(path: str, data: bytes):
-    """Region rows of a PAGE document: its own text, its lines, and its place in the reading order."""
+def page(path: str, data: bytes, strict: bool = False):
+    """Region rows of a PAGE document: its own text, its lines, and its place in the reading order; strict: a word without exactly one text is an error."""
     root = root_of(data)
     order, image, rows = {}, None, []
     for element in root.iter():
@@ -222,7 +222,10 @@ def page(path: str, data: bytes):
     for pos, region in enumerate(x for x in root.iter() if local(x) == "TextRegion"):
         own, lines = attributes(region), []
         for line in (x for x in region if local(x) == "TextLine"):
-            words = [{"id": attributes(w).get("id"), "unicode": next(iter(unicode(w)), None)} for w in line if local(w) == "Word"]
+            read = [(attributes(w).get("id"), unicode(w)) for w in line if local(w) == "Word"]
+            if strict and (odd := [i for i, texts in read if len(texts) != 1]):
+                raise ValueError(f"not one text in word {odd[0]}")
+            words = [{"id": i, "unicode": next(iter(texts), None)} for i, texts in read]
             lines.append({"id": attributes(line).get("id"), "unicode": unicode(line), "words": words})
         rows.append({"doc_id": stem(path), "image": image, "region_id": own.get("id"), "type": own.get("type", ""), "pos": pos, "read_index": order.get(own.get("id")), "unicode": next((u for u in unicode(region) if u), None), "lines": lines})
     return rows

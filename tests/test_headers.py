@@ -97,3 +97,15 @@ def test_names_have_the_prefix(spark, tmp_path):
     run(spark, tmp_path / "in", tmp_path / "out", "convert", "--format", "page", "--prefix", "FP-")
     root = ET.parse(tmp_path / "out" / "FP-n.xml").getroot()
     assert root.get(XML_ID) == "FP-n" and root.find("text").get(XML_ID).startswith("FP-n.")
+
+
+def test_trusted_words_have_one_text(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    one, two = "<TextEquiv><Unicode>ab</Unicode></TextEquiv>", "<TextEquiv><Unicode>x</Unicode></TextEquiv>"
+    for name, word in (("good", one), ("odd", one + two), ("none", "")):
+        (tmp_path / "in" / f"{name}.xml").write_text(f'<PcGts><Page imageFilename="i.png"><TextRegion id="r"><TextLine id="l"><TextEquiv><Unicode>ab line</Unicode></TextEquiv><Word id="w1">{word}</Word></TextLine></TextRegion></Page></PcGts>')
+    run(spark, tmp_path / "in", tmp_path / "trusted", "convert", "--format", "page", "--trusttokens")
+    run(spark, tmp_path / "in", tmp_path / "lines", "convert", "--format", "page")
+    assert [p.name for p in (tmp_path / "trusted").glob("*.xml")] == ["good.xml"]
+    assert sorted(r.error for r in spark.read.json(str(tmp_path / "trusted" / "quarantine")).collect()) == ["ValueError: not one text in word w1"] * 2
+    assert sorted(p.name for p in (tmp_path / "lines").glob("*.xml")) == ["good.xml", "none.xml", "odd.xml"]
