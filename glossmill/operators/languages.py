@@ -7,6 +7,8 @@ from glossmill.session import dealt
 
 #: Ranked n-grams of a profile, and the longest n-gram; fixed by the method.
 TOP, LONGEST = 400, 5
+#: Texts whose grams a Python worker holds at once.
+ROWS = 256
 
 
 def character_grams(rows: DataFrame, key: list[str], text: str = "text", longest: int = LONGEST) -> DataFrame:
@@ -103,9 +105,11 @@ def top_grams(rows: DataFrame, key: str, text: str = "text", top: int = TOP, lon
     def ranks(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            made = [ranked_grams(row.as_py(), top, longest) for row in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], [key, "grams"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # a batch may have 10,000 rows, whose grams are some millions
+                batch = whole.slice(at, ROWS)
+                made = [ranked_grams(row.as_py(), top, longest) for row in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.string()))], [key, "grams"])
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)).alias("words")
     return dealt(rows.select(key, text)).select(key, words).mapInArrow(ranks, f"`{key}` {dict(rows.dtypes)[key]}, grams array<string>")
