@@ -37,7 +37,7 @@ def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         from pyspark import TaskContext
 
         own, seen, part, end = encoder(path), Counter(), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             ids, rows = batch.column(0).to_pylist(), []
             for doc, text in zip(ids, texts(batch.column(1)), strict=True):
                 data = memoryview(own.ids(text) + end)

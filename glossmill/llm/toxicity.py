@@ -26,7 +26,7 @@ ENTRIES = 10_240_000
 #: Bytes of the beginnings of words; documents added to a feature's count as if at random; what passes for chance.
 STEMS, PRIOR, NOISE = (4, 5, 6, 7), 3.0, 1.5
 #: Words whose scores a task keeps at most.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     def sparse(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             rows = [features(x.as_py()) for x in batch.column(2).cast(pa.binary())]
             columns = [pa.array([r[k].astype(np.int32) for r in rows], pa.list_(pa.int32())) for k in range(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["grade", "turn", "at", "times"])
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     def telling(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             rows = []
             for at, times in zip(batch.column(2), batch.column(3), strict=True):
                 at, value = np.array(at.as_py(), np.int64), np.array(times.as_py(), float)
@@ -166,10 +166,17 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
         told = weights.tolist()
 
         class Memo(dict):
+            """Words met of late, and of those met before them as many."""
+
+            older = {}  # noqa: RUF012
+
             def __missing__(self, word):
-                if len(self) >= MEMO:
+                if (own := self.older.get(word)) is None:
+                    own = sum(told[k] for k in word_features(word))
+                if 2 * len(self) >= MEMO:
+                    self.older = dict(self)
                     self.clear()
-                self[word] = own = sum(told[k] for k in word_features(word))
+                self[word] = own
                 return own
 
         memo = Memo()
