@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from glossmill.functions import strings
 from glossmill.session import stored
 
+#: Bytes of texts whose grams a task counts at once, and the words of them that are joined to grams at once.
+STEP, BLOCK = 8 << 20, 1 << 20
+
 
 def units(docs: DataFrame, text: str = "text", lower: bool = False, words: str = "words") -> DataFrame:
     """Adds the array of words of a text column."""
@@ -44,10 +47,53 @@ def grams(rows: DataFrame, low: int, high: int, separator: str = "_", words: str
 
 
 def frequencies(rows: DataFrame, low: int = 1, high: int = 1, separator: str = "_", policy: str | None = "all", lower: bool = False, text: str = "text", lang: str = "lang", by: tuple = ()) -> DataFrame:
-    """(by..., lang, n, gram, cnt) over units with a text and a language; by are columns that part the lists further."""
-    counted = rows.select(*by, language_of(F.col(lang), policy).alias("lang"), strings.words(F.col(text), lower).alias("words")).where("lang is not null")
-    made = grams(counted, low, high, separator, keep=(*by, "lang"))
-    return made.groupBy(*by, "lang", "n", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """(by..., lang, n, gram, cnt) over units with a text and a language; by are columns that part the lists further.
+
+    Tasks count the grams of some texts at once, in Arrow.  Runs of two and
+    more words are nearly all different within a task, so they are dealt out
+    by gram as they are; single words are summed by task first.
+    """
+    keys = [*by, "lang", "n", "gram"]
+    said = F.lower(F.col(text)) if lower else F.col(text)
+    counted = rows.select(*by, language_of(F.col(lang), policy).alias("lang"), said.alias("_text")).where("lang is not null and _text is not null")
+    made = _counted(counted, low, high, separator)
+    return (made if high == 1 else made.repartition(*keys)).groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+
+
+def _counted(rows: DataFrame, low: int, high: int, separator: str) -> DataFrame:
+    """(..., n, gram, cnt): of rows (..., _text) the grams of low to high words, counted within parts of about STEP bytes of text, so that a gram has a row for each part."""
+    keep = rows.columns[:-1]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    step, block = STEP, BLOCK
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for whole in batches:
+            ends, at = np.cumsum(pc.binary_length(whole.column(len(keep))).to_numpy(zero_copy_only=False)), 0
+            while at < whole.num_rows:
+                last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+                some, at = whole.slice(at, last - at), last
+                lists = pc.ascii_split_whitespace(some.column(len(keep)))
+                words, owner = lists.flatten(), pc.list_parent_indices(lists)
+                full = pc.not_equal(words, "")  # there are empty ones at a text's ends
+                words, owner = words.filter(full), owner.filter(full).to_numpy()
+                coded = [c.dictionary_encode() for c in some.columns[: len(keep)]]
+                for n in range(low, high + 1):
+                    for first in range(0, len(words) - n + 1, block):
+                        many = min(block, len(words) - n + 1 - first)
+                        own = owner[first : first + many]
+                        gram = pc.binary_join_element_wise(*[words.slice(first + k, many) for k in range(n)], separator) if n > 1 else words.slice(first, many)
+                        names = [f"k{k}" for k in range(len(keep))]
+                        made = pa.table([*[c.indices.take(pa.array(own)) for c in coded], gram], [*names, "gram"])
+                        made = made.filter(pa.array(own == owner[first + n - 1 : first + n - 1 + many])).group_by([*names, "gram"], use_threads=False).aggregate([([], "count_all")])
+                        for part in made.to_batches():
+                            values = [c.dictionary.take(part.column(name)) for c, name in zip(coded, names, strict=True)]
+                            yield pa.RecordBatch.from_arrays([*values, pa.array(np.full(len(part), n, np.int32)), part.column("gram"), part.column("count_all")], [*keep, "n", "gram", "cnt"])
+
+    return rows.mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n int", "gram string", "cnt long"]))
 
 
 def totals(freq: DataFrame, *keys: str) -> DataFrame:
