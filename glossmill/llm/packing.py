@@ -55,7 +55,7 @@ def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     long = pa.int64()
     names = [id_column, "start", "length", "ids_crc32", "doc_tokens", "part", "rank_in_part"] + ["ids"] * with_ids
     kinds = [docs.select(id_column).limit(0).toArrow().schema.field(0).type, long, long, long, long, pa.int32(), long] + [pa.binary()] * with_ids
-    return docs.select(id_column, text_column).mapInArrow(pieces, schema)
+    return docs.select(id_column, text_column).mapInArrow(store.lean(pieces), schema)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -131,7 +131,7 @@ def place(pieces: DataFrame, size: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in kept), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {kind}" for n, kind in ranked.dtypes if n != "rank") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(seat, schema)
+    return ranked.mapInArrow(store.lean(seat), schema)
 
 
 def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossmill.session import new_folder, shared_dir
 from glossmill.sources.outputs import file_system, whole_file
 
-__all__ = ["column", "drop", "file_system", "free", "mapped", "new_folder", "quoted", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
+__all__ = ["column", "drop", "file_system", "free", "lean", "mapped", "new_folder", "quoted", "shared_dir", "stage", "task_name", "tokenizer_path", "whole_file"]
 
 
 def free(table: DataFrame, *names: str) -> list[str]:
@@ -35,6 +35,23 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def lean(function):
+    """function, of batches, after whose last batch the process gives its free memory back: workers are used again, and would hold the most that any task took."""
+
+    def run(batches):
+        import ctypes
+        from contextlib import suppress
+
+        import pyarrow as pa
+
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mapped(rows: DataFrame, function, fields: list[tuple[str, str]]) -> DataFrame:
     """rows.mapInArrow(function) with fields (name, type), for columns of any name.
 
@@ -49,7 +66,7 @@ def mapped(rows: DataFrame, function, fields: list[tuple[str, str]]) -> DataFram
             yield pa.RecordBatch.from_arrays(batch.columns, inner)
 
     numbered = rows.toDF(*[f"c{k}" for k in range(len(given))])
-    made = numbered.mapInArrow(renamed, ", ".join(f"{name} {kind}" for name, (_, kind) in zip(inner, fields, strict=True)))
+    made = numbered.mapInArrow(lean(renamed), ", ".join(f"{name} {kind}" for name, (_, kind) in zip(inner, fields, strict=True)))
     return made.toDF(*[name for name, _ in fields])
 
 

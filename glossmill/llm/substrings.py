@@ -94,7 +94,7 @@ def units(docs: DataFrame, id_column: str, text_column: str, line: int = LINE) -
     kind = dict(docs.dtypes)[id_column]
     text = store.column(text_column)
     chosen = docs.select(store.column(id_column).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    return chosen.mapInArrow(rows, f"digest long, more int, id {kind}, key long, span long")
+    return chosen.mapInArrow(store.lean(rows), f"digest long, more int, id {kind}, key long, span long")
 
 
 def repeats(found: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     texts = docs.select(store.column(id_column).alias("id"), store.column(text_column).alias("text")).where("text is not null")
     labelled = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("grade", F.xxhash64("labelled").alias("turn"), "text")  # at most GRADES * sample rows
-    told = store.stage(labelled.mapInArrow(sparse, "grade int, turn long, at array<int>, times array<int>"), "features")
+    told = store.stage(labelled.mapInArrow(store.lean(sparse), "grade int, turn long, at array<int>, times array<int>"), "features")
     grades = {r["grade"]: r["n"] for r in told.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # GRADES rows
     totals = told.select((F.col("grade") > 0).cast("int").alias("toxic"), F.explode("at").alias("k")).groupBy("k").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).toArrow()  # at most BUCKETS rows
     toxic, every, at = np.zeros(BUCKETS), np.zeros(BUCKETS), totals.column("k").to_numpy()
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 rows.append((at[kept].astype("<i4").tobytes(), value[kept].astype("<f8").tobytes()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2))], ["grade", "turn", "at", "value"])
 
-    used = told.mapInArrow(telling, "grade int, turn long, at binary, value binary")
+    used = told.mapInArrow(store.lean(telling), "grade int, turn long, at binary, value binary")
     so_far = Window.partitionBy("grade").orderBy("turn", "at", "value")  # at most `sample` ids a grade
     used = store.stage(used.withColumn("entries", F.sum(F.octet_length("at") / 4).over(so_far)).where(F.col("entries") <= ENTRIES), "used")
     rows = used.collect()  # at most GRADES * ENTRIES indexes and values
